@@ -168,7 +168,7 @@ def accept_with_ttl(df: DataFrame, key: str, ts: str, row_id: str, ttl: int) ->
     reduced to one row per second of its span. Keys that are still long are
     folded in segments.
     """
-    seconds = df.select(key, row_id, F.unix_seconds(F.col(ts)).alias("second"), F.col(ts).alias("_ts"))
+    seconds = df.select(key, row_id, F.unix_seconds(F.col(ts).cast("timestamp")).alias("second"), F.col(ts).alias("_ts"))
     per_second = seconds.groupBy(key, "second").agg(F.min(F.struct("_ts", row_id)).alias("first"))
     slim = per_second.select(key, "second", F.col("first._ts").alias("ts"), F.col(f"first.{row_id}").alias(row_id))
     fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
