@@ -25,7 +25,7 @@ def remove_whitespace(v: Column) -> Column:
 
 def remove_html(v: Column) -> Column:
     # UNIX_LINES: only a line feed ends a line, so a tag may hold other breaks.
-    return F.when(v.contains("<"), F.regexp_replace(v, "(?d)<.*?>", "")).otherwise(v)
+    return F.regexp_replace(v, "(?d)<.*?>", "")
 
 
 def normalize_whitespace(v: Column) -> Column:
@@ -59,7 +59,9 @@ def remove_numbers(v: Column) -> Column:
 
 
 def capitalize(v: Column) -> Column:
-    return F.concat(F.upper(F.left(v, F.lit(1))), F.lower(F.substr(v, F.lit(2))))
+    # One letter may become two ('ß' -> 'Ss'): only the first stays upper case.
+    first = F.upper(F.left(v, F.lit(1)))
+    return F.concat(F.left(first, F.lit(1)), F.lower(F.concat(F.substr(first, F.lit(2)), F.substr(v, F.lit(2)))))
 
 
 def title_case(v: Column) -> Column:

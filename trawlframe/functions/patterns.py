@@ -78,7 +78,5 @@ def phone_numbers(text: Column) -> Column:
 def mask(text: Column, names: list[str], replacement: str = "[{name}]") -> Column:
     """Text with every match of the named patterns replaced."""
     for name in names:
-        possible = text.contains(_NEEDS[name]) if name in _NEEDS else text.isNotNull()
-        text = F.when(possible, F.regexp_replace(
-            text, unicode_aware(PATTERNS[name]), replacement.format(name=name))).otherwise(text)
+        text = F.regexp_replace(text, unicode_aware(PATTERNS[name]), replacement.format(name=name))
     return text

@@ -70,16 +70,16 @@ def normalize_url(
     """Canonical URL text: lower-case host, no fragment or path parameters,
     query without blank and ignored parameters, sorted by name."""
     url = _col(url)
-    authority = url_part(url, "authority")
-    path = F.regexp_replace(url_part(url, "path"), ";[^/]*$", "")
     query = url_part(url, "query")
+    path = F.regexp_replace(F.regexp_replace(url_part(url, "path"), ";[^/]*$", ""), "^$", "/")
     encoded = F.when(query.contains("="), _query_text(query, ignore_params, sort_params)).otherwise("")
     normal = F.concat(
-        url_part(url, "scheme"), F.lit("://"), F.lower(authority),
-        F.when(path == "", "/").otherwise(path),
-        F.when(encoded == "", "").otherwise(F.concat(F.lit("?"), encoded)))
+        url_part(url, "scheme"), F.lit("://"), F.lower(url_part(url, "authority")), path,
+        F.regexp_replace(encoded, "^(?=.)", "?"))
     # An unbalanced bracket host cannot be split; such a URL stays as it is.
-    return F.when(authority.contains("[") != authority.contains("]"), url).otherwise(normal)
+    authority = url_part(url, "authority")
+    broken = url.rlike(r"[\[\]]") & (authority.contains("[") != authority.contains("]"))
+    return F.when(broken, url).otherwise(normal)
 
 
 def _fold_dots(path: Column) -> Column:

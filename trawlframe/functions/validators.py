@@ -72,10 +72,14 @@ def is_boolean(v: Column, dtype: T.DataType) -> Column:
 
 
 def is_json(v: Column, dtype: T.DataType) -> Column:
+    """The parser stops after the first value; wrapped in a list and in an
+    object, nothing can follow that value unnoticed."""
     if not _is_text(dtype):
         return F.lit(False)
+    listed = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]"))).isNotNull()
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), v, F.lit("}"))).isNotNull()
     bare = v.rlike(r"^\s*(?:NaN|-?Infinity)\s*$")
-    return F.coalesce((F.try_parse_json(v).isNotNull() | bare) & (v != ""), F.lit(False))
+    return F.coalesce((listed & named) | bare, F.lit(False))
 
 
 def is_array(v: Column, dtype: T.DataType) -> Column:
@@ -92,10 +96,9 @@ def is_string(v: Column, dtype: T.DataType) -> Column:
 
 def json_kind(v: Column) -> Column:
     """'array', 'object' or 'scalar' of a JSON text; null when it is none."""
-    parsed = F.try_parse_json(v)
-    kind = F.schema_of_variant(parsed)
-    return F.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object") \
-        .when(parsed.isNotNull(), "scalar")
+    first = F.left(F.ltrim(v), F.lit(1))
+    kind = F.when(first == "[", "array").when(first == "{", "object").otherwise("scalar")
+    return F.when(is_json(v, T.StringType()), kind)
 
 
 VALIDATORS: dict[str, Validator] = {
