@@ -308,7 +308,10 @@ def page_fields_table_function(spark, sf_dir):
 
 # Validation reports.
 def _webpages(spark, sf_dir):
-    p = pages(spark, sf_dir)
+    return as_webpages(pages(spark, sf_dir))
+
+
+def as_webpages(p):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     body = F.regexp_replace(F.regexp_extract("html", "(?s)<body>(.*)</body>", 1), "(?s)<[^>]*>", " ")
     return p.select("page_id", title.alias("title"), "url", body.alias("content"),
