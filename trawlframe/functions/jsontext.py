@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trawlframe.functions.urls import let
+
 # The short escapes of JSON.
 _SHORT = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
 
@@ -22,33 +24,27 @@ def quote(text: Column) -> Column:
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
-def map_text(entries: Column) -> Column:
-    """``{"k": "v", …}`` of a MAP<STRING,STRING>, names sorted; null when empty."""
-    pairs = F.transform(
-        F.array_sort(F.map_entries(entries)),
-        lambda e: F.concat(quote(e["key"]), F.lit(": "),
-                           F.coalesce(quote(e["value"]), F.lit("null"))))
-    return F.when(F.size(entries) > 0,
-                  F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
+def _object(entries: Column) -> Column:
+    """``{"k": "v", …}`` of an array of (key, …, value) structs, in their order."""
+    pairs = F.transform(entries, lambda e: F.concat(quote(e["key"]), F.lit(": "), F.coalesce(quote(e["value"]), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
 def payload_text(data: Column, ignore: Iterable[str] = ()) -> Column:
-    """Request payload without ignored names. A payload that is not empty but
-    loses every name still counts, as ``{}``."""
+    """Request payload without ignored names, names sorted; null when empty. A
+    payload that is not empty but loses every name still counts, as ``{}``."""
     ignored = sorted(set(ignore))
     kept = F.map_filter(data, lambda k, v: ~k.isin(ignored)) if ignored else data
-    return F.when(F.size(data) > 0, F.coalesce(map_text(kept), F.lit("{}")))
+    return F.when(F.size(data) > 0, _object(F.sort_array(F.map_entries(kept))))
 
 
 def header_text(headers: Column, ignore: Iterable[str]) -> Column:
-    """Request headers with lower-case names, without the ignored ones."""
+    """Request headers with lower-case names, without the ignored ones; of two
+    spellings of one name the last counts."""
     ignored = sorted({name.lower() for name in ignore})
-    # Two spellings of one name would clash in a map; the last one counts.
-    entries = F.transform(F.map_entries(headers), lambda e: F.struct(
-        F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    entries = F.transform(F.map_entries(headers), lambda e, i: F.struct(
+        F.lower(e["key"]).alias("key"), i.alias("i"), e["value"].alias("value")))
     kept = F.filter(entries, lambda e: ~e["key"].isin(ignored)) if ignored else entries
-    names = F.transform(kept, lambda e: e["key"])
-    last = F.filter(kept, lambda e, i: ~F.array_contains(
-        F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), e["key"]))
-    lowered = F.map_from_entries(last)
-    return F.when(F.size(headers) > 0, F.coalesce(map_text(lowered), F.lit("{}")))
+    last = let(F.sort_array(kept), lambda all_kept: F.filter(
+        all_kept, lambda e, i: ~F.coalesce(F.get(all_kept, i + 1)["key"] == e["key"], F.lit(False))))
+    return F.when(F.size(headers) > 0, _object(last))

@@ -15,6 +15,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _tidy(url: Column) -> Column:
     """Drops what a URL parser drops: outer blanks and inner line breaks."""
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
@@ -34,33 +39,30 @@ def domain_of(url: Column | str) -> Column:
 
 def decode_component(text: Column) -> Column:
     """Form decoding; a '%' that starts no escape stays as it is."""
-    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+    decoded = F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.when(text.rlike("[%+]"), decoded).otherwise(text)
 
 
 def encode_component(text: Column) -> Column:
     """Form encoding with '~' kept and '*' escaped."""
-    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")),
-                     F.lit("%7E"), F.lit("~"))
+    encoded = F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.when(text.rlike(r"[^A-Za-z0-9_.~\-]"), encoded).otherwise(text)
 
 
 def _query_text(query: Column, ignore_params: Iterable[str], sort_params: bool) -> Column:
-    pieces = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=."))
+    pieces = F.filter(F.split(query, "&"), lambda p: (F.instr(p, "=") > 0) & (F.instr(p, "=") < F.length(p)))
     pairs = F.transform(pieces, lambda p, i: F.struct(
-        decode_component(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"),
-        i.alias("i"),
-        decode_component(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+        decode_component(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"),
+        decode_component(F.substr(p, F.instr(p, "=") + 1)).alias("v")))
     ignored = sorted(set(ignore_params))
     if ignored:
         pairs = F.filter(pairs, lambda p: ~p["k"].isin(ignored))
-    if sort_params:
-        ordered = F.array_sort(pairs)
-    else:
+    if not sort_params:
         # Repeats of a name are written together, where the name first stood.
-        names = F.transform(pairs, lambda p: p["k"])
-        ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(
-            F.array_position(names, p["k"]).alias("first"), p["i"].alias("i"),
+        pairs = let(pairs, lambda all_pairs: F.transform(all_pairs, lambda p: F.struct(
+            F.array_position(F.transform(all_pairs, lambda q: q["k"]), p["k"]).alias("first"), p["i"].alias("i"),
             p["k"].alias("k"), p["v"].alias("v"))))
-    return F.array_join(F.transform(ordered, lambda p: F.concat(
+    return F.array_join(F.transform(F.sort_array(pairs), lambda p: F.concat(
         encode_component(p["k"]), F.lit("="), encode_component(p["v"]))), "&")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,14 +111,18 @@ def ordered_fold(
     cut = segmented(df, [key], order, segments)
     columns = [c for c in cut.columns if c != SEGMENT]
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        whole = pd.concat(parts, ignore_index=True)
-        segment = int(whole[SEGMENT].iloc[0])
-        for _, rows in whole.groupby(key, sort=False, dropna=False):
-            yield segment, rows[columns].reset_index(drop=True)
+    def parts(batches: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, list[tuple[int, int]]] | None:
+        """The segment's rows and the bounds of each key's run in them."""
+        found = [b for b in batches if len(b)]
+        if not found:
+            return None
+        rows = pd.concat(found, ignore_index=True)
+        keys = rows[key]
+        starts = np.flatnonzero((keys != keys.shift()).to_numpy(dtype=bool, na_value=True))
+        return rows, list(zip(starts, [*starts[1:], len(rows)]))
+
+    def cut_out(rows: pd.DataFrame, bounds: tuple[int, int]) -> pd.DataFrame:
+        return rows.iloc[bounds[0]:bounds[1]][columns].reset_index(drop=True)
 
     key_type = df.schema[key].dataType
     edge_schema = T.StructType([
@@ -126,18 +131,16 @@ def ordered_fold(
         T.StructField("state", T.StringType())])
 
     def edges(entering: dict[int, str | None], only: set[int] | None):
+        """What each segment hands on: only its last key's run matters."""
         def run(batches):
-            keys_seen, first, last, state = 0, None, None, None
-            segment = None
-            for segment, rows in runs(batches):
-                start = entering.get(segment) if keys_seen == 0 else None
-                _, state = fold(rows, start)
-                last = rows[key].iloc[0]
-                first = last if keys_seen == 0 else first
-                keys_seen += 1
-            if segment is not None:
-                yield pd.DataFrame({"segment": [segment], "first_key": [first], "last_key": [last],
-                                    "keys": [keys_seen], "state": [state]})
+            part = parts(batches)
+            if part is None:
+                return
+            rows, bounds = part
+            segment = int(rows[SEGMENT].iloc[0])
+            _, state = fold(cut_out(rows, bounds[-1]), entering.get(segment) if len(bounds) == 1 else None)
+            yield pd.DataFrame({"segment": [segment], "first_key": [rows[key].iloc[0]], "last_key": [rows[key].iloc[-1]],
+                                "keys": [len(bounds)], "state": [state]})
         source = cut if only is None else cut.where(F.col(SEGMENT).isin(sorted(only)))
         return source.mapInPandas(run, edge_schema).collect()
 
@@ -159,10 +162,12 @@ def ordered_fold(
             left[row["segment"]] = row["state"]
 
     def emit(batches):
-        keys_seen = 0
-        for segment, rows in runs(batches):
-            out, _ = fold(rows, entering.get(segment) if keys_seen == 0 else None)
-            keys_seen += 1
-            yield out
+        part = parts(batches)
+        if part is None:
+            return
+        rows, bounds = part
+        first = entering.get(int(rows[SEGMENT].iloc[0]))
+        yield pd.concat([fold(cut_out(rows, b), first if i == 0 else None)[0] for i, b in enumerate(bounds)],
+                        ignore_index=True)
 
     return cut.mapInPandas(emit, schema)

@@ -168,11 +168,14 @@ def validate(df: DataFrame, schema: dict[str, FieldRule] | str, report: str = "r
     errors = F.flatten(F.transform(fields, lambda f: f["errors"]))
     if absent:
         errors = F.concat(errors, F.array(*absent).cast(ERROR_TYPE))
-    return with_fields.withColumn(report, F.struct(
+    result = F.struct(
         (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"),
         F.flatten(F.transform(fields, lambda f: f["warnings"])).alias("warnings"),
         F.map_from_arrays(F.transform(fields, lambda f: f["field"]), F.transform(fields, lambda f: f["cleaned"])).alias("cleaned"),
-        fields.alias("fields"))).drop("_fields")
+        fields.alias("fields"))
+    # As the output of a generator the report is computed once; as a projection
+    # a filter on it would be pushed below and evaluate every rule again.
+    return with_fields.select(*df.columns, F.explode(F.array(result)).alias(report))
 
 
 def split(validated: DataFrame, report: str = "report") -> tuple[DataFrame, DataFrame]:

@@ -28,6 +28,12 @@ def _bucket(task_id: Column) -> Column:
     return F.pmod(F.hash(task_id), F.lit(BUCKETS))
 
 
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows brought together by bucket, so that a folder gets few files; a large
+    bucket is split again by the rebalancing."""
+    return rows.withColumn("bucket", _bucket(F.col("task_id"))).hint("rebalance", "bucket")
+
+
 def append_results(results: DataFrame, path: str) -> None:
     """Appends result rows with the defaults filled in, in folders by task
     bucket: the number of folders does not grow with the number of tasks."""
@@ -37,7 +43,7 @@ def append_results(results: DataFrame, path: str) -> None:
         for name, default in RESULT_DEFAULTS.items()})
     if "data" not in columns:
         filled = filled.withColumn("data", F.lit("{}"))
-    filled.withColumn("bucket", _bucket(F.col("task_id"))).write.mode("append").partitionBy("bucket").parquet(path)
+    _by_bucket(filled).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, task_id=None) -> DataFrame:
@@ -62,8 +68,8 @@ def result_envelopes(results: DataFrame, order: list[str], export_time: Column,
 
 
 def save_results(results: DataFrame, path: str, order: list[str], export_time: Column, max_rows: int = 10_000) -> None:
-    (result_envelopes(results, order, export_time, max_rows)
-     .withColumn("bucket", _bucket(F.col("task_id"))).write.mode("append").partitionBy("bucket").json(path))
+    envelopes = result_envelopes(results, order, export_time, max_rows)
+    _by_bucket(envelopes).write.mode("append").partitionBy("bucket").json(path)
 
 
 def load_results(spark: SparkSession, path: str, row_schema: T.StructType | str, key_type: str = "long", task_id=None) -> DataFrame:
