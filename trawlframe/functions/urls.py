@@ -21,8 +21,8 @@ def let(value: Column, body) -> Column:
 
 
 def _tidy(url: Column) -> Column:
-    """Drops what a URL parser drops: outer blanks and inner line breaks."""
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    """Drops what a URL parser drops: blanks in front and inner line breaks."""
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
 def url_part(url: Column | str, part: str) -> Column:
@@ -72,16 +72,37 @@ def normalize_url(
     """Canonical URL text: lower-case host, no fragment or path parameters,
     query without blank and ignored parameters, sorted by name."""
     url = _col(url)
-    query = url_part(url, "query")
-    path = F.regexp_replace(F.regexp_replace(url_part(url, "path"), ";[^/]*$", ""), "^$", "/")
-    encoded = F.when(query.contains("="), _query_text(query, ignore_params, sort_params)).otherwise("")
-    normal = F.concat(
-        url_part(url, "scheme"), F.lit("://"), F.lower(url_part(url, "authority")), path,
-        F.regexp_replace(encoded, "^(?=.)", "?"))
-    # An unbalanced bracket host cannot be split; such a URL stays as it is.
-    authority = url_part(url, "authority")
-    broken = url.rlike(r"[\[\]]") & (authority.contains("[") != authority.contains("]"))
-    return F.when(broken, url).otherwise(normal)
+
+    def build(whole: Column) -> Column:
+        return let(F.substring_index(whole, "?", 1), lambda base: _canonical(
+            base, F.substr(whole, F.length(base) + 2), ignore_params, sort_params))
+    normal = let(F.substring_index(_tidy(url), "#", 1), build)
+    # Plain URLs without a query are canonical as they are; and an unbalanced
+    # bracket host cannot be split, such a URL stays as it is.
+    plain = url.rlike(r"^[a-z][a-z0-9+.\-]*://[a-z0-9.:\-]*/[^?#;\[\]\x00-\x20]*$")
+    broken = (url.contains("[") | url.contains("]")) & url.rlike(
+        r"^[^/?#]*//(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)")
+    return F.when(plain | broken, url).otherwise(normal)
+
+
+def _canonical(base: Column, query: Column, ignore_params: Iterable[str], sort_params: bool) -> Column:
+    """The parts are cut off from left to right, each bound once; only the
+    scheme needs a regex."""
+    def with_scheme(scheme: Column) -> Column:
+        return let(F.when(scheme == "", base).otherwise(F.substr(base, F.length(scheme) + 2)),
+                   lambda rest: let(
+                       F.when(rest.startswith("//"), F.substring_index(F.substr(rest, F.lit(3)), "/", 1)).otherwise(""),
+                       lambda authority: with_authority(scheme, rest, authority)))
+
+    def with_authority(scheme: Column, rest: Column, authority: Column) -> Column:
+        path = F.when(rest.startswith("//"), F.substr(rest, F.length(authority) + 3)).otherwise(rest)
+        path = let(path, lambda p: F.when(p == "", "/").when(p.contains(";"), F.regexp_replace(
+            F.regexp_replace(p, ";[^/]*$", ""), "^$", "/")).otherwise(p))
+        text = F.when(query.contains("="), _query_text(query, ignore_params, sort_params)).otherwise("")
+        return F.concat(F.lower(scheme), F.lit("://"), F.lower(authority), path,
+                        let(text, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("?"), t))))
+
+    return let(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1), with_scheme)
 
 
 def _fold_dots(path: Column) -> Column:
@@ -95,13 +116,28 @@ def _fold_dots(path: Column) -> Column:
     return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
+def site_of(url: Column | str) -> Column:
+    """Scheme and authority as a struct, what references are resolved against."""
+    return F.struct(url_part(url, "scheme").alias("scheme"), domain_of(url).alias("authority"))
+
+
+def resolve_on(site: Column, href: Column) -> Column:
+    """Absolute URL of a ``/path`` or ``//host/path`` reference on a site."""
+    def build(h: Column) -> Column:
+        return let(F.substring_index(F.substring_index(h, "#", 1), "?", 1), lambda path: joined(h, path))
+
+    def joined(h: Column, path: Column) -> Column:
+        rest = F.substr(h, F.length(path) + 1)
+        rest = F.when(rest == "", "").otherwise(
+            F.regexp_replace(F.regexp_replace(rest, "#$", ""), r"^\?(?=#|$)", ""))
+        folded = F.when(path.contains("/."), F.when(path.rlike(r"/\.\.?(/|$)"), _fold_dots(path)).otherwise(path)).otherwise(path)
+        start = F.concat(site["scheme"], F.lit(":"))
+        return F.when(h.startswith("//"), F.concat(start, path, rest)).otherwise(
+            F.concat(start, F.lit("//"), site["authority"], folded, rest))
+
+    return let(F.regexp_replace(href, r"[\t\r\n]", ""), build)
+
+
 def resolve_href(base: Column | str, href: Column | str) -> Column:
     """Absolute URL of a ``/path`` or ``//host/path`` reference on page ``base``."""
-    base, href = _col(base), _tidy(_col(href))
-    scheme = F.concat(url_part(base, "scheme"), F.lit(":"))
-    path = F.regexp_extract(href, r"^([^?#]*)", 1)
-    rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
-    rest = F.regexp_replace(F.regexp_replace(rest, "#$", ""), r"^\?(?=#|$)", "")
-    folded = F.when(path.rlike(r"/\.\.?(/|$)"), _fold_dots(path)).otherwise(path)
-    return F.when(href.startswith("//"), F.concat(scheme, path, rest)).otherwise(
-        F.concat(scheme, F.lit("//"), url_part(base, "authority"), folded, rest))
+    return resolve_on(site_of(base), _col(href))

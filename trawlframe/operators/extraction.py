@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from trawlframe.functions.cleaners import normalize_whitespace, remove_html
 from trawlframe.functions.htmltree import Page, compile_rule
-from trawlframe.functions.urls import resolve_href
+from trawlframe.functions.urls import let, resolve_on, site_of
 from trawlframe.operators.ordered import running
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -171,7 +171,8 @@ def tag_attribute(html: Column, tag: str, attribute: str) -> Column:
 def absolute(base: Column, references: Column) -> Column:
     """``http…`` kept, ``/…`` resolved against the page, others dropped; distinct."""
     kept = F.filter(references, lambda h: h.startswith("http") | h.startswith("/"))
-    urls = F.transform(kept, lambda h: F.when(h.startswith("http"), h).otherwise(resolve_href(base, h)))
+    urls = let(site_of(base), lambda site: F.transform(
+        kept, lambda h: F.when(h.startswith("http"), h).otherwise(resolve_on(site, h))))
     return F.array_distinct(urls)
 
 
