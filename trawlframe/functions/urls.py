@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 # The generic URI grammar; never raises, unlike parse_url / java.net.URI.
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
+# Schemes whose last path segment may carry ';parameters'.
+_PARAMETER_SCHEMES = ("", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "rtspu",
+                      "sip", "sips", "mms", "sftp", "tel")
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -96,8 +100,9 @@ def _canonical(base: Column, query: Column, ignore_params: Iterable[str], sort_p
 
     def with_authority(scheme: Column, rest: Column, authority: Column) -> Column:
         path = F.when(rest.startswith("//"), F.substr(rest, F.length(authority) + 3)).otherwise(rest)
-        path = let(path, lambda p: F.when(p == "", "/").when(p.contains(";"), F.regexp_replace(
-            F.regexp_replace(p, ";[^/]*$", ""), "^$", "/")).otherwise(p))
+        path = let(path, lambda p: F.when(p == "", "/").when(
+            p.contains(";") & F.lower(scheme).isin(*_PARAMETER_SCHEMES),
+            F.regexp_replace(F.regexp_replace(p, ";[^/]*$", ""), "^$", "/")).otherwise(p))
         text = F.when(query.contains("="), _query_text(query, ignore_params, sort_params)).otherwise("")
         return F.concat(F.lower(scheme), F.lit("://"), F.lower(authority), path,
                         let(text, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("?"), t))))
