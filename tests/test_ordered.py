@@ -17,9 +17,9 @@ def rows_with_a_hot_key(seed, n=4000):
     return [(0 if rng.random() < 0.6 else rng.randrange(1, 60), i, rng.randrange(500)) for i in range(n)]
 
 
-@pytest.mark.parametrize("segments", [1, 5, 23])
+@pytest.mark.parametrize("segments", [None, 1, 5, 23])
 def test_running_equals_window(spark, segments):
-    df = spark.createDataFrame(rows_with_a_hot_key(segments), "k int, id int, x long")
+    df = spark.createDataFrame(rows_with_a_hot_key(segments or 2), "k int, id int, x long")
     w = Window.partitionBy("k").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = df.select("k", "id", "x", F.count(F.lit(1)).over(w).alias("n"), F.sum("x").over(w).alias("s"))
     got = ordered.running(df, ["k"], ["x", "id"], count="n", sums={"s": F.col("x")}, segments=segments)
@@ -35,6 +35,32 @@ def test_running_without_keys_and_with_null_key(spark):
     assert sorted(r["n"] for r in per_key.collect()) == list(range(1, 51))
 
 
+def test_a_key_beyond_the_limit_goes_over_segments(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(ordered, "segmented", lambda *a, _real=ordered.segmented, **k: taken.append(1) or _real(*a, **k))
+    df = spark.createDataFrame(rows_with_a_hot_key(3), "k int, id int, x long")
+    small = ordered.running(df, ["k"], ["x", "id"], count="n")
+    assert not taken
+    large = ordered.running(df, ["k"], ["x", "id"], count="n", max_rows_per_key=1000)
+    assert taken and sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
+def test_whole_keys_over_many_arrow_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(None if k == 5 else k, i, x) for k, i, x in rows_with_a_hot_key(8, 500)]
+        rows += [(None, 1000 + i, i) for i in range(30)]
+        df = spark.createDataFrame(rows, "k int, id int, x long")
+
+        def number(rows, state):
+            return rows.assign(n=range(1, len(rows) + 1)), None
+        got = ordered.ordered_fold(df, "k", ["x", "id"], number, "k int, id int, x long, n long")
+        want = ordered.running(df, ["k"], ["x", "id"], count="n")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def breaker(calls, threshold, wait):
     """One call after the other."""
     state, fails, last, out = "closed", 0, None, []
@@ -62,7 +88,7 @@ def test_breaker_example(spark):
     assert [r["state"] for r in rows] == ["closed"] * 4 + ["open"] * 5 + ["closed"]
 
 
-@pytest.mark.parametrize("segments, seed, failing", [(1, 1, 0.7), (13, 2, 0.7), (29, 3, 0.95), (17, 4, 1.0), (11, 5, 0.3)])
+@pytest.mark.parametrize("segments, seed, failing", [(None, 6, 0.6), (1, 1, 0.7), (13, 2, 0.7), (29, 3, 0.95), (17, 4, 1.0), (11, 5, 0.3)])
 def test_breaker_like_step_by_step(spark, monkeypatch, segments, seed, failing):
     monkeypatch.setattr(L, "ordered_fold", lambda *a, **k: ordered.ordered_fold(*a, **{**k, "segments": segments}))
     rng = random.Random(seed)

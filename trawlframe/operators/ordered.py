@@ -1,9 +1,10 @@
 """Ordered per-key work that stays parallel when one key is huge.
 
-A window partitioned by a key sorts that whole key in one task. Here rows are
-range-partitioned by (key, order) instead, so a hot key is spread over many
-segments. A segment boundary cuts at most one key, hence what has to be carried
-over boundaries is at most one small row per segment.
+A window partitioned by a key sorts that whole key in one task. That is the
+best plan as long as every key fits a task, so the largest key is counted first.
+Beyond the limit rows are range-partitioned by (key, order) instead: a hot key is
+spread over many segments, a segment boundary cuts at most one key, and what has
+to be carried over boundaries is at most one small row per segment.
 
 The order columns must identify a row within its key (end them with an id).
 """
@@ -22,6 +23,17 @@ from trawlframe.session import cut_lineage
 
 SEGMENT = "_segment"
 
+# Rows of one key that one task may sort or fold.
+MAX_ROWS_PER_KEY = 2_000_000
+
+
+def _fits_a_task(df: DataFrame, keys: list[str], limit: int) -> bool:
+    """Counted on the map side first, so the check itself knows no hot key."""
+    if not keys:
+        return False
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return largest is None or largest <= limit
+
 
 def segmented(df: DataFrame, keys: list[str], order: list, segments: int | None = None) -> DataFrame:
     """``df`` cut into contiguous ranges of (keys, order), numbered in order.
@@ -44,19 +56,24 @@ def running(
     count: str | None = None,
     sums: dict[str, Column] | None = None,
     segments: int | None = None,
+    max_rows_per_key: int = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
     """Adds a 1-based row number and inclusive running sums per key.
 
     Equals ``row_number()`` / ``sum()`` over (partition by keys order by order),
-    with the work of a hot key split over segments.
+    with the work of a hot key split over segments (``segments``: always, that
+    many).
     """
     measures = {name: expr for name, expr in (sums or {}).items()}
     if count:
         measures[count] = F.lit(1).cast("long")
     df = df.select("*", *[expr.alias(name) for name, expr in measures.items()])
-    cut = segmented(df, keys, order, segments)
-
     ordering = [F.col(o) if isinstance(o, str) else o for o in order]
+    if segments is None and _fits_a_task(df, keys, max_rows_per_key):
+        w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*[c for c in df.columns if c not in measures], *[F.sum(m).over(w).alias(m) for m in measures])
+
+    cut = segmented(df, keys, order, segments)
     local = (Window.partitionBy(*keys, SEGMENT).orderBy(*ordering)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     earlier = (Window.partitionBy(*keys).orderBy(SEGMENT)
@@ -87,6 +104,42 @@ def running(
 Fold = Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]]
 
 
+def _starts(keys: pd.Series) -> np.ndarray:
+    """Positions where a new key begins; null is a key like any other."""
+    before = keys.shift()
+    same = (keys == before).to_numpy(dtype=bool, na_value=False) | (keys.isna() & before.isna()).to_numpy()
+    same[:1] = False
+    return np.flatnonzero(~same)
+
+
+def _fold_whole_keys(df: DataFrame, key: str, order: list[str], fold: Fold, schema: str) -> DataFrame:
+    """One shuffle: each task streams through its sorted keys and holds the
+    rows of one key at a time."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            starts = _starts(batch[key])
+            if held and len(_starts(pd.concat([held[-1][key].tail(1), batch[key].head(1)]))) == 1:
+                starts = starts[1:]
+            done = []
+            for a, b in zip([0, *starts], [*starts, len(batch)]):
+                if a == b:
+                    continue
+                if held and a in starts:
+                    done.append(fold(pd.concat(held, ignore_index=True), None)[0])
+                    held = []
+                held.append(batch.iloc[a:b])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held:
+            yield fold(pd.concat(held, ignore_index=True), None)[0]
+
+    rows = df.repartition(F.col(key)).sortWithinPartitions(key, *order)
+    return rows.mapInPandas(run, schema)
+
+
 def ordered_fold(
     df: DataFrame,
     key: str,
@@ -95,6 +148,7 @@ def ordered_fold(
     schema: str,
     *,
     segments: int | None = None,
+    max_rows_per_key: int = MAX_ROWS_PER_KEY,
 ) -> DataFrame:
     """Runs a sequential rule over each key's rows in order.
 
@@ -107,6 +161,8 @@ def ordered_fold(
     such segment from the state known so far, hand the end states on, and stop
     when no boundary changes. One state per segment passes through the driver.
     """
+    if segments is None and _fits_a_task(df, [key], max_rows_per_key):
+        return _fold_whole_keys(df, key, order, fold, schema)
     # The rule's rows of one key are needed together only per segment.
     cut = segmented(df, [key], order, segments)
     columns = [c for c in cut.columns if c != SEGMENT]
@@ -117,8 +173,7 @@ def ordered_fold(
         if not found:
             return None
         rows = pd.concat(found, ignore_index=True)
-        keys = rows[key]
-        starts = np.flatnonzero((keys != keys.shift()).to_numpy(dtype=bool, na_value=True))
+        starts = _starts(rows[key])
         return rows, list(zip(starts, [*starts[1:], len(rows)]))
 
     def cut_out(rows: pd.DataFrame, bounds: tuple[int, int]) -> pd.DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawlframe.session import cut_lineage
+
 Writer = Callable[[DataFrame, str], None]
 
 MANIFEST = "export_id string, task_id string, format string, path string, records long, ok boolean, error string, exported_at timestamp"
@@ -42,11 +44,15 @@ def register_writer(name: str, writer: Writer) -> None:
 
 
 def export(df: DataFrame, path: str, formats: Iterable[str] = ("json", "csv", "parquet"), *, task_id: str = "",
-           now: datetime | None = None) -> DataFrame:
+           now: datetime | None = None, store_first: bool = False) -> DataFrame:
     """Writes every known format below ``path`` and returns the manifest, one
     row per format. Unknown formats are skipped and a failing one does not stop
-    the others. Rows are counted while they are written.
+    the others. Rows are counted while they are written. ``store_first`` keeps
+    records that are costly to compute in the checkpoint folder, so that they
+    are computed once and not once per format.
     """
+    if store_first:
+        df = cut_lineage(df)
     spark = df.sparkSession
     at = now or datetime.now(timezone.utc)
     export_id = uuid.uuid4().hex
