@@ -86,7 +86,7 @@ def field_report(name: str, value: Column, dtype: T.DataType, rule: FieldRule, c
     length, range, pattern and the custom rule, which may all report.
     """
     cleaned, kind = _cleaned(value, dtype, rule, compat_null)
-    return _checked(name, value, cleaned, kind, rule)
+    return _report(name, value, cleaned, *_checked(name, cleaned, kind, rule))
 
 
 def _cleaned(value: Column, dtype: T.DataType, rule: FieldRule, compat_null: bool) -> tuple[Column, T.DataType]:
@@ -94,40 +94,53 @@ def _cleaned(value: Column, dtype: T.DataType, rule: FieldRule, compat_null: boo
     return (clean(value, chain, compat_null), T.StringType()) if chain else (value, dtype)
 
 
-def _checked(name: str, value: Column, cleaned: Column, kind: T.DataType, rule: FieldRule) -> Column:
+def _report(name: str, value: Column, cleaned: Column, errors: Column, warnings: Column) -> Column:
+    return F.struct(
+        F.lit(name).alias("field"), value.cast("string").alias("original"), cleaned.cast("string").alias("cleaned"),
+        (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
+
+
+def _none() -> Column:
+    return F.array().cast(ERROR_TYPE)
+
+
+def _only_if(condition: Column, error: Column) -> Column:
+    """A list with the error or an empty one. Lists are concatenated instead of
+    filtered: that stays inside generated code."""
+    return F.when(condition, F.array(error).cast(ERROR_TYPE)).otherwise(_none())
+
+
+def _checked(name: str, cleaned: Column, kind: T.DataType, rule: FieldRule) -> tuple[Column, Column]:
+    """(errors, warnings) of a cleaned value."""
     text = isinstance(kind, T.StringType)
     missing = cleaned.isNull() | (cleaned == "") if text else cleaned.isNull()
 
     found: list[Column] = []
     if text and rule.min_length is not None:
-        found.append(F.when(F.length(cleaned) < rule.min_length, _error(name, "min_length", rule.min_length)))
+        found.append(_only_if(F.length(cleaned) < rule.min_length, _error(name, "min_length", rule.min_length)))
     if text and rule.max_length is not None:
-        found.append(F.when(F.length(cleaned) > rule.max_length, _error(name, "max_length", rule.max_length)))
+        found.append(_only_if(F.length(cleaned) > rule.max_length, _error(name, "max_length", rule.max_length)))
     if rule.field_type in ("number", "integer", "float"):
         readable, number = _numeric(cleaned, rule, kind)
-        found.append(F.when(~readable, _error(name, "not_numeric")))
+        found.append(_only_if(~readable, _error(name, "not_numeric")))
         if rule.min_value is not None:
-            found.append(F.when(readable & (number < rule.min_value), _error(name, "min_value", rule.min_value)))
+            found.append(_only_if(readable & (number < rule.min_value), _error(name, "min_value", rule.min_value)))
         if rule.max_value is not None:
-            found.append(F.when(readable & (number > rule.max_value), _error(name, "max_value", rule.max_value)))
+            found.append(_only_if(readable & (number > rule.max_value), _error(name, "max_value", rule.max_value)))
     if rule.pattern:
-        found.append(F.when(~starts_with_match(cleaned.cast("string"), rule.pattern), _error(name, "pattern", rule.pattern)))
+        found.append(_only_if(~starts_with_match(cleaned.cast("string"), rule.pattern), _error(name, "pattern", rule.pattern)))
     warnings = F.array().cast("array<string>")
     if rule.custom is not None:
         verdict = rule.custom(cleaned)
-        found.append(F.when(~verdict, _error(name, "custom")))
+        found.append(_only_if(~verdict, _error(name, "custom")))
         warnings = F.when(~missing & verdict.isNull(), F.array(F.lit(f"{name}: custom rule gave no verdict"))).otherwise(warnings)
 
-    none = F.array().cast(ERROR_TYPE)
-    later = F.array_compact(F.array(*found)).cast(ERROR_TYPE) if found else none
-    errors = F.when(missing, F.array(_error(name, "required")).cast(ERROR_TYPE) if rule.required else none)
+    later = F.concat(*found) if found else _none()
+    errors = F.when(missing, F.array(_error(name, "required")).cast(ERROR_TYPE) if rule.required else _none())
     if rule.field_type in VALIDATORS:
         errors = errors.when(~VALIDATORS[rule.field_type](cleaned, kind),
                              F.array(_error(name, "type", rule.field_type)).cast(ERROR_TYPE))
-    errors = errors.otherwise(later)
-    return F.struct(
-        F.lit(name).alias("field"), value.cast("string").alias("original"), cleaned.cast("string").alias("cleaned"),
-        (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
+    return errors.otherwise(later), warnings
 
 
 def validate_value(name: str, value: Column, dtype: T.DataType | None = None, **options) -> Column:
@@ -151,9 +164,9 @@ def validate(df: DataFrame, schema: dict[str, FieldRule] | str, report: str = "r
             F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("map<string,string>").alias("cleaned"),
             F.lit(None).cast("array<struct<field string, original string, cleaned string, is_valid boolean, "
                              f"errors {ERROR_TYPE}, warnings array<string>>>").alias("fields")))
-    # Cleaned values, then field reports, get columns of their own: the checks
-    # read from them, so each cleaner chain and each rule is evaluated once.
-    cleaned, reports = {}, []
+    # Cleaned values, then errors, get columns of their own: what follows reads
+    # from them, so each cleaner chain and each rule is evaluated once.
+    cleaned, errors, warnings, values = {}, {}, {}, {}
     for name, rule in rules.items():
         present = name in df.columns
         value = F.col(name) if present else F.lit(None).cast("string")
@@ -161,21 +174,19 @@ def validate(df: DataFrame, schema: dict[str, FieldRule] | str, report: str = "r
         clean_value, kind = _cleaned(value, dtype, rule, compat_null and present)
         if rule.cleaners:
             cleaned[f"_clean_{name}"], clean_value = clean_value, F.col(f"_clean_{name}")
-        reports.append(_checked(name, value, clean_value, kind, rule))
+        errors[f"_errors_{name}"], warnings[name] = _checked(name, clean_value, kind, rule)
+        values[name] = (value, clean_value)
     absent = [_error(n, "missing_key") for n, r in rules.items() if r.required and n not in df.columns]
-    with_fields = df.withColumns(cleaned).withColumn("_fields", F.array(*reports)).drop(*cleaned)
-    fields = F.col("_fields")
-    errors = F.flatten(F.transform(fields, lambda f: f["errors"]))
-    if absent:
-        errors = F.concat(errors, F.array(*absent).cast(ERROR_TYPE))
+    checked = df.withColumns(cleaned).withColumns(errors)
+    all_errors = F.concat(*[F.col(c) for c in errors], *([F.array(*absent).cast(ERROR_TYPE)] if absent else []))
+    is_valid = reduce(lambda a, b: a & b, [F.size(c) == 0 for c in errors], F.lit(not absent))
     result = F.struct(
-        (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"),
-        F.flatten(F.transform(fields, lambda f: f["warnings"])).alias("warnings"),
-        F.map_from_arrays(F.transform(fields, lambda f: f["field"]), F.transform(fields, lambda f: f["cleaned"])).alias("cleaned"),
-        fields.alias("fields"))
+        is_valid.alias("is_valid"), all_errors.alias("errors"), F.concat(*warnings.values()).alias("warnings"),
+        F.create_map(*[part for n, (_, c) in values.items() for part in (F.lit(n), c.cast("string"))]).alias("cleaned"),
+        F.array(*[_report(n, v, c, F.col(f"_errors_{n}"), warnings[n]) for n, (v, c) in values.items()]).alias("fields"))
     # As the output of a generator the report is computed once; as a projection
     # a filter on it would be pushed below and evaluate every rule again.
-    return with_fields.select(*df.columns, F.explode(F.array(result)).alias(report))
+    return checked.select(*df.columns, F.explode(F.array(result)).alias(report))
 
 
 def split(validated: DataFrame, report: str = "report") -> tuple[DataFrame, DataFrame]:

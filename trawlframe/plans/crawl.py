@@ -11,6 +11,7 @@ from trawlframe.operators import requests as R
 from trawlframe.plans.bindings import (
     EDGES_SQL, REQUESTS_SQL, edges, pages, requests, sql_normalized, sql_url_part, table)
 from trawlframe.plans.registry import query
+from trawlframe.sources.store import read_table
 
 
 @query("link_edges", f"SELECT page_id, src_url, pos, dst_url FROM {EDGES_SQL}")
@@ -171,3 +172,32 @@ def crawl_dedup_by_domain(spark, sf_dir):
     return per_target.groupBy("domain").agg(
         F.sum("n").alias("links"), F.count(F.lit(1)).alias("distinct_targets"),
         (F.sum("n") - F.count(F.lit(1))).alias("duplicates"))
+
+
+@query("pages_source", "SELECT page_id, url, length(html) AS html_length FROM pages")
+def pages_source(spark, sf_dir):
+    stored = read_table(spark, f"{sf_dir}/pages.parquet", ["page_id", "url", "html"])
+    return stored.select("page_id", "url", F.length("html").cast("long").alias("html_length"))
+
+
+@query("distinct_link_targets", f"SELECT DISTINCT dst_url FROM {EDGES_SQL}")
+def distinct_link_targets(spark, sf_dir):
+    return edges(spark, sf_dir).select("dst_url").distinct()
+
+
+@query("frontier_minus_seen", f"""
+SELECT dst_url AS url FROM {EDGES_SQL} WHERE pos > 0 EXCEPT SELECT dst_url FROM {EDGES_SQL} WHERE pos = 0""")
+def frontier_minus_seen(spark, sf_dir):
+    """Set difference: later links that are no page's first link."""
+    links = edges(spark, sf_dir)
+    frontier = links.where("pos > 0").select(F.col("dst_url").alias("url")).distinct()
+    return R.unseen(frontier, links.where("pos = 0").select(F.col("dst_url").alias("url")).distinct(), "url")
+
+
+@query("next_page_chains", f"""
+SELECT url AS start_url, 1 AS depth, url FROM pages
+UNION ALL SELECT DISTINCT p.url, 2, e.dst_url FROM pages p JOIN {EDGES_SQL} e ON e.src_url = p.url WHERE e.dst_url <> p.url""")
+def next_page_chains(spark, sf_dir):
+    """Pages and what they link to; no link leads to another given page."""
+    p = pages(spark, sf_dir)
+    return X.follow_pages(p, "a::attr(href)", p.select("url"), 4)

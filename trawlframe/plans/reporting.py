@@ -332,6 +332,16 @@ def export_statistics(spark, sf_dir):
                         F.array_join("formats_used", " ").alias("formats_used"))
 
 
+@query("task_log_roundtrip", "SELECT 'task ' || user_id || ': ' || event_type AS line, count(*) AS lines FROM events GROUP BY 1")
+def task_log_roundtrip(spark, sf_dir):
+    """Log lines per task written as text and read back."""
+    path = scratch_path(spark, "task-logs")
+    lines = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("task_id"), F.concat(F.lit("task "), F.col("user_id"), F.lit(": "), F.col("event_type")).alias("value"))
+    LO.write_task_log(lines, path, buckets=4)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _stored_files(spark, sf_dir):
     base = scratch_path(spark, "files")
     EX.write_csv(table(spark, sf_dir, "nation").coalesce(1), f"{base}/configs")

@@ -19,7 +19,7 @@ def _stream(spark, sf_dir, name):
     """The table as a file stream. As a pattern the path may name one file or a
     folder of files; a plain path would have to be a folder. Micro-batches are
     bounded, so that a host's share of one fits a task."""
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxBytesPerTrigger", "1g").parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxBytesPerTrigger", 1 << 30).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _fetches(spark, sf_dir):

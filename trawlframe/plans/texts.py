@@ -11,7 +11,7 @@ from trawlframe.operators import extraction as X
 from trawlframe.operators import records as G
 from trawlframe.operators import requests as R
 from trawlframe.operators import validation as VAL
-from trawlframe.plans.bindings import pages, table
+from trawlframe.plans.bindings import EDGES_SQL, pages, table
 from trawlframe.plans.registry import query
 
 # In SQL \\w, \\d and \\b are ASCII only; this stands for a Unicode word edge.
@@ -132,6 +132,14 @@ def cleaner_chain(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.md5(C.clean(F.col("html"), chain)).alias("cleaned_md5"))
 
 
+@query("cleaner_null_as_text", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE lower(o_orderstatus) END AS kept, CASE WHEN o_orderstatus = 'F' THEN 'none' ELSE lower(o_orderstatus) END AS compat FROM orders""")
+def cleaner_null_as_text(spark, sf_dir):
+    v = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", C.clean(v, ["trim", "to_lower"]).alias("kept"), C.clean(v, ["trim", "to_lower"], compat_null=True).alias("compat"))
+
+
 @query("clean_batch", f"""
 SELECT doc_id, md5(regexp_replace({_CLEANER_SQL['trim']}, '<.*?>', '', 'g')) AS text_md5, upper(lang) AS lang, source, '' AS summary FROM documents""")
 def clean_batch(spark, sf_dir):
@@ -260,7 +268,20 @@ def page_fields_xpath(spark, sf_dir):
                        F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("links"))
 
 
-@query("page_fields_long")
+def _long_sql(field: str, values: str) -> str:
+    return f"""SELECT page_id, '{field}' AS field, CAST(unnest(CASE WHEN len(v) = 0 THEN [NULL] ELSE range(len(v)) END) AS INTEGER) AS pos,
+  unnest(CASE WHEN len(v) = 0 THEN [NULL] ELSE v END) AS value FROM (SELECT page_id, {values} AS v FROM pages)"""
+
+
+def _texts_sql(pattern: str) -> str:
+    return f"list_transform(regexp_extract_all(html, '{pattern}', 1), lambda x: trim(regexp_replace({_entities('x')}, '\\s+', ' ', 'g')))"
+
+
+@query("page_fields_long", " UNION ALL ".join([
+    _long_sql("title", _texts_sql("<title>([^<]*)</title>")), _long_sql("heading", _texts_sql("<h1>([^<]*)</h1>")),
+    _long_sql("ads", _texts_sql('<div class="ad">([^<]*)</div>')),
+    _long_sql("links", """regexp_extract_all(regexp_extract(html, '<nav>.*</nav>'), '<a href="([^"]+)"', 1)"""),
+    "SELECT page_id, 'none', NULL, NULL FROM pages"]))
 def page_fields_long(spark, sf_dir):
     wide = X.extract_fields(pages(spark, sf_dir), _RULES, keep=["page_id"])
     return X.long_form(wide, ["page_id"], list(_RULES))
@@ -282,11 +303,11 @@ def field_coverage(spark, sf_dir):
     return X.field_coverage(X.extract_fields(pages(spark, sf_dir), rules, keep=["page_id"]), list(rules))
 
 
-@query("page_images", """
-SELECT page_id, src_url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, regexp_extract(src_url, '^([a-z]+://[^/?#]*)') || src AS dst_url
-FROM (SELECT page_id, url AS src_url, unnest(regexp_extract_all(html, '<img[^>]* src="(/[^"]*)"', 1)) AS src, 1 AS i FROM pages)""")
+@query("page_images", f"SELECT page_id, src_url, pos, dst_url FROM {EDGES_SQL}")
 def page_images(spark, sf_dir):
-    return X.page_images(pages(spark, sf_dir))
+    """The pages hold no images; their links are rewritten into some."""
+    drawn = pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", '<a href="', '<img alt="a > b" src="'))
+    return X.page_images(drawn)
 
 
 @query("page_items", """
@@ -470,7 +491,18 @@ def cleaning_log(spark, sf_dir):
     return log.select("doc_id", "field", F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"))
 
 
-@query("masked_documents")
+def _masked_sql() -> str:
+    text = "text"
+    for name in G.PERSONAL:
+        p = _SQL_PATTERNS[name]
+        if p.startswith(r"\b"):
+            text = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}_])(?:{p[2:]})', '\\1[{name}]', 'g')"
+        else:
+            text = f"regexp_replace({text}, '{p}', '[{name}]', 'g')"
+    return text
+
+
+@query("masked_documents", f"SELECT doc_id, md5({_masked_sql()}) AS masked_md5 FROM documents")
 def masked_documents(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.md5(G.mask_personal(F.col("text"))).alias("masked_md5"))
 
