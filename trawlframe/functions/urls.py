@@ -81,12 +81,22 @@ def normalize_url(
         return let(F.substring_index(whole, "?", 1), lambda base: _canonical(
             base, F.substr(whole, F.length(base) + 2), ignore_params, sort_params))
     normal = let(F.substring_index(_tidy(url), "#", 1), build)
-    # Plain URLs without a query are canonical as they are; and an unbalanced
-    # bracket host cannot be split, such a URL stays as it is.
-    plain = url.rlike(r"^[a-z][a-z0-9+.\-]*://[a-z0-9.:\-]*/[^?#;\[\]\x00-\x20]*$")
+    # An unbalanced bracket host cannot be split; such a URL stays as it is.
     broken = (url.contains("[") | url.contains("]")) & url.rlike(
         r"^[^/?#]*//(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)")
-    return F.when(plain | broken, url).otherwise(normal)
+    # Most URLs are written plainly: what stands before the query is canonical
+    # as it is, and only the query needs work.
+    whole = F.substring_index(url, "#", 1)
+    base = F.substring_index(whole, "?", 1)
+    plain = whole.rlike(r"^[a-z][a-z0-9+.\-]*://[a-z0-9.:\-]*/[^?;\[\]\x00-\x20]*(?:\?[^\x00-\x20]*)?$")
+    quick = F.concat(base, _query_part(F.substr(whole, F.length(base) + 2), ignore_params, sort_params))
+    return F.when(plain, quick).when(broken, url).otherwise(normal)
+
+
+def _query_part(query: Column, ignore_params: Iterable[str], sort_params: bool) -> Column:
+    return F.when(query.contains("="), let(
+        _query_text(query, ignore_params, sort_params),
+        lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("?"), t)))).otherwise("")
 
 
 def _canonical(base: Column, query: Column, ignore_params: Iterable[str], sort_params: bool) -> Column:
@@ -103,9 +113,8 @@ def _canonical(base: Column, query: Column, ignore_params: Iterable[str], sort_p
         path = let(path, lambda p: F.when(p == "", "/").when(
             p.contains(";") & F.lower(scheme).isin(*_PARAMETER_SCHEMES),
             F.regexp_replace(F.regexp_replace(p, ";[^/]*$", ""), "^$", "/")).otherwise(p))
-        text = F.when(query.contains("="), _query_text(query, ignore_params, sort_params)).otherwise("")
         return F.concat(F.lower(scheme), F.lit("://"), F.lower(authority), path,
-                        let(text, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("?"), t))))
+                        _query_part(query, ignore_params, sort_params))
 
     return let(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1), with_scheme)
 
