@@ -8,7 +8,6 @@ steps: (axis, tag, predicates).
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
 # HTML's void elements, and which start tags end an open element.
@@ -117,7 +116,6 @@ _XPREDICATE = re.compile(r"""\[\s*(?:(\d+)|@([\w-]+)\s*(?:=\s*["']([^"']*)["'])?
                          r"""contains\(\s*@([\w-]+)\s*,\s*["']([^"']*)["']\s*\))\s*\]""")
 
 
-@lru_cache(maxsize=512)
 def compile_css(selector: str):
     """``tag#id.class[attr=v] > child descendant, other`` with an optional
     ``::text`` or ``::attr(name)`` at the end."""
@@ -147,7 +145,6 @@ def compile_css(selector: str):
     return tuple(alternatives), kind, name
 
 
-@lru_cache(maxsize=512)
 def compile_xpath(path: str):
     """``//tag[@a='v'][n]/child//*/text()`` or ``…/@attr``; ``|`` joins paths."""
     alternatives, kind, name = [], "text", None

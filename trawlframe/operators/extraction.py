@@ -7,6 +7,7 @@ images of a page need only its tags and stay native.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -240,11 +241,15 @@ def register_extract_fields(spark: SparkSession, name: str = "extract_fields") -
     with rules as a JSON object; rows ``field, pos, value``."""
     @F.udtf(returnType="field string, pos int, value string")
     class ExtractFields:
+        def __init__(self):
+            self.compiled: dict = {}
+
         def eval(self, html: str, rules: str, selector_type: str):
-            import json
+            if (rules, selector_type) not in self.compiled:
+                self.compiled[rules, selector_type] = {
+                    f: _safe_rule(s, selector_type) for f, s in json.loads(rules).items()}
             page = Page(html or "")
-            for field, selector in json.loads(rules).items():
-                rule = _safe_rule(selector, selector_type)
+            for field, rule in self.compiled[rules, selector_type].items():
                 for pos, value in enumerate(page.values(rule) if rule else []):
                     yield field, pos, value
 
