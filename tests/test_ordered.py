@@ -3,6 +3,7 @@ one key holding most of the rows and many segments."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -52,9 +53,9 @@ def test_whole_keys_over_many_arrow_batches(spark):
         rows += [(None, 1000 + i, i) for i in range(30)]
         df = spark.createDataFrame(rows, "k int, id int, x long")
 
-        def number(rows, state):
-            return rows.assign(n=range(1, len(rows) + 1)), None
-        got = ordered.ordered_fold(df, "k", ["x", "id"], number, "k int, id int, x long, n long")
+        def number(values, state):
+            return {"n": np.arange(1, len(values["x"]) + 1)}, None
+        got = ordered.ordered_fold(df, "k", ["x", "id"], ["x"], number, "k int, id int, x long, n long")
         want = ordered.running(df, ["k"], ["x", "id"], count="n")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     finally:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +113,8 @@ def breaker_fold(threshold: int, recovery_seconds: float):
     """
     wait = int(recovery_seconds * 1_000_000)
 
-    def fold(rows: pd.DataFrame, state: str | None):
-        at, ok = rows["_us"].to_numpy(), rows["_ok"].to_numpy(dtype=bool)
+    def fold(values: dict[str, np.ndarray], state: str | None):
+        at, ok = values["_us"], values["_ok"].astype(bool)
         n = len(at)
         decision = np.full(n, "accepted", dtype=object)
         after = np.full(n, "closed", dtype=object)
@@ -150,8 +149,7 @@ def breaker_fold(threshold: int, recovery_seconds: float):
             left = {"open_until": open_until}
         else:
             left = {"failures": int(run[-1]) if n else carried.get("failures", 0)}
-        out = rows.drop(columns=["_us", "_ok"]).assign(decision=decision, state=after)
-        return out, json.dumps(left)
+        return {"decision": decision, "state": after}, json.dumps(left)
     return fold
 
 
@@ -164,4 +162,4 @@ def breaker_replay(log: DataFrame, host: str = "host", ts: str = "ts", row_id: s
         is_success(F.col("status_code")).alias("_ok"))
     kept = [slim.schema[c] for c in (host, ts, row_id)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", decision string, state string"
-    return ordered_fold(slim, host, ["_us", row_id], breaker_fold(threshold, recovery_seconds), schema)
+    return ordered_fold(slim, host, ["_us", row_id], ["_us", "_ok"], breaker_fold(threshold, recovery_seconds), schema)

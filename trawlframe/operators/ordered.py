@@ -101,7 +101,9 @@ def running(
           for m in measures])
 
 
-Fold = Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]]
+# Values of one key's consecutive rows and the state before them -> values of
+# new columns (``_keep``: which rows stay) and the state after them.
+Fold = Callable[[dict[str, np.ndarray], str | None], tuple[dict[str, np.ndarray], str | None]]
 
 
 def _starts(keys: pd.Series) -> np.ndarray:
@@ -112,29 +114,44 @@ def _starts(keys: pd.Series) -> np.ndarray:
     return np.flatnonzero(~same)
 
 
-def _fold_whole_keys(df: DataFrame, key: str, order: list[str], fold: Fold, schema: str) -> DataFrame:
-    """One shuffle: each task streams through its sorted keys and holds the
-    rows of one key at a time."""
+def _fold_runs(rows: pd.DataFrame, key: str, needs: list[str], fold: Fold, state: str | None = None) -> pd.DataFrame:
+    """Folds each key's run in ``rows``; ``state`` is what the first one enters with."""
+    values = {c: rows[c].to_numpy() for c in needs}
+    starts = _starts(rows[key])
+    made: dict[str, list[np.ndarray]] = {}
+    for a, b in zip(starts, [*starts[1:], len(rows)]):
+        new, _ = fold({c: v[a:b] for c, v in values.items()}, state if a == 0 else None)
+        for name, column in new.items():
+            made.setdefault(name, []).append(column)
+    out = rows.assign(**{name: np.concatenate(parts) for name, parts in made.items()})
+    return out[out["_keep"]] if "_keep" in made else out
+
+
+def _fold_whole_keys(df: DataFrame, key: str, order: list[str], needs: list[str], fold: Fold, schema: T.StructType) -> DataFrame:
+    """One shuffle: each task streams through its sorted keys and holds back
+    only the rows of the last key, which the next batch may continue."""
+    names = schema.names
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
             if not len(batch):
                 continue
-            starts = _starts(batch[key])
-            if held and len(_starts(pd.concat([held[-1][key].tail(1), batch[key].head(1)]))) == 1:
-                starts = starts[1:]
-            done = []
-            for a, b in zip([0, *starts], [*starts, len(batch)]):
-                if a == b:
-                    continue
-                if held and a in starts:
-                    done.append(fold(pd.concat(held, ignore_index=True), None)[0])
-                    held = []
-                held.append(batch.iloc[a:b])
-            if done:
-                yield pd.concat(done, ignore_index=True)
+            if held:
+                keys = pd.concat([held[-1][key].tail(1), batch[key]], ignore_index=True)
+                starts = _starts(keys)[1:] - 1
+            else:
+                starts = _starts(batch[key])
+            if not len(starts):
+                held.append(batch)
+                continue
+            last = starts[-1]
+            done = pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = [batch.iloc[last:]]
+            if len(done):
+                yield _fold_runs(done, key, needs, fold)[names]
         if held:
-            yield fold(pd.concat(held, ignore_index=True), None)[0]
+            yield _fold_runs(pd.concat(held, ignore_index=True), key, needs, fold)[names]
 
     rows = df.repartition(F.col(key)).sortWithinPartitions(key, *order)
     return rows.mapInPandas(run, schema)
@@ -144,6 +161,7 @@ def ordered_fold(
     df: DataFrame,
     key: str,
     order: list[str],
+    needs: list[str],
     fold: Fold,
     schema: str,
     *,
@@ -152,32 +170,24 @@ def ordered_fold(
 ) -> DataFrame:
     """Runs a sequential rule over each key's rows in order.
 
-    ``fold(rows, state)`` gets consecutive rows of one key and the state left by
-    the rows before them (None at the start of the key) and returns the output
-    rows and the new state as text.
+    ``fold`` gets the columns ``needs`` of consecutive rows of one key and the
+    state left by the rows before them (None at the start of the key).
 
     A key inside one segment is folded once. For a key that fills whole
     segments the states at the boundaries are found by repetition: fold every
     such segment from the state known so far, hand the end states on, and stop
     when no boundary changes. One state per segment passes through the driver.
     """
+    out = T.StructType.fromDDL(schema)
+    names = out.names
     if segments is None and _fits_a_task(df, [key], max_rows_per_key):
-        return _fold_whole_keys(df, key, order, fold, schema)
+        return _fold_whole_keys(df, key, order, needs, fold, out)
     # The rule's rows of one key are needed together only per segment.
     cut = segmented(df, [key], order, segments)
-    columns = [c for c in cut.columns if c != SEGMENT]
-
-    def parts(batches: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, list[tuple[int, int]]] | None:
-        """The segment's rows and the bounds of each key's run in them."""
-        found = [b for b in batches if len(b)]
-        if not found:
-            return None
-        rows = pd.concat(found, ignore_index=True)
-        starts = _starts(rows[key])
-        return rows, list(zip(starts, [*starts[1:], len(rows)]))
 
-    def cut_out(rows: pd.DataFrame, bounds: tuple[int, int]) -> pd.DataFrame:
-        return rows.iloc[bounds[0]:bounds[1]][columns].reset_index(drop=True)
+    def whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+        parts = [b for b in batches if len(b)]
+        return pd.concat(parts, ignore_index=True) if parts else None
 
     key_type = df.schema[key].dataType
     edge_schema = T.StructType([
@@ -188,14 +198,15 @@ def ordered_fold(
     def edges(entering: dict[int, str | None], only: set[int] | None):
         """What each segment hands on: only its last key's run matters."""
         def run(batches):
-            part = parts(batches)
-            if part is None:
+            rows = whole(batches)
+            if rows is None:
                 return
-            rows, bounds = part
+            starts = _starts(rows[key])
             segment = int(rows[SEGMENT].iloc[0])
-            _, state = fold(cut_out(rows, bounds[-1]), entering.get(segment) if len(bounds) == 1 else None)
+            last = {c: rows[c].to_numpy()[starts[-1]:] for c in needs}
+            _, state = fold(last, entering.get(segment) if len(starts) == 1 else None)
             yield pd.DataFrame({"segment": [segment], "first_key": [rows[key].iloc[0]], "last_key": [rows[key].iloc[-1]],
-                                "keys": [len(bounds)], "state": [state]})
+                                "keys": [len(starts)], "state": [state]})
         source = cut if only is None else cut.where(F.col(SEGMENT).isin(sorted(only)))
         return source.mapInPandas(run, edge_schema).collect()
 
@@ -217,12 +228,8 @@ def ordered_fold(
             left[row["segment"]] = row["state"]
 
     def emit(batches):
-        part = parts(batches)
-        if part is None:
-            return
-        rows, bounds = part
-        first = entering.get(int(rows[SEGMENT].iloc[0]))
-        yield pd.concat([fold(cut_out(rows, b), first if i == 0 else None)[0] for i, b in enumerate(bounds)],
-                        ignore_index=True)
-
-    return cut.mapInPandas(emit, schema)
+        rows = whole(batches)
+        if rows is not None:
+            yield _fold_runs(rows, key, needs, fold, entering.get(int(rows[SEGMENT].iloc[0])))[names]
+
+    return cut.mapInPandas(emit, out)

@@ -11,7 +11,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +146,8 @@ def duplicate_report(df: DataFrame, url: str = "url", key: str = "fp") -> DataFr
 
 def _accept(ttl: int):
     """Fold for one key: sorted whole seconds -> those accepted again."""
-    def fold(rows: pd.DataFrame, state: str | None):
-        seconds = rows["second"].to_numpy()
+    def fold(values: dict[str, np.ndarray], state: str | None):
+        seconds = values["second"]
         taken = np.zeros(len(seconds), dtype=bool)
         last = json.loads(state) if state else None
         i = 0 if last is None else int(np.searchsorted(seconds, last + ttl, side="right"))
@@ -156,7 +155,7 @@ def _accept(ttl: int):
             taken[i] = True
             last = int(seconds[i])
             i = int(np.searchsorted(seconds, last + ttl, side="right"))
-        return rows[taken], (None if last is None else json.dumps(last))
+        return {"_keep": taken}, (None if last is None else json.dumps(last))
     return fold
 
 
@@ -173,7 +172,7 @@ def accept_with_ttl(df: DataFrame, key: str, ts: str, row_id: str, ttl: int) ->
     slim = per_second.select(key, "second", F.col("first._ts").alias("ts"), F.col(f"first.{row_id}").alias(row_id))
     fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items())
-    return ordered_fold(slim, key, ["second"], _accept(ttl), schema).select(key, row_id, "ts")
+    return ordered_fold(slim, key, ["second"], ["second"], _accept(ttl), schema).select(key, row_id, "ts")
 
 
 def content_key(columns: Iterable[str]) -> Column:

@@ -25,9 +25,9 @@ def breaker_states(stream: DataFrame, host: str = "host", ts: str = "ts", row_id
 
     def step(group, chunks, state):
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(["_us", row_id]).reset_index(drop=True)
-        out, after = fold(rows, state.get[0] if state.exists else None)
+        made, after = fold({c: rows[c].to_numpy() for c in ("_us", "_ok")}, state.get[0] if state.exists else None)
         state.update((after,))
-        yield out
+        yield rows[[host, "ts", row_id]].assign(**made)
 
     return calls.groupBy(host).applyInPandasWithState(
         step, f"`{host}` {host_type}, ts timestamp, `{row_id}` {id_type}, decision string, state string",

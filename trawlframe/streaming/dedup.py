@@ -43,13 +43,13 @@ def accept_with_ttl(stream: DataFrame, key: str, ts: str, row_id: str, ttl: int,
         if held is None:
             return
         before = state.get[0] if state.exists else None
-        accepted, after = fold(held.reset_index(drop=True), before)
+        taken, after = fold({"second": held["second"].to_numpy()}, before)
         if after is not None:
             state.update((after,))
             expires = (int(after) + ttl + 1) * 1000
             if expires > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(expires)
-        yield accepted[[key, row_id, "ts"]]
+        yield held.loc[taken["_keep"], [key, row_id, "ts"]]
 
     return rows.groupBy(key).applyInPandasWithState(
         step, f"`{key}` {key_type}, `{row_id}` {id_type}, ts timestamp", "last string", "append",
