@@ -170,5 +170,5 @@ def op3_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, a digest of the base spans, and all spans of every document."""
     found = find_spans(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        "doc_id", *(F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
