@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlframe.llm.common import map_runs, merge_edges, stored, table, text_slices
+from trawlframe.llm.common import deal_units, map_runs, merge_edges, smallest_of, stored, table, text_slices
 from trawlframe.llm.components import components
 from trawlframe.plans.registry import query
 
@@ -149,15 +149,6 @@ def leaves(reps: DataFrame, s: Settings) -> DataFrame:
     return done
 
 
-def _units(rows: DataFrame, key: str, n_blocks) -> DataFrame:
-    """Deals the rows of each key to blocks and every two blocks of a key to a unit of work (u, v):
-    any two rows of a key meet in at least one unit, and no unit has more than two blocks."""
-    return (rows.withColumn("blocks", n_blocks.cast("int"))
-            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            .withColumns({"u": F.least("block", "other"), "v": F.greatest("block", "other")}).drop("blocks", "block", "other"))
-
-
 def _linked(n: int, alike) -> np.ndarray:
     """Labels of the components among rows 0..n-1, all pairs decided.
 
@@ -181,9 +172,7 @@ def _linked(n: int, alike) -> np.ndarray:
 
 def _forest(reps: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
     """One edge from each row to the smallest text of its component."""
-    least = np.full(len(reps), np.iinfo(np.int64).max)
-    np.minimum.at(least, labels, reps)
-    roots = least[labels]
+    roots = smallest_of(reps, labels)
     keep = roots != reps
     return pa.RecordBatch.from_arrays([pa.array(reps[keep]), pa.array(roots[keep])], ["a", "b"])
 
@@ -255,14 +244,14 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     reps = stored(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b")
                   .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("picks").alias("picks"),
                        F.first("signature").alias("signature")), "reps")
-    meet = _units(leaves(reps, s), "node", F.ceil(F.col("n") / s.block_rows))
+    meet = deal_units(leaves(reps, s), "rep", F.ceil(F.col("n") / s.block_rows))
     found = map_runs(meet.select("node", "u", "v", "rep").join(reps.select("rep", "signature"), "rep"), ["node", "u", "v"], [],
                      lambda runs: _compare_signatures(runs, s), "a bigint, b bigint")
     together = components(found)
     members = reps.select(F.col("rep"), "set_a", "set_b", "n_shingles").join(together.withColumnRenamed("node", "rep"), "rep")
     sizes = members.groupBy("component").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / s.block_rows, F.sum("n_shingles") / s.block_shingles)).alias("need"))
-    units = _units(members.join(sizes, "component"), "component", F.col("need"))
+    units = deal_units(members.join(sizes, "component"), "rep", F.col("need"))
     texts = units.select("component", "u", "v", "rep", "set_a", "set_b").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
     checked = map_runs(texts, ["component", "u", "v"], ["rep"], lambda runs: _verify(runs, s), "a bigint, b bigint")
     groups = components(checked).withColumnsRenamed({"node": "rep", "component": "smallest"})

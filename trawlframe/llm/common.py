@@ -95,32 +95,14 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[I
     return spread.mapInArrow(lambda batches: work(groups_of(batches, keys)), schema)
 
 
-class Unions:
-    """Union-find over 0..n-1; the smaller root stays."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def root(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return int(i)
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def roots(self) -> np.ndarray:
-        """Root of every element, by pointer jumping."""
-        p = self.parent
-        while True:
-            q = p[p]
-            if np.array_equal(p, q):
-                return p
-            p = self.parent = q
+def deal_units(rows: DataFrame, item: str, n_blocks: Column) -> DataFrame:
+    """``rows`` with a unit of work (u, v): the rows of a key are dealt to ``n_blocks`` blocks by the hash of
+    ``item``, and every two blocks, or one with itself, make a unit. Any two rows of a key meet in a unit, and
+    a unit never holds more than two blocks however many rows the key has. ``block`` says to which block a row belongs."""
+    return (rows.withColumn("n_blocks", n_blocks.cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64(item), F.col("n_blocks")).cast("int"))
+            .withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
+            .withColumns({"u": F.least("block", "other"), "v": F.greatest("block", "other")}).drop("n_blocks", "other"))
 
 
 def merge_edges(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,3 +121,10 @@ def merge_edges(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             if np.array_equal(nxt, labels):
                 break
             labels = nxt
+
+
+def smallest_of(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each row the smallest id with its label."""
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, labels, ids)
+    return least[labels]

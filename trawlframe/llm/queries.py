@@ -1,3 +1,4 @@
 """Imports every module of the subpackage that registers queries."""
 
-from trawlframe.llm import anchor_pii, chosen_path, line_runs, pair_index_bpe, pu_toxicity, temperature_mix  # noqa: F401
+from trawlframe.llm import (  # noqa: F401
+    anchor_pii, chosen_path, collision_projections, line_runs, pair_index_bpe, pu_toxicity, temperature_mix)
