@@ -59,15 +59,8 @@ def text_slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20) -> It
         yield batch.slice(a, b - a)
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys in a stream of batches that is sorted by them.
-
-    Rows of one key must sit in one partition (an explicit repartition by the
-    key). Only the run that reaches a batch's end is carried on, so memory is
-    that of a batch and of the largest run, which callers bound.
-    """
-    held: list[pa.RecordBatch] = []
-    held_key = None
+def segments_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows): the runs of equal keys of each batch; a run that goes on in the next batch comes in several pieces."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -76,14 +69,26 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         change = np.zeros(n, dtype=bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(change), [n]])
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            key = tuple(c[a] for c in columns)
-            if held and key != held_key:
-                yield pa.Table.from_batches(held)
-                held = []
-            held_key = key
-            held.append(batch.slice(a, b - a))
+        starts = [0, *np.flatnonzero(change).tolist(), n]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield tuple(c[a] for c in columns), batch.slice(a, b - a)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole runs of equal keys in a stream of batches that is sorted by them.
+
+    Rows of one key must sit in one partition (an explicit repartition by the
+    key). Only the run that reaches a batch's end is carried on, so memory is
+    that of a batch and of the largest run, which callers bound.
+    """
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for key, rows in segments_of(batches, keys):
+        if held and key != held_key:
+            yield pa.Table.from_batches(held)
+            held = []
+        held_key = key
+        held.append(rows)
     if held:
         yield pa.Table.from_batches(held)
 
