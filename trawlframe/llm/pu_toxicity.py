@@ -40,11 +40,11 @@ class Settings:
     unlabelled: int = 16_000
     words: int = 512
     least_texts: int = 5
+    least_z: float = 5.0
     members: int = 3
     steps: int = 300
     rate: float = 0.1
     penalty: float = 3e-4
-    slack: float = 0.0
     seed: int = 7
 
 
@@ -72,27 +72,34 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_words: int, prior: floa
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
+
+    def shares(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights that make means of the positives and of the unlabelled."""
+        return tuple(chosen * own / max(1.0, (chosen * own).sum()) for own in (positive, ~positive))
+
     weights, biases = [], []
     for member in range(s.members):
         draw = np.random.default_rng(s.seed + member).poisson(1.0, len(rows)).astype(float)  # a bootstrap of the rows
-        if not (draw[positive].sum() and draw[~positive].sum()):
-            draw = np.ones(len(rows))
-        p, u = draw * positive / draw[positive].sum(), draw * ~positive / draw[~positive].sum()
+        (p, u), (p_left, u_left) = shares(draw), shares((draw == 0).astype(float))
         theta, mean, var = np.zeros(n_words + 1), np.zeros(n_words + 1), np.zeros(n_words + 1)
         theta[-1] = np.log(prior / (1 - prior))
+        best, least = theta, np.inf
         for step in range(1, s.steps + 1):
             f = np.bincount(owner, theta[flat], minlength=len(rows)) + theta[-1]
             sigma = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            as_negative = np.logaddexp(0, f)  # loss of calling a row negative; its slope is sigma
-            negative_part = u @ as_negative - prior * (p @ as_negative)
+            as_positive, as_negative = np.logaddexp(0, -f), np.logaddexp(0, f)  # losses of calling a row so
+            # The member keeps the step with the smallest risk on the rows that its bootstrap left out.
+            risk = prior * (p_left @ as_positive) + max(0.0, u_left @ as_negative - prior * (p_left @ as_negative))
+            if risk < least:
+                best, least = theta, risk
             slope = (u - prior * p) * sigma
-            slope = prior * p * (sigma - 1) + slope if negative_part >= -s.slack else -slope
+            slope = prior * p * (sigma - 1) + slope if u @ as_negative >= prior * (p @ as_negative) else -slope
             grad = np.append(np.bincount(flat, slope[owner], minlength=n_words) + s.penalty * theta[:-1], slope.sum())
             mean = 0.9 * mean + 0.1 * grad
             var = 0.999 * var + 0.001 * grad * grad
             theta = theta - s.rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(var / (1 - 0.999 ** step)) + 1e-8)
-        weights.append(theta[:-1])
-        biases.append(theta[-1])
+        weights.append(best[:-1])
+        biases.append(best[-1])
     return np.array(weights), np.array(biases)
 
 
@@ -141,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, pr
               .withColumn("pool", (F.col("p") + F.col("u") + 1) / (n_pos + n_unl + 2))
               .withColumn("z", F.abs(F.col("p") / n_pos - F.col("u") / n_unl)
                           / F.sqrt(F.col("pool") * (1 - F.col("pool")) * (1 / n_pos + 1 / n_unl))))
-    words = tuple(r["word"] for r in shares.orderBy(F.desc("z"), "word").limit(s.words).collect())
+    words = tuple(r["word"] for r in shares.where(F.col("z") >= s.least_z).orderBy(F.desc("z"), "word").limit(s.words).collect())
     shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +183,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             .withColumnRenamed("k", key))
 
 
+def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below the threshold."""
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("t"))
+    return score(rows, model, "row", "t").where(F.col("score") < threshold).select(
+        *(F.col("row").getField(c).alias(c) for c in columns))
+
+
 THRESHOLD = 0.3
 
 
