@@ -109,9 +109,10 @@ def _addresses(text: str, at: int, out: list) -> int:
     parts = region[0].split(".")
     for k in range(0, len(parts) - 3, 4):
         four = parts[k:k + 4]
-        start = at + sum(map(len, parts[:k])) + k
+        end = at + sum(map(len, four)) + 3
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
-            out.append((start, 1, start + sum(map(len, four)) + 3))
+            out.append((at, 1, end))
+        at = end + 1
     return region.end()
 
 

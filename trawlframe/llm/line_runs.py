@@ -90,7 +90,8 @@ def _dropped_lines(docs: DataFrame, s: Settings) -> DataFrame:
     keyed = found.select("doc_id", "copy", (F.col("at") + 1).alias("at"), line_key(F.col("line")).alias("key")).where(
         F.char_length("key") >= s.least_chars)
     # Batches are ranges of doc_id with about as many documents each.
-    cuts = sorted(set(docs.approxQuantile("doc_id", [k / s.batches for k in range(1, s.batches)], 0.01)))
+    shares = [k / s.batches for k in range(1, s.batches)]
+    cuts = sorted(set(docs.approxQuantile("doc_id", shares, 0.01))) if shares else []
     batch = sum((F.col("doc_id") > c).cast("int") for c in cuts) if cuts else F.lit(0)
     lines = stored(keyed.select("doc_id", "copy", "at", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"),
                                 batch.alias("batch")), "lines")

@@ -44,7 +44,7 @@ class Settings:
     members: int = 3
     steps: int = 300
     rate: float = 0.1
-    penalty: float = 3e-4
+    penalty: float = 1e-3
     seed: int = 7
 
 

@@ -124,8 +124,11 @@ def drawn(docs: DataFrame, sources: DataFrame, settings: Settings | None = None)
 def mixture(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture draws it."""
     s = settings or Settings()
-    out = drawn(docs, stored(plan(docs, s), "mix"), s)
-    return out.where("copies > 0").withColumn("draw", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("row"), "doc_id", "source")
+    out = drawn(rows, stored(plan(docs, s), "mix"), s)
+    return out.where("copies > 0").withColumn("draw", F.explode(F.expr("sequence(1L, copies)"))).select(
+        *(F.col("row").getField(c).alias(c) for c in columns))
 
 
 QUERY = Settings(entropy=0.95, repeats=4.0, budget=0.75)
