@@ -18,32 +18,48 @@ def rows_with_a_hot_key(seed, n=4000):
     return [(0 if rng.random() < 0.6 else rng.randrange(1, 60), i, rng.randrange(500)) for i in range(n)]
 
 
-@pytest.mark.parametrize("segments", [None, 1, 5, 23])
-def test_running_equals_window(spark, segments):
-    df = spark.createDataFrame(rows_with_a_hot_key(segments or 2), "k int, id int, x long")
+@pytest.mark.parametrize("rows_per_slice", [1_000_000, 1, 7, 300, 3000])
+def test_running_equals_window(spark, rows_per_slice):
+    df = spark.createDataFrame(rows_with_a_hot_key(rows_per_slice % 97), "k int, id int, x long")
     w = Window.partitionBy("k").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = df.select("k", "id", "x", F.count(F.lit(1)).over(w).alias("n"), F.sum("x").over(w).alias("s"))
-    got = ordered.running(df, ["k"], ["x", "id"], count="n", sums={"s": F.col("x")}, segments=segments)
+    got = ordered.running(df, ["k"], ["x", "id"], count="n", sums={"s": F.col("x")}, rows_per_slice=rows_per_slice)
     assert got.columns == ["k", "id", "x", "s", "n"]
     assert sorted(map(tuple, got.select("k", "id", "x", "n", "s").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_running_without_keys_and_with_null_key(spark):
     df = spark.createDataFrame([(None, i, 1) for i in range(50)] + [(1, i, 1) for i in range(50)], "k int, id int, x long")
-    whole = ordered.running(df, [], ["k", "id"], count="n", segments=6)
+    whole = ordered.running(df, [], ["k", "id"], count="n", rows_per_slice=9)
     assert sorted(r["n"] for r in whole.collect()) == list(range(1, 101))
-    per_key = ordered.running(df, ["k"], ["id"], count="n", segments=6).where("k is null")
+    per_key = ordered.running(df, ["k"], ["id"], count="n", rows_per_slice=9).where("k is null")
     assert sorted(r["n"] for r in per_key.collect()) == list(range(1, 51))
 
 
-def test_a_key_beyond_the_limit_goes_over_segments(spark, monkeypatch):
-    taken = []
-    monkeypatch.setattr(ordered, "segmented", lambda *a, _real=ordered.segmented, **k: taken.append(1) or _real(*a, **k))
-    df = spark.createDataFrame(rows_with_a_hot_key(3), "k int, id int, x long")
-    small = ordered.running(df, ["k"], ["x", "id"], count="n")
-    assert not taken
-    large = ordered.running(df, ["k"], ["x", "id"], count="n", max_rows_per_key=1000)
-    assert taken and sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+@pytest.mark.parametrize("rows_per_slice", [1_000_000, 2, 11])
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_null_measures_and_null_keys_like_a_window(spark, rows_per_slice, partitions):
+    """A sum stays null until its first value, also where whole slices hold nulls only."""
+    rng = random.Random(partitions)
+    rows = [(None if k == 5 else k, i, None if i < 60 or rng.random() < 0.5 else x) for k, i, x in rows_with_a_hot_key(6, 400)]
+    rows += [(None, 1000 + i, None) for i in range(40)] + [(77, 2000 + i, 1 if i < 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, id int, x long").repartition(partitions)
+    w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.select("k", "id", F.sum("x").over(w).alias("s"), F.sum(F.col("x").cast("double")).over(w).alias("d"))
+    got = ordered.running(df, ["k"], ["id"], sums={"s": F.col("x"), "d": F.col("x").cast("double")}, rows_per_slice=rows_per_slice)
+    assert sorted(map(str, got.select("k", "id", "s", "d").collect())) == sorted(map(str, want.collect()))
+
+
+def test_building_a_plan_starts_no_job(spark):
+    df = spark.createDataFrame(rows_with_a_hot_key(3, 100), "k int, id int, x long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "")
+    try:
+        ordered.running(df, ["k"], ["x", "id"], count="n", rows_per_slice=3)
+        ordered.ordered_fold(df, "k", ["x", "id"], ["x"], lambda v, s: ({}, s), "k int, id int, x long")
+        assert not tracker.getJobIdsForGroup("plan-only")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_whole_keys_over_many_arrow_batches(spark):
@@ -54,7 +70,8 @@ def test_whole_keys_over_many_arrow_batches(spark):
         df = spark.createDataFrame(rows, "k int, id int, x long")
 
         def number(values, state):
-            return {"n": np.arange(1, len(values["x"]) + 1)}, None
+            before = int(state or 0)
+            return {"n": np.arange(1, len(values["x"]) + 1) + before}, str(before + len(values["x"]))
         got = ordered.ordered_fold(df, "k", ["x", "id"], ["x"], number, "k int, id int, x long, n long")
         want = ordered.running(df, ["k"], ["x", "id"], count="n")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
@@ -89,9 +106,17 @@ def test_breaker_example(spark):
     assert [r["state"] for r in rows] == ["closed"] * 4 + ["open"] * 5 + ["closed"]
 
 
-@pytest.mark.parametrize("segments, seed, failing", [(None, 6, 0.6), (1, 1, 0.7), (13, 2, 0.7), (29, 3, 0.95), (17, 4, 1.0), (11, 5, 0.3)])
-def test_breaker_like_step_by_step(spark, monkeypatch, segments, seed, failing):
-    monkeypatch.setattr(L, "ordered_fold", lambda *a, **k: ordered.ordered_fold(*a, **{**k, "segments": segments}))
+@pytest.fixture
+def batch_rows(spark, request):
+    """Sequential rules handed on from batch to batch of this many rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("batch_rows, seed, failing", [(10_000, 6, 0.6), (1, 1, 0.7), (13, 2, 0.7), (29, 3, 0.95), (17, 4, 1.0), (111, 5, 0.3)],
+                         indirect=["batch_rows"])
+def test_breaker_like_step_by_step(spark, batch_rows, seed, failing):
     rng = random.Random(seed)
     rows = [(0 if rng.random() < 0.7 else rng.randrange(1, 9), i, rng.randrange(20_000), 503 if rng.random() < failing else 200)
             for i in range(3000)]

@@ -68,9 +68,16 @@ def test_ttl_example(spark):
     assert sorted(r["s"] for r in got.collect()) == [0, 3601, 7202]
 
 
-def test_ttl_with_a_hot_key_over_many_segments(spark, monkeypatch):
-    from trawlframe.operators import ordered
-    monkeypatch.setattr(R, "ordered_fold", lambda *a, **k: ordered.ordered_fold(*a, **{**k, "segments": 7}))
+@pytest.mark.parametrize("batch_rows", [10_000, 7])
+def test_ttl_with_a_hot_key_over_many_batches(spark, batch_rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        _ttl_with_a_hot_key(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _ttl_with_a_hot_key(spark):
     rng = random.Random(5)
     rows = [(0, rng.randrange(40_000)) for _ in range(3000)] + [(rng.randrange(1, 40), rng.randrange(40_000)) for _ in range(1500)]
     rows = [(k, i, t) for i, (k, t) in enumerate(rows)]

@@ -1,12 +1,6 @@
-"""Ordered per-key work that stays parallel when one key is huge.
+"""Ordered per-key work: running numbers and sums that stay parallel when one key is huge, and sequential rules.
 
-A window partitioned by a key sorts that whole key in one task. That is the
-best plan as long as every key fits a task, so the largest key is counted first.
-Beyond the limit rows are range-partitioned by (key, order) instead: a hot key is
-spread over many segments, a segment boundary cuts at most one key, and what has
-to be carried over boundaries is at most one small row per segment.
-
-The order columns must identify a row within its key (end them with an id).
+The order columns must identify a row within its key (end them with an id). Building a plan here starts no job.
 """
 
 from __future__ import annotations
@@ -19,33 +13,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawlframe.session import cut_lineage
-
-SEGMENT = "_segment"
-
-# Rows of one key that one task may sort or fold.
-MAX_ROWS_PER_KEY = 2_000_000
-
-
-def _fits_a_task(df: DataFrame, keys: list[str], limit: int) -> bool:
-    """Counted on the map side first, so the check itself knows no hot key."""
-    if not keys:
-        return False
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return largest is None or largest <= limit
+# Rows of a slice, about; a key with fewer than twice as many has one slice.
+ROWS_PER_SLICE = 1_000_000
+# Sampled rows a slice, about.
+SAMPLES = 100
 
 
-def segmented(df: DataFrame, keys: list[str], order: list, segments: int | None = None) -> DataFrame:
-    """``df`` cut into contiguous ranges of (keys, order), numbered in order.
+def _sliced(df: DataFrame, rows_per_slice: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` (with _key, _order) with _slice: the ranges of the order that its key is cut into; and the cut keys.
 
-    The numbers depend on sampled range bounds, so the result is checkpointed
-    before anything is derived from them.
+    Bounds are taken from rows picked by a hash of key and order, so they are the
+    same whenever a part of the plan is computed again. There is a bound for
+    about every ``rows_per_slice`` rows of a large key and none for others, which limits the
+    broadcast side to that fraction of the rows.
     """
-    bounds = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = (df.repartitionByRange(segments, *bounds) if segments
-              else df.repartitionByRange(*bounds))
-    return cut_lineage(
-        ranged.sortWithinPartitions(*bounds).withColumn(SEGMENT, F.spark_partition_id()))
+    every = max(1, rows_per_slice // SAMPLES)
+    per_slice = max(1, rows_per_slice // every)
+    picked = df.where(F.pmod(F.xxhash64("_key", "_order"), F.lit(every)) == 0)
+    bounds = (picked.groupBy("_key").agg(F.array_sort(F.collect_list("_order")).alias("_s")).where(F.size("_s") >= 2 * per_slice)
+              .select(F.col("_key").alias("_cut"), F.expr(f"filter(_s, (x, i) -> i > 0 AND i % {per_slice} = 0)").alias("_bounds")))
+    # A struct equals another one with nulls in the same places, so null keys meet too.
+    joined = df.join(F.broadcast(bounds), F.col("_key") == F.col("_cut"), "left")
+    place = F.size(F.filter("_bounds", lambda b: b <= F.col("_order")))
+    return joined.withColumn("_slice", F.coalesce(place, F.lit(0))).drop("_cut", "_bounds"), bounds
 
 
 def running(
@@ -55,50 +45,36 @@ def running(
     *,
     count: str | None = None,
     sums: dict[str, Column] | None = None,
-    segments: int | None = None,
-    max_rows_per_key: int = MAX_ROWS_PER_KEY,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Adds a 1-based row number and inclusive running sums per key.
 
-    Equals ``row_number()`` / ``sum()`` over (partition by keys order by order),
-    with the work of a hot key split over segments (``segments``: always, that
-    many).
+    Equals ``row_number()`` / ``sum()`` over (partition by keys order by order); a sum is null until its
+    first value that is not. Windows run over slices of a key, and what the earlier slices of a cut key add
+    is joined on, a row for each slice.
     """
     measures = {name: expr for name, expr in (sums or {}).items()}
     if count:
         measures[count] = F.lit(1).cast("long")
-    df = df.select("*", *[expr.alias(name) for name, expr in measures.items()])
-    ordering = [F.col(o) if isinstance(o, str) else o for o in order]
-    if segments is None and _fits_a_task(df, keys, max_rows_per_key):
-        w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(*[c for c in df.columns if c not in measures], *[F.sum(m).over(w).alias(m) for m in measures])
-
-    cut = segmented(df, keys, order, segments)
-    local = (Window.partitionBy(*keys, SEGMENT).orderBy(*ordering)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    earlier = (Window.partitionBy(*keys).orderBy(SEGMENT)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    totals = cut.groupBy(*keys, SEGMENT).agg(*[F.sum(m).alias(m) for m in measures])
-    # A key that lies in one segment has nothing to carry; dropping those
-    # leaves at most one row per segment boundary, which is safe to broadcast.
-    carry = (
-        totals.select(*keys, SEGMENT, *[F.sum(m).over(earlier).alias(f"_carry_{m}") for m in measures],
-                      F.count(F.lit(1)).over(earlier).alias("_before"))
-        .where("_before > 0").drop("_before"))
-    carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                         F.col(SEGMENT).alias("_seg"), *[f"_carry_{m}" for m in measures])
-
-    on = F.col(SEGMENT) == F.col("_seg")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    rows = cut.select(
-        *[c for c in cut.columns if c not in measures],
-        *[F.sum(m).over(local).alias(m) for m in measures])
-    joined = rows.join(F.broadcast(carry), on, "left")
-    return joined.select(
-        *[c for c in df.columns if c not in measures],
-        *[(F.col(m) + F.coalesce(F.col(f"_carry_{m}"), F.lit(0).cast(df.schema[m].dataType))).alias(m)
-          for m in measures])
+    own = [c for c in df.columns if c not in measures]
+    columns = [F.col(o) if isinstance(o, str) else o for o in order]
+    named = df.select("*", *[expr.alias(f"_m_{name}") for name, expr in measures.items()],
+                      F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("k0")]).alias("_key"),
+                      F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)]).alias("_order"))
+    rows, bounds = _sliced(named, rows_per_slice)
+    inside = Window.partitionBy("_key", "_slice").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.join(F.broadcast(bounds.select(F.col("_cut").alias("_key"))), "_key", "left_semi")
+    carry = (cut.groupBy("_key", "_slice").agg(*[F.sum(f"_m_{m}").alias(f"_t_{m}") for m in measures])
+             .select(F.col("_key").alias("_ck"), F.col("_slice").alias("_cs"), *[F.sum(f"_t_{m}").over(earlier).alias(f"_c_{m}") for m in measures]))
+    summed = rows.select(*own, "_key", "_slice", *[F.sum(f"_m_{m}").over(inside).alias(f"_l_{m}") for m in measures])
+    # As small as the bounds: a row for each slice of a cut key.
+    joined = summed.join(F.broadcast(carry), (F.col("_key") == F.col("_ck")) & (F.col("_slice") == F.col("_cs")), "left")
+
+    def total(m: str) -> Column:
+        local, before = F.col(f"_l_{m}"), F.col(f"_c_{m}").cast(summed.schema[f"_l_{m}"].dataType)
+        return F.coalesce(local + before, local, before).alias(m)
+    return joined.select(*own, *[total(m) for m in measures])
 
 
 # Values of one key's consecutive rows and the state before them -> values of
@@ -106,7 +82,7 @@ def running(
 Fold = Callable[[dict[str, np.ndarray], str | None], tuple[dict[str, np.ndarray], str | None]]
 
 
-def _starts(keys: pd.Series) -> np.ndarray:
+def starts(keys: pd.Series) -> np.ndarray:
     """Positions where a new key begins; null is a key like any other."""
     before = keys.shift()
     same = (keys == before).to_numpy(dtype=bool, na_value=False) | (keys.isna() & before.isna()).to_numpy()
@@ -114,122 +90,37 @@ def _starts(keys: pd.Series) -> np.ndarray:
     return np.flatnonzero(~same)
 
 
-def _fold_runs(rows: pd.DataFrame, key: str, needs: list[str], fold: Fold, state: str | None = None) -> pd.DataFrame:
-    """Folds each key's run in ``rows``; ``state`` is what the first one enters with."""
-    values = {c: rows[c].to_numpy() for c in needs}
-    starts = _starts(rows[key])
-    made: dict[str, list[np.ndarray]] = {}
-    for a, b in zip(starts, [*starts[1:], len(rows)]):
-        new, _ = fold({c: v[a:b] for c, v in values.items()}, state if a == 0 else None)
-        for name, column in new.items():
-            made.setdefault(name, []).append(column)
-    out = rows.assign(**{name: np.concatenate(parts) for name, parts in made.items()})
-    return out[out["_keep"]] if "_keep" in made else out
+def same_key(a, b) -> bool:
+    return bool(pd.isna(a) and pd.isna(b)) or bool(not pd.isna(a) and not pd.isna(b) and a == b)
 
 
-def _fold_whole_keys(df: DataFrame, key: str, order: list[str], needs: list[str], fold: Fold, schema: T.StructType) -> DataFrame:
-    """One shuffle: each task streams through its sorted keys and holds back
-    only the rows of the last key, which the next batch may continue."""
-    names = schema.names
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            if held:
-                keys = pd.concat([held[-1][key].tail(1), batch[key]], ignore_index=True)
-                starts = _starts(keys)[1:] - 1
-            else:
-                starts = _starts(batch[key])
-            if not len(starts):
-                held.append(batch)
-                continue
-            last = starts[-1]
-            done = pd.concat([*held, batch.iloc[:last]], ignore_index=True)
-            held = [batch.iloc[last:]]
-            if len(done):
-                yield _fold_runs(done, key, needs, fold)[names]
-        if held:
-            yield _fold_runs(pd.concat(held, ignore_index=True), key, needs, fold)[names]
-
-    rows = df.repartition(F.col(key)).sortWithinPartitions(key, *order)
-    return rows.mapInPandas(run, schema)
-
-
-def ordered_fold(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    needs: list[str],
-    fold: Fold,
-    schema: str,
-    *,
-    segments: int | None = None,
-    max_rows_per_key: int = MAX_ROWS_PER_KEY,
-) -> DataFrame:
+def ordered_fold(df: DataFrame, key: str, order: list[str], needs: list[str], fold: Fold, schema: str) -> DataFrame:
     """Runs a sequential rule over each key's rows in order.
 
     ``fold`` gets the columns ``needs`` of consecutive rows of one key and the
-    state left by the rows before them (None at the start of the key).
-
-    A key inside one segment is folded once. For a key that fills whole
-    segments the states at the boundaries are found by repetition: fold every
-    such segment from the state known so far, hand the end states on, and stop
-    when no boundary changes. One state per segment passes through the driver.
+    state left by the rows before them (None at the start of the key). A task streams through its
+    sorted rows and carries one state from batch to batch, so a key of any length needs the memory of a
+    batch; the sort spills. The rule of one key is sequential, so a key is one task's work: reduce its rows
+    first where the rule allows it.
     """
     out = T.StructType.fromDDL(schema)
     names = out.names
-    if segments is None and _fits_a_task(df, [key], max_rows_per_key):
-        return _fold_whole_keys(df, key, order, needs, fold, out)
-    # The rule's rows of one key are needed together only per segment.
-    cut = segmented(df, [key], order, segments)
-
-    def whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-        parts = [b for b in batches if len(b)]
-        return pd.concat(parts, ignore_index=True) if parts else None
-
-    key_type = df.schema[key].dataType
-    edge_schema = T.StructType([
-        T.StructField("segment", T.IntegerType()), T.StructField("first_key", key_type),
-        T.StructField("last_key", key_type), T.StructField("keys", T.LongType()),
-        T.StructField("state", T.StringType())])
-
-    def edges(entering: dict[int, str | None], only: set[int] | None):
-        """What each segment hands on: only its last key's run matters."""
-        def run(batches):
-            rows = whole(batches)
-            if rows is None:
-                return
-            starts = _starts(rows[key])
-            segment = int(rows[SEGMENT].iloc[0])
-            last = {c: rows[c].to_numpy()[starts[-1]:] for c in needs}
-            _, state = fold(last, entering.get(segment) if len(starts) == 1 else None)
-            yield pd.DataFrame({"segment": [segment], "first_key": [rows[key].iloc[0]], "last_key": [rows[key].iloc[-1]],
-                                "keys": [len(starts)], "state": [state]})
-        source = cut if only is None else cut.where(F.col(SEGMENT).isin(sorted(only)))
-        return source.mapInPandas(run, edge_schema).collect()
-
-    found = {row["segment"]: row for row in edges({}, None)}
-    left = {s: row["state"] for s, row in found.items()}
-    order_of = sorted(found)
-    previous = {s: p for p, s in zip(order_of, order_of[1:])
-                if found[p]["last_key"] == found[s]["first_key"]}
-    entering: dict[int, str | None] = {}
-    while True:
-        wanted = {s: left[p] for s, p in previous.items()}
-        changed = {s for s in wanted if wanted[s] != entering.get(s)}
-        entering = wanted
-        # Only a segment filled by a single key can pass a changed state on.
-        again = {s for s in changed if found[s]["keys"] == 1}
-        if not again:
-            break
-        for row in edges(entering, again):
-            left[row["segment"]] = row["state"]
-
-    def emit(batches):
-        rows = whole(batches)
-        if rows is not None:
-            yield _fold_runs(rows, key, needs, fold, entering.get(int(rows[SEGMENT].iloc[0])))[names]
-
-    return cut.mapInPandas(emit, out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, state, first = None, None, True
+        for rows in batches:
+            if not len(rows):
+                continue
+            values = {c: rows[c].to_numpy() for c in needs}
+            cuts = starts(rows[key]).tolist()
+            made: dict[str, list[np.ndarray]] = {}
+            for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+                goes_on = a == 0 and not first and same_key(last_key, rows[key].iloc[0])
+                new, state = fold({c: v[a:b] for c, v in values.items()}, state if goes_on else None)
+                for name, column in new.items():
+                    made.setdefault(name, []).append(column)
+            last_key, first = rows[key].iloc[-1], False
+            done = rows.assign(**{name: np.concatenate(parts) for name, parts in made.items()})
+            yield (done[done["_keep"]] if "_keep" in made else done)[names]
+
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, out)
