@@ -32,7 +32,8 @@ ERROR_TYPES = (
 
 
 def is_success(status: Column) -> Column:
-    return status == 200
+    """Never null: a fetch without a status (timeout, lost connection) failed."""
+    return status.eqNullSafe(F.lit(200))
 
 
 def outcome_class(
@@ -42,12 +43,13 @@ def outcome_class(
     failure: Column | None = None,
 ) -> Column:
     """ok, rate_limit, server, proxy, cookie, timeout, network or http_error.
-    ``failure`` ('timeout' / 'connection') tells of a fetch without a response."""
+    ``failure`` ('timeout' / 'connection') tells of a fetch without a response; neither
+    that nor a status: network."""
     no = F.lit(False)
     proxy = used_proxy if used_proxy is not None else no
     cookies = used_cookies if used_cookies is not None else no
     kind = failure if failure is not None else F.lit(None).cast("string")
-    return (F.when(kind == "timeout", "timeout").when(kind.isNotNull(), "network")
+    return (F.when(kind == "timeout", "timeout").when(kind.isNotNull() | status.isNull(), "network")
             .when(status == 200, "ok").when(status == 429, "rate_limit")
             .when(status.isin(*SERVER_STATUS), "server")
             .when((status == 407) & proxy, "proxy")
@@ -56,8 +58,8 @@ def outcome_class(
 
 
 def retryable_status(status: Column, extra: Iterable[int] = ()) -> Column:
-    """Listed statuses; of the others, client errors are final and server errors not."""
-    return status.isin(*RETRY_STATUS, *extra) | (status >= 500)
+    """Listed statuses and fetches without one; of the others, client errors are final and server errors not."""
+    return status.isNull() | status.isin(*RETRY_STATUS, *extra) | (status >= 500)
 
 
 def retryable_class(
@@ -80,7 +82,7 @@ def retryable_error(code: Column, details: Column) -> Column:
     both true when absent."""
     def flag(name: str) -> Column:
         return ~F.coalesce(F.lower(details[name]).isin("false", "0", "", "none", "null"), F.lit(False))
-    return flag("retryable") & flag("recoverable") & ~code.isin(*NEVER_RETRY_CODES)
+    return flag("retryable") & flag("recoverable") & ~F.coalesce(code.isin(*NEVER_RETRY_CODES), F.lit(False))
 
 
 def error_dimension(spark: SparkSession) -> DataFrame:
@@ -100,7 +102,8 @@ def with_error_class(df: DataFrame, error_type: str = "error_type") -> DataFrame
 
 
 def error_context(error_class: Column, message: Column, code: Column, details: Column, ts: Column) -> Column:
-    """Error as a struct for logs."""
+    """Error as a struct for logs; without a code it is 500."""
+    code = F.coalesce(code, F.lit(500))
     return F.struct(
         error_class.alias("exception_type"), F.concat(F.lit("["), code.cast("string"), F.lit("] "), message).alias("message"),
         ts.alias("timestamp"), code.alias("code"), details.alias("details"),

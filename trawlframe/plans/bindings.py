@@ -13,19 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as fetch outcomes per host."""
-    e = table(spark, sf_dir, "events")
+def fetches(events: DataFrame) -> DataFrame:
+    """events as fetch outcomes per host; every third error is a lost connection without a status."""
     kind = F.col("event_type")
     status = (F.when(kind.isin("view", "click"), 200).when(kind == "signup", 404)
-              .when(kind == "purchase", 429).when(kind == "error", 503))
-    return e.select("event_id", "ts", F.col("user_id").alias("host"), status.alias("status_code"),
-                    (F.col("value") / 100).alias("response_time"))
+              .when(kind == "purchase", 429).when((kind == "error") & (F.col("event_id") % 3 != 0), 503))
+    return events.select("event_id", "ts", F.col("user_id").alias("host"), status.alias("status_code"),
+                         (F.col("value") / 100).alias("response_time"))
+
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetches(table(spark, sf_dir, "events"))
 
 
 FETCH_LOG_SQL = """(SELECT event_id, ts, user_id AS host,
   CASE WHEN event_type IN ('view','click') THEN 200 WHEN event_type='signup' THEN 404
-       WHEN event_type='purchase' THEN 429 WHEN event_type='error' THEN 503 END AS status_code,
+       WHEN event_type='purchase' THEN 429 WHEN event_type='error' AND event_id % 3 <> 0 THEN 503 END AS status_code,
   value/100 AS response_time FROM events)"""
 
 

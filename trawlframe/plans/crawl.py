@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawlframe.functions.urls import domain_of, normalize_url, resolve_href, url_part
@@ -194,10 +194,15 @@ def frontier_minus_seen(spark, sf_dir):
     return R.unseen(frontier, links.where("pos = 0").select(F.col("dst_url").alias("url")).distinct(), "url")
 
 
-@query("next_page_chains", f"""
-SELECT url AS start_url, 1 AS depth, url FROM pages
-UNION ALL SELECT DISTINCT p.url, 2, e.dst_url FROM pages p JOIN {EDGES_SQL} e ON e.src_url = p.url WHERE e.dst_url <> p.url""")
+@query("next_page_chains", """
+WITH g AS (SELECT page_id, page_id // 6 AS g, row_number() OVER (PARTITION BY page_id // 6 ORDER BY page_id) AS rn FROM pages)
+SELECT 'http://chain.example/' || s.page_id AS start_url, CAST(t.rn AS INTEGER) AS depth, 'http://chain.example/' || t.page_id AS url
+FROM g s JOIN g t ON s.g = t.g AND s.rn = 1 WHERE t.rn <= 5""")
 def next_page_chains(spark, sf_dir):
-    """Pages and what they link to; no link leads to another given page."""
-    p = pages(spark, sf_dir)
-    return X.follow_pages(p, "a::attr(href)", p.select("url"), 4)
+    """Chains over the pages, six by six, each with a link to the next one; at most five pages of a chain."""
+    six = Window.partitionBy(F.floor(F.col("page_id") / 6)).orderBy("page_id")
+    place = F.concat(F.lit("http://chain.example/"), F.col("page_id"))
+    linked = pages(spark, sf_dir).select("page_id", place.alias("url"), F.concat(
+        F.coalesce(F.concat(F.lit('<a class="next" href="'), F.lead(place).over(six), F.lit('">next</a>')), F.lit("")), "html").alias("html"),
+        F.row_number().over(six).alias("n"))
+    return X.follow_pages(linked.drop("n"), "a.next::attr(href)", linked.where("n = 1").select("url"), 5)

@@ -22,7 +22,7 @@ def usable_pages(spark, sf_dir):
 
 
 _STATS = """count(*) AS total_requests, count(*) FILTER (status_code = 200) AS successful_requests,
-  count(*) FILTER (status_code <> 200) AS failed_requests,
+  count(*) FILTER (status_code IS DISTINCT FROM 200) AS failed_requests,
   round(count(*) FILTER (status_code = 200) / count(*), 6) AS success_rate, round(avg(response_time), 6) AS average_response_time"""
 
 
@@ -38,7 +38,7 @@ def download_stats_by_host(spark, sf_dir):
 
 @query("daily_crawl_stats", f"""
 SELECT host, CAST(ts AS DATE) AS date, count(*) AS requests_count, count(*) FILTER (status_code = 200) AS success_count,
-  count(*) FILTER (status_code <> 200) AS failed_count, round(sum(response_time), 6) AS total_response_time
+  count(*) FILTER (status_code IS DISTINCT FROM 200) AS failed_count, round(sum(response_time), 6) AS total_response_time
 FROM {FETCH_LOG_SQL} GROUP BY ALL""")
 def daily_crawl_stats(spark, sf_dir):
     return rounded(L.daily_stats(fetch_log(spark, sf_dir), "host"), "total_response_time")
@@ -65,7 +65,7 @@ def adaptive_retry(spark, sf_dir):
 
 
 @query("failure_streaks", f"""
-WITH r AS (SELECT host, status_code = 200 AS ok, sum(CASE WHEN status_code = 200 THEN 1 ELSE 0 END)
+WITH r AS (SELECT host, status_code IS NOT DISTINCT FROM 200 AS ok, sum(CASE WHEN status_code = 200 THEN 1 ELSE 0 END)
              OVER (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM {FETCH_LOG_SQL}),
 s AS (SELECT host, run, count(*) FILTER (NOT ok) AS n FROM r GROUP BY host, run)
 SELECT host, max(n) AS longest_streak, max_by(n, run) AS current_streak, max(n) >= 5 AS alarm FROM s GROUP BY host""")
@@ -76,14 +76,14 @@ def failure_streaks(spark, sf_dir):
 @query("retry_plan", f"""
 SELECT event_id, ts, host, status_code, response_time, k AS attempt, least(power(2.0, k), 60.0)::DOUBLE AS delay,
   least(0.5 * power(2.0, k), 60.0)::DOUBLE AS delay_low, least(1.5 * power(2.0, k), 60.0)::DOUBLE AS delay_high
-FROM {FETCH_LOG_SQL}, (SELECT CAST(unnest(range(0, 7)) AS INTEGER) AS k) WHERE status_code IN (429, 503)""")
+FROM {FETCH_LOG_SQL}, (SELECT CAST(unnest(range(0, 7)) AS INTEGER) AS k) WHERE status_code IN (429, 503) OR status_code IS NULL""")
 def retry_plan(spark, sf_dir):
     return L.retry_plan(fetch_log(spark, sf_dir), max_retries=7)
 
 
 _BREAKER_SQL = f"""
 WITH RECURSIVE c AS (
-  SELECT host, ts, event_id, epoch_us(ts) AS us, status_code = 200 AS ok,
+  SELECT host, ts, event_id, epoch_us(ts) AS us, status_code IS NOT DISTINCT FROM 200 AS ok,
          row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS rn FROM {FETCH_LOG_SQL}),
 walk AS (
   SELECT host, 0::BIGINT AS rn, NULL::TIMESTAMP AS ts, NULL::BIGINT AS event_id, 'closed' AS state, 'accepted' AS decision,
@@ -111,9 +111,10 @@ def breaker_replay_long_recovery(spark, sf_dir):
 
 
 @query("outcome_classes", f"""
-SELECT event_id, CASE status_code WHEN 200 THEN 'ok' WHEN 429 THEN 'rate_limit' WHEN 503 THEN 'server' ELSE 'http_error' END AS outcome,
-  status_code IN (429, 503) AS retryable, status_code IN (404, 429, 503) AS retryable_custom,
-  status_code IN (429, 503) AS retryable_by_class FROM {FETCH_LOG_SQL}""")
+SELECT event_id, CASE WHEN status_code IS NULL THEN 'network' WHEN status_code = 200 THEN 'ok' WHEN status_code = 429 THEN 'rate_limit'
+    WHEN status_code = 503 THEN 'server' ELSE 'http_error' END AS outcome,
+  coalesce(status_code, 503) IN (429, 503) AS retryable, coalesce(status_code, 503) IN (404, 429, 503) AS retryable_custom,
+  coalesce(status_code, 503) IN (429, 503) AS retryable_by_class FROM {FETCH_LOG_SQL}""")
 def outcome_classes(spark, sf_dir):
     log = fetch_log(spark, sf_dir)
     status = F.col("status_code")
@@ -139,22 +140,23 @@ def outcome_classes_by_route(spark, sf_dir):
 
 
 @query("error_dimension_join", f"""
-SELECT outcome, any_value(CASE outcome WHEN 'rate_limit' THEN 'RateLimitException' WHEN 'server' THEN 'ServerException' ELSE 'Exception' END) AS error_class,
+SELECT outcome, any_value(CASE outcome WHEN 'rate_limit' THEN 'RateLimitException' WHEN 'server' THEN 'ServerException' WHEN 'network' THEN 'NetworkException' ELSE 'Exception' END) AS error_class,
   any_value(CASE outcome WHEN 'rate_limit' THEN 429 ELSE 500 END) AS code, count(*) AS failures
-FROM (SELECT CASE status_code WHEN 429 THEN 'rate_limit' WHEN 503 THEN 'server' ELSE 'http_error' END AS outcome
-      FROM {FETCH_LOG_SQL} WHERE status_code <> 200) GROUP BY outcome""")
+FROM (SELECT CASE WHEN status_code IS NULL THEN 'network' WHEN status_code = 429 THEN 'rate_limit' WHEN status_code = 503 THEN 'server'
+        ELSE 'http_error' END AS outcome
+      FROM {FETCH_LOG_SQL} WHERE status_code IS DISTINCT FROM 200) GROUP BY outcome""")
 def error_dimension_join(spark, sf_dir):
-    log = fetch_log(spark, sf_dir).where("status_code <> 200")
+    log = fetch_log(spark, sf_dir).where("status_code IS DISTINCT FROM 200")
     counted = log.groupBy(O.outcome_class(F.col("status_code")).alias("outcome")).agg(F.count(F.lit(1)).alias("failures"))
     return O.with_error_class(counted, "outcome").select("outcome", "error_class", "code", "failures")
 
 
 @query("error_retryable", f"""
-SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'false' ELSE 'true' END = 'true' AND event_id % 3 <> 0 AND status_code <> 404 AS retryable
-FROM {FETCH_LOG_SQL} WHERE status_code <> 200""")
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'false' ELSE 'true' END = 'true' AND event_id % 3 <> 0 AND status_code IS DISTINCT FROM 404 AS retryable
+FROM {FETCH_LOG_SQL} WHERE status_code IS DISTINCT FROM 200""")
 def error_retryable(spark, sf_dir):
     """Failed fetches as errors whose details carry the two flags."""
-    log = fetch_log(spark, sf_dir).where("status_code <> 200")
+    log = fetch_log(spark, sf_dir).where("status_code IS DISTINCT FROM 200")
     details = F.create_map(
         F.lit("retryable"), F.when(F.col("event_id") % 5 == 0, "false").otherwise("true"),
         F.lit("recoverable"), F.when(F.col("event_id") % 3 == 0, "0").otherwise("1"))
@@ -162,10 +164,11 @@ def error_retryable(spark, sf_dir):
 
 
 @query("error_contexts", f"""
-SELECT event_id, '[' || status_code || '] fetch failed' AS message, status_code AS code, ts AS at, status_code <> 404 AS retryable
-FROM {FETCH_LOG_SQL} WHERE status_code <> 200""")
+SELECT event_id, '[' || coalesce(status_code, 500) || '] fetch failed' AS message, coalesce(status_code, 500) AS code, ts AS at,
+  status_code IS DISTINCT FROM 404 AS retryable
+FROM {FETCH_LOG_SQL} WHERE status_code IS DISTINCT FROM 200""")
 def error_contexts(spark, sf_dir):
-    log = fetch_log(spark, sf_dir).where("status_code <> 200")
+    log = fetch_log(spark, sf_dir).where("status_code IS DISTINCT FROM 200")
     context = O.error_context(F.lit("NetworkException"), F.lit("fetch failed"), F.col("status_code"),
                               F.create_map(F.lit("url"), F.col("host").cast("string")), F.col("ts"))
     return log.select("event_id", context.alias("c")).select(

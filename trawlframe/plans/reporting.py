@@ -76,9 +76,9 @@ def proxy_pool_stats(spark, sf_dir):
 
 
 @query("proxy_pool_from_log", f"""
-SELECT host AS url, CASE WHEN max_by(status_code, {{'t': ts, 'i': event_id}}) = 200 THEN 'active' ELSE 'inactive' END AS status,
+SELECT host AS url, CASE WHEN max_by(coalesce(status_code, 0), {{'t': ts, 'i': event_id}}) = 200 THEN 'active' ELSE 'inactive' END AS status,
   max_by(response_time, {{'t': ts, 'i': event_id}}) AS response_time, count(*) FILTER (status_code = 200) AS success_count,
-  count(*) FILTER (status_code <> 200) AS failure_count, max(ts) AS last_tested FROM {FETCH_LOG_SQL} GROUP BY host""")
+  count(*) FILTER (status_code IS DISTINCT FROM 200) AS failure_count, max(ts) AS last_tested FROM {FETCH_LOG_SQL} GROUP BY host""")
 def proxy_pool_from_log(spark, sf_dir):
     return PO.pool_from_outcomes(fetch_log(spark, sf_dir), "host")
 
@@ -198,12 +198,13 @@ def link_domain_counts(spark, sf_dir):
 
 @query("crawl_remaining", f"""
 WITH t AS (SELECT url, in_degree FROM {_TARGETS_SQL}),
-e AS (SELECT {sql_normalized('url')} AS url, count(*) AS errors FROM pages JOIN events ON event_id % 97 = page_id % 97 AND event_type = 'error' GROUP BY 1)
-SELECT url, in_degree, CAST(0 AS BIGINT) AS errors FROM t WHERE url NOT IN (SELECT {sql_normalized('url')} FROM pages)""")
+e AS (SELECT {sql_normalized('dst_url')} AS url, count(*) AS errors FROM {EDGES_SQL} WHERE pos % 3 = 1 GROUP BY 1)
+SELECT url, in_degree, coalesce(errors, 0) AS errors FROM t LEFT JOIN e USING (url) WHERE url NOT IN (SELECT {sql_normalized('url')} FROM pages)""")
 def crawl_remaining(spark, sf_dir):
-    """Targets not crawled yet with their errors (failed pages are crawled ones)."""
-    p = pages(spark, sf_dir).select(normalize_url("url").alias("url"))
-    return Q.remaining(LG.in_degrees(_graph(spark, sf_dir)), p, p, key="url")
+    """Targets not crawled yet with their errors; every third link of a page stands for a failed attempt at its target."""
+    crawled = pages(spark, sf_dir).select(normalize_url("url").alias("url"))
+    failed = edges(spark, sf_dir).where("pos % 3 = 1").select(normalize_url("dst_url").alias("url"))
+    return Q.remaining(LG.in_degrees(_graph(spark, sf_dir)), crawled, failed, key="url")
 
 
 @query("next_page_links", f"""
@@ -372,7 +373,7 @@ UNION ALL SELECT 'proxy_pool', s, (SELECT count(*) FROM {_POOL_SQL} WHERE status
 UNION ALL SELECT 'proxy_pool', 'average_response_time', round(avg(response_time), 6) FROM {_POOL_SQL}
 UNION ALL SELECT 'downloads', 'total_requests', count(*) FROM events
 UNION ALL SELECT 'downloads', 'successful_requests', count(*) FROM {FETCH_LOG_SQL} WHERE status_code = 200
-UNION ALL SELECT 'downloads', 'failed_requests', count(*) FROM {FETCH_LOG_SQL} WHERE status_code <> 200
+UNION ALL SELECT 'downloads', 'failed_requests', count(*) FROM {FETCH_LOG_SQL} WHERE status_code IS DISTINCT FROM 200
 UNION ALL SELECT 'downloads', 'success_rate', round(avg(CASE WHEN status_code = 200 THEN 1 ELSE 0 END), 6) FROM {FETCH_LOG_SQL}
 UNION ALL SELECT 'downloads', 'average_response_time', round(avg(response_time), 6) FROM {FETCH_LOG_SQL}
 UNION ALL SELECT 'tasks', 'total_tasks', count(*) FROM orders
@@ -386,10 +387,13 @@ def system_statistics(spark, sf_dir):
         "proxy_pool": PO.pool_stats(_pool(spark, sf_dir)), "downloads": L.download_stats(fetch_log(spark, sf_dir)), "tasks": task_row}), "value")
 
 
+_RATE_SQL = f"(SELECT avg(CASE WHEN status_code = 200 THEN 1 ELSE 0 END) AS r FROM {FETCH_LOG_SQL})"
+
+
 @query("system_health", f"""
 SELECT 'proxy_pool' AS component, CASE WHEN a > 0 THEN 'healthy' ELSE 'warning' END AS status, a::DOUBLE AS detail FROM (SELECT count(*) FILTER (status = 'active') AS a FROM {_POOL_SQL})
-UNION ALL SELECT 'downloads', 'unhealthy', round(avg(CASE WHEN status_code = 200 THEN 1 ELSE 0 END), 6) FROM {FETCH_LOG_SQL}
-UNION ALL SELECT 'overall', 'unhealthy', NULL""")
+UNION ALL SELECT 'downloads', CASE WHEN r >= 0.5 THEN 'healthy' ELSE 'unhealthy' END, round(r, 6) FROM {_RATE_SQL}
+UNION ALL SELECT 'overall', CASE WHEN r >= 0.5 THEN 'healthy' ELSE 'unhealthy' END, NULL FROM {_RATE_SQL}""")
 def system_health(spark, sf_dir):
     pool, downloads = PO.pool_stats(_pool(spark, sf_dir)), L.download_stats(fetch_log(spark, sf_dir))
     return rounded(RP.health({

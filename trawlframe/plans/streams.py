@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trawlframe.functions.urls import domain_of
 from trawlframe.operators.requests import fingerprint
-from trawlframe.plans.bindings import FETCH_LOG_SQL, RESULTS_SQL, sql_normalized, sql_url_part, table
+from trawlframe.plans.bindings import FETCH_LOG_SQL, RESULTS_SQL, fetches, sql_normalized, sql_url_part, table
 from trawlframe.plans.crawl import _TTL_SQL
 from trawlframe.plans.fetching import _BREAKER_SQL, rounded
 from trawlframe.plans.registry import query
@@ -23,10 +23,7 @@ def _stream(spark, sf_dir, name):
 
 
 def _fetches(spark, sf_dir):
-    kind = F.col("event_type")
-    status = (F.when(kind.isin("view", "click"), 200).when(kind == "signup", 404).when(kind == "purchase", 429).when(kind == "error", 503))
-    return _stream(spark, sf_dir, "events").select(
-        "event_id", "ts", F.col("user_id").alias("host"), status.alias("status_code"), (F.col("value") / 100).alias("response_time"))
+    return fetches(_stream(spark, sf_dir, "events"))
 
 
 def _run(spark, stream, label, mode="append"):
@@ -76,7 +73,7 @@ def stream_ingest_pages(spark, sf_dir):
 
 
 @query("stream_progress", f"""
-SELECT task_id, count(*) AS done_count, count(*) FILTER (status_code = 200) AS success_count, count(*) FILTER (status_code <> 200) AS failed_count FROM {RESULTS_SQL} GROUP BY 1""")
+SELECT task_id, count(*) AS done_count, count(*) FILTER (status_code = 200) AS success_count, count(*) FILTER (status_code IS DISTINCT FROM 200) AS failed_count FROM {RESULTS_SQL} GROUP BY 1""")
 def stream_progress(spark, sf_dir):
     base = scratch_path(spark, "stream-progress")
     done = _stream(spark, sf_dir, "lineitem").select(

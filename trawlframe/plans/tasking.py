@@ -217,7 +217,7 @@ def task_status_view(spark, sf_dir):
 
 @query("task_progress", f"""
 SELECT t.task_id, 8 AS total_count, count(r.result_id) AS done_count, count(*) FILTER (r.status_code = 200) AS success_count,
-  count(*) FILTER (r.status_code <> 200) AS failed_count, round(count(r.result_id) / 8, 6) AS progress
+  count(r.result_id) FILTER (r.status_code IS DISTINCT FROM 200) AS failed_count, round(count(r.result_id) / 8, 6) AS progress
 FROM {TASKS_SQL} t LEFT JOIN {RESULTS_SQL} r USING (task_id) GROUP BY t.task_id""")
 def task_progress(spark, sf_dir):
     expected = tasks(spark, sf_dir).select("task_id", F.lit(8).alias("total_count"))
