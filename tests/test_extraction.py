@@ -1,6 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from trawlframe.functions import htmltree
 from trawlframe.operators import extraction as X
 
 PAGE = """<html><head><title>T1</title></head><body><h1 class="title">Main  head</h1>
@@ -109,3 +112,53 @@ def test_item_limit_never_cuts_a_page(spark):
     rows = [("t", i, n) for i, n in enumerate([3, 4, 5, 1])] + [("u", 0, 1)]
     kept = X.until_max_items(spark.createDataFrame(rows, "task string, pos int, n int"), "task", ["pos"], "n", 6)
     assert sorted((r["task"], r["pos"]) for r in kept.collect()) == [("t", 0), ("t", 1), ("u", 0)]
+
+
+def tree_values(html, rule, kind="css"):
+    return htmltree.Page(html).values(htmltree.compile_rule(rule, kind))
+
+
+LIST = ('<div id="d"><p class="x">one</p><p>two</p><p class="x" data-k="a, b">three</p></div>'
+        '<ul class="list"><li class="x">1</li><li>2</li><li class="x">3</li></ul><a href="/u">link</a><b>bold</b>')
+
+
+@pytest.mark.parametrize("rule, values", [
+    ("li:nth-child(2)", ["2"]), ("li:nth-child(odd)", ["1", "3"]), ("li:nth-child(2n)", ["2"]), ("li:first-child", ["1"]), ("li:last-child", ["3"]),
+    ("li:nth-last-child(2)", ["2"]), ("li:nth-child(-n+2)", ["1", "2"]), ("li:not(.x)", ["2"]), ("p:not([data-k])", ["one", "two"]), ("p.x + p", ["two"]),
+    ("p.x ~ p", ["two", "three"]), ("div + ul > li.x", ["1", "3"]), ('p[data-k="a, b"], b', ["three", "bold"]), ("a::attr(href), b::text", ["/u", "bold"]),
+    ("a, a::attr(href)", ["/u"]), ("ul ~ a", ["link"])])
+def test_more_css(rule, values):
+    assert tree_values(LIST, rule) == values
+
+
+@pytest.mark.parametrize("rule, values", [
+    ("count(//ul[@class='list']/li)", ["3"]), ("//li[last()]", ["3"]), ("//li[position()=2]", ["2"]), ("//b//text()", ["bold"]), ("//a//@href", ["/u"]), ("//ul//text()", ["1", "2", "3"]),
+    ("//p[@class='x' and @data-k]", ["three"]), ("//li[1]/../li[2]", ["2"]), ("//p[1]/following-sibling::p", ["two", "three"]),
+    ("//p[1]/following-sibling::p[1]", ["two"]), ("//p[starts-with(@data-k,'a')]", ["three"]), ("//li[text()='2']", ["2"]),
+    ("//p[contains(text(),'re')]", ["three"]), ("//li[@class][@class='x']", ["1", "3"]), ("//li[1][@class='y']", []), ("//li[@class='x'][2]", ["3"]),
+    ("//p[not(@class)]", ["two"]), ("//a/@href | //b/text()", ["/u", "bold"]), ("//p[@data-k='a, b']", ["three"]), ("//li[@class!='x']", [])])
+def test_more_paths(rule, values):
+    assert tree_values(LIST, rule, "xpath") == values
+
+
+def test_rules_that_cannot_be_used(page):
+    assert set(X.rule_errors({"a": "p:hover", "b": "p", "c": "a::before("})) == {"a", "c"}
+    with pytest.warns(UserWarning, match="will be null"):
+        assert fields(page(), {"a": "p:hover", "b": "title"})["a"] is None
+    with pytest.raises(ValueError):
+        X.extract_items(page(), "p:hover", {"a": "a"})
+
+
+def test_strange_declarations_spoil_nothing(page):
+    for html in ("<![foo[x]]><title>T</title>", "<![if IE]><title>T</title><![endif]>", "<!DOCTYPE html [<!ELEMENT a>]><title>T</title>", "<![CDATA[x]]><title>T</title>"):
+        assert fields(page(html), {"title": "title"})["title"] == ["T"], html
+    htmltree.Page("<![" + "<!x" * 100)
+
+
+def test_nested_elements_take_linear_time():
+    html = "<div>" * 8_000 + "x"
+    parsed, started = htmltree.Page(html), time.process_time()
+    assert len(parsed.nodes(htmltree.compile_css("div div"))) == 7_999
+    assert len(parsed.nodes(htmltree.compile_css("div > div"))) == 7_999
+    assert len(parsed.nodes(htmltree.compile_xpath("//div//div[1]"))) == 7_999
+    assert time.process_time() - started < 1

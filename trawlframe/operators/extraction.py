@@ -8,6 +8,7 @@ images of a page need only its tags and stay native.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,12 +24,23 @@ from trawlframe.operators.ordered import running
 _STRINGS = T.ArrayType(T.StringType())
 
 
-def _safe_rule(selector: str, selector_type: str):
-    """A rule that cannot be compiled makes its field null, not the job fail."""
-    try:
-        return compile_rule(selector, selector_type)
-    except ValueError:
-        return None
+def rule_errors(rules: dict[str, str], selector_type: str = "css") -> dict[str, str]:
+    """Field → what is wrong with its rule, for rules that cannot be used."""
+    out = {}
+    for field, selector in rules.items():
+        try:
+            compile_rule(selector, selector_type)
+        except ValueError as e:
+            out[field] = str(e)
+    return out
+
+
+def _compiled(rules: dict[str, str], selector_type: str) -> dict:
+    """A rule that cannot be used makes its field null, with a warning when the plan is built."""
+    wrong = rule_errors(rules, selector_type)
+    for field, error in wrong.items():
+        warnings.warn(f"field {field!r} will be null: {error}", stacklevel=3)
+    return {f: None if f in wrong else compile_rule(s, selector_type) for f, s in rules.items()}
 
 
 def _check_type(selector_type: str) -> None:
@@ -62,7 +74,7 @@ def extract_fields(
     out = T.StructType([pages.schema[c] for c in keep] + [T.StructField(f, _STRINGS) for f in rules])
     if not rules:
         return pages.select(*keep).where(F.lit(False))
-    compiled = {f: _safe_rule(s, selector_type) for f, s in rules.items()}
+    compiled = _compiled(rules, selector_type)
     fields = list(compiled)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +131,8 @@ def extract_items(
     it: kept columns, item_pos, one ARRAY<STRING> per rule."""
     _check_type(selector_type)
     keep = keep if keep is not None else [c for c in pages.columns if c != html]
-    box = compile_rule(container, selector_type)[0]
-    compiled = {f: _safe_rule(s, selector_type) for f, s in rules.items()}
+    box = compile_rule(container, selector_type)
+    compiled = _compiled(rules, selector_type)
     fields = list(compiled)
     out = T.StructType([pages.schema[c] for c in keep] + [T.StructField("item_pos", T.IntegerType())]
                        + [T.StructField(f, _STRINGS) for f in fields])
@@ -131,7 +143,7 @@ def extract_items(
             columns: dict[str, list] = {f: [] for f in fields}
             for row, text in enumerate(batch.column(html).to_pylist()):
                 page = Page(text or "")
-                nodes = sorted({n for steps in box for n in page.find(steps)})
+                nodes = page.nodes(box)
                 for position, node in enumerate(nodes):
                     source.append(row)
                     positions.append(position)
@@ -246,8 +258,7 @@ def register_extract_fields(spark: SparkSession, name: str = "extract_fields") -
 
         def eval(self, html: str, rules: str, selector_type: str):
             if (rules, selector_type) not in self.compiled:
-                self.compiled[rules, selector_type] = {
-                    f: _safe_rule(s, selector_type) for f, s in json.loads(rules).items()}
+                self.compiled[rules, selector_type] = _compiled(json.loads(rules), selector_type)
             page = Page(html or "")
             for field, rule in self.compiled[rules, selector_type].items():
                 for pos, value in enumerate(page.values(rule) if rule else []):
