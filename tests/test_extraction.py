@@ -162,3 +162,14 @@ def test_nested_elements_take_linear_time():
     assert len(parsed.nodes(htmltree.compile_css("div > div"))) == 7_999
     assert len(parsed.nodes(htmltree.compile_xpath("//div//div[1]"))) == 7_999
     assert time.process_time() - started < 1
+
+
+def test_references_and_open_comments_both_ways(page):
+    html = """<a href="/a?x=1&#038;y=2">a</a><a href="/b&#x2F;c&#X41;">b</a><a href='/caf&eacute;&apos;'>c</a><a href="/d&amp;lt;&#38;gt;">d</a><a href=/e&quot;f>e</a>
+      <a href="/&#128512;">g</a><a href="/plain&x=1">h</a><!-- open <a href="/gone">x</a>"""
+    both = [[r["dst_url"] for r in e.orderBy("pos").collect()] for e in (X.page_links(page(html)), X.parsed_references(page(html), "a::attr(href)"))]
+    assert both[0] == both[1]
+    assert both[0] == ["https://ex.com/" + x for x in ("a?x=1&y=2", "b/cA", "café'", "d&lt;&gt;", 'e"f', "😀", "plain&x=1")]
+    html = """<a href="/a">a</a><script>var x = '<a href="/gone">'; """
+    both = [[r["dst_url"] for r in e.collect()] for e in (X.page_links(page(html)), X.parsed_references(page(html), "a::attr(href)"))]
+    assert both[0] == both[1] == ["https://ex.com/a"]

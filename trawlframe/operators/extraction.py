@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,25 +161,40 @@ def extract_items(
     return parsed.withColumns({f: clean_values(F.col(f)) for f in fields})
 
 
+# Names of character references and what they stand for, from the standard library's table.
+_NAMED = {f"&{name};": chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
+
+
+def decoded(value: Column) -> Column:
+    """Character references of an attribute value as characters: decimal, hexadecimal and named, each with its semicolon."""
+    named = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def character(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "^&#[xX]?([0-9A-Fa-f]+);$", 1)
+        code = F.when(ref.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+        plain = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        usable = F.length(code) <= 6
+        return F.when(ref.startswith("&#"), F.when(usable, plain)).otherwise(F.try_element_at(named, ref))
+
+    found = F.array_distinct(F.regexp_extract_all(value, F.lit("&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
+    pairs = F.filter(F.transform(found, lambda r: F.struct(r.alias("ref"), character(r).alias("char"))), lambda p: p["char"].isNotNull())
+    # An ampersand is put in last, so that what it begins is not read as a reference again.
+    ordered = F.concat(F.filter(pairs, lambda p: p["char"] != "&"), F.filter(pairs, lambda p: p["char"] == "&"))
+    return F.when(value.contains("&"), F.aggregate(ordered, value, lambda v, p: F.replace(v, p["ref"], p["char"]))).otherwise(value)
+
+
 def tag_attribute(html: Column, tag: str, attribute: str) -> Column:
     """Values of an attribute over all such start tags, in document order.
 
-    Tag scan without a tree: comments and raw-text elements are cut out first,
-    any quoting style and the basic character references are understood.
+    Tag scan without a tree: comments and raw-text elements are cut out first (an open one runs to the
+    end of the page), any quoting style and character references are understood.
     """
     visible = F.regexp_replace(
-        html, r"(?is)<!--.*?-->|<(script|style|textarea|template)\b.*?</\1\s*>", " ")
+        html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|template)\b.*?(?:</\1\s*>|\z)", " ")
     between = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*?"""
     pattern = rf"""(?i)<{tag}(?=\s){between}\s{attribute}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
     raw = F.regexp_extract_all(visible, F.lit(pattern), F.lit(1))
-
-    def plain(v: Column) -> Column:
-        v = F.regexp_replace(v, r"""^["']|["']$""", "")
-        # The basic character references, '&' last.
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-            v = F.replace(v, F.lit(entity), F.lit(char))
-        return v
-    return F.transform(raw, plain)
+    return F.transform(raw, lambda v: decoded(F.regexp_replace(v, r"""^["']|["']$""", "")))
 
 
 def absolute(base: Column, references: Column) -> Column:
