@@ -118,7 +118,7 @@ def test_result_files(spark, tmp_path):
     ST.save_results(rows, path, ["n"], F.lit("2024-01-01T00:00:00"), max_rows=10)
     envelopes = spark.read.json(path)
     assert sorted(r["result_count"] for r in envelopes.where("task_id = 1").collect()) == [5, 10, 10]
-    bucket = next(p for p in (tmp_path / "results").iterdir() if p.name.startswith("bucket="))
+    bucket = next((tmp_path / "results").rglob("bucket=*"))
     (bucket / "broken.json").write_text('{"task_id": 1, "results": [')
     schema = "url string, n int"
     assert sorted(map(tuple, ST.load_results(spark, path, schema).collect())) == sorted(map(tuple, rows.collect()))
@@ -166,8 +166,13 @@ def test_storage_reports(spark, tmp_path):
     stats = {r["category"]: (r["file_count"], r["total_size"]) for r in RP.storage_stats(files).collect()}
     assert stats == {"logs": (2, 30), "results": (1, 5), None: (3, 35)}
     assert RP.newest_files(files, 2).count() == 2
-    LO.write_task_log(spark.createDataFrame([(1, "line")], "task_id int, value string"), str(tmp_path / "tasklogs"))
-    assert spark.read.text(str(tmp_path / "tasklogs")).select("value").first()[0] == "line"
+    lines = [(t, n, f"line {n}\nof {t}") for t in (1, 2) for n in range(1, 30)]
+    for buckets in (3, 8):  # appends with another number of buckets are found as well
+        LO.write_task_log(spark.createDataFrame(lines, "task_id long, line long, value string"), str(tmp_path / "tasklogs"), buckets)
+        lines = [(t, n + 100, v) for t, n, v in lines]
+    back = LO.read_task_log(spark, str(tmp_path / "tasklogs"), task_id=2).collect()
+    assert [r["line"] for r in back] == [*range(1, 30), *range(101, 130)] and back[0]["value"] == "line 1\nof 2"
+    assert LO.read_task_log(spark, str(tmp_path / "tasklogs")).count() == 116
     assert tuple(RP.retention_report(files, "modified", 7, F.current_timestamp()).first()) == (0, 3)
 
 
@@ -190,3 +195,28 @@ def test_steps_are_counted(spark):
     log = StepLog()
     out = run_steps(spark.range(10), {"even": lambda d: d.where("id % 2 = 0"), "big": lambda d: d.where("id > 4")}, log)
     assert out.count() == 2 and log.rows() == {"even": 5, "big": 2}
+
+
+def test_left_out_log_lines_are_counted(spark):
+    lines = spark.createDataFrame([("2024-01-01 00:00:00,123 [INFO] a.b: ok",), ("  File x, line 3",), (None,)], "value string")
+    assert tuple(LO.text_log_report(lines).first()) == (3, 1, 2) and LO.parse_text_log(lines).count() == 1
+
+
+def test_unreadable_results_are_counted(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "task_id long, url string")
+    ST.save_results(rows, str(tmp_path / "r"), ["url"], F.lit("x"))
+    (tmp_path / "r" / "buckets=64" / "bucket=1").mkdir(parents=True, exist_ok=True)
+    (tmp_path / "r" / "buckets=64" / "bucket=1" / "part.json").write_text("{broken\n")
+    assert tuple(ST.unreadable_results(spark, str(tmp_path / "r"), "url string").first()) == (3, 1)
+    assert sorted(r["url"] for r in ST.load_results(spark, str(tmp_path / "r"), "url string").collect()) == ["a", "b"]
+
+
+def test_export_errors_are_kept_whole(spark, tmp_path):
+    def fail(df, path):
+        raise ValueError("x" * 2_000)
+    EX.register_writer("broken", fail)
+    try:
+        row = EX.export(spark.range(1), str(tmp_path / "e"), ["broken"]).first()
+    finally:
+        EX.WRITERS.pop("broken")
+    assert len(row["error"]) > 2_000

@@ -104,3 +104,10 @@ def test_record_helpers(spark):
     assert sorted(r["id"] for r in G.distinct_content(same, ["a", "b"], ["id"]).collect()) == [1, 3]
     log = G.change_log(spark.createDataFrame([(1, " a", "b")], "id int, x string, y string"), "id", {"x": ["trim"], "y": ["trim"]})
     assert [tuple(r) for r in log.collect()] == [(1, "x", " a", "a")]
+
+
+def test_whole_numbers_of_any_length_meet_their_bounds(spark):
+    rules = {"n": FieldRule("integer", min_value=-5, max_value=100)}
+    df = spark.createDataFrame([("9" * 40,), ("-" + "9" * 40,), ("7",), ("101",)], "n string")
+    assert [[k for _, k in kinds(df.where(F.col("n") == n), rules)[1]] for n in ("9" * 40, "-" + "9" * 40, "7", "101")] == [
+        ["max_value"], ["min_value"], [], ["max_value"]]

@@ -135,3 +135,15 @@ def test_retry_rules(spark):
     assert [r[0] for r in errors.select(O.retryable_error(F.col("code"), F.col("details"))).collect()] == [True, False, True, False]
     dim = O.with_error_class(spark.createDataFrame([("proxy",), ("nope",)], "error_type string")).collect()
     assert {r["error_type"]: (r["error_class"], r["code"]) for r in dim} == {"proxy": ("ProxyException", 500), "nope": ("Exception", 500)}
+
+
+def test_a_pattern_registered_under_a_known_name(value_of):
+    from trawlframe.functions import patterns
+
+    before = patterns.PATTERNS["time"]
+    patterns.register_pattern("time", r"\d{1,2}h\d{2}")
+    try:
+        assert value_of("at 12h30", patterns.extract_named(F.col("v"), "time")) == ["12h30"]
+    finally:
+        patterns.register_pattern("time", before)
+    assert value_of("at 12:30:00", patterns.extract_named(F.col("v"), "time")) == ["12:30:00"]

@@ -24,8 +24,8 @@ PATTERNS: dict[str, str] = {
 }
 
 # A text without this piece cannot match; a substring test is far cheaper
-# than running the regex over a long text.
-_NEEDS = {"email": "@", "url": "http", "ip": ".", "time": ":", "guid": "-"}
+# than running the regex over a long text. By pattern, so a pattern registered under the same name has none.
+_NEEDS = {PATTERNS[name]: piece for name, piece in {"email": "@", "url": "http", "ip": ".", "time": ":", "guid": "-"}.items()}
 
 
 def unicode_aware(pattern: str) -> str:
@@ -57,7 +57,8 @@ def extract_named(text: Column, name: str, first: bool = False) -> Column:
     if name not in PATTERNS:
         return F.lit(None).cast("string" if first else "array<string>")
     java = unicode_aware(PATTERNS[name])
-    possible = text.contains(_NEEDS[name]) if name in _NEEDS else text.isNotNull()
+    piece = _NEEDS.get(PATTERNS[name])
+    possible = text.contains(piece) if piece else text.isNotNull()
     if first:
         return F.when(possible, F.nullif(F.regexp_extract(text, java, 0), F.lit("")))
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(java), F.lit(0))))

@@ -72,7 +72,11 @@ def _numeric(v: Column, rule: FieldRule, dtype: T.DataType) -> tuple[Column, Col
         plain = F.replace(F.trim(v), F.lit("_"), F.lit("")) if text else v
         return readable, plain.try_cast("double")
     if text:
-        return v.rlike(INTEGER_TEXT), F.replace(F.trim(v), F.lit("_"), F.lit("")).try_cast("decimal(38,0)")
+        plain = F.replace(F.trim(v), F.lit("_"), F.lit(""))
+        # Beyond 38 digits a number is further out than any bound.
+        least, most = (F.lit(sign + "9" * 38).cast("decimal(38,0)") for sign in ("-", ""))
+        return v.rlike(INTEGER_TEXT), F.coalesce(
+            plain.try_cast("decimal(38,0)"), F.when(v.rlike(INTEGER_TEXT), F.when(plain.startswith("-"), least).otherwise(most)))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         whole = ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
         return whole, F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))

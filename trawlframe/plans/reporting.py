@@ -14,6 +14,7 @@ from trawlframe.operators import reports as RP
 from trawlframe.operators import requests as R
 from trawlframe.operators import tasks as Q
 from trawlframe.operators import validation as VAL
+from trawlframe.operators.ordered import running
 from trawlframe.operators.steps import run_steps
 from trawlframe.plans.bindings import (
     EDGES_SQL, FETCH_LOG_SQL, RESULTS_SQL, TASKS_SQL, edges, fetch_log, pages, results, sql_normalized, sql_url_part,
@@ -333,33 +334,47 @@ def export_statistics(spark, sf_dir):
                         F.array_join("formats_used", " ").alias("formats_used"))
 
 
-@query("task_log_roundtrip", "SELECT 'task ' || user_id || ': ' || event_type AS line, count(*) AS lines FROM events GROUP BY 1")
+@query("task_log_roundtrip", """
+SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, 'task ' || user_id || ': ' || event_type AS value FROM events
+UNION ALL SELECT -1, row_number() OVER (ORDER BY event_id), 'task 8: ' || event_type FROM events WHERE user_id = 8""")
 def task_log_roundtrip(spark, sf_dir):
-    """Log lines per task written as text and read back."""
+    """Log lines per task written and read back; the log of task 8 once more by its id, as task -1."""
     path = scratch_path(spark, "task-logs")
-    lines = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("task_id"), F.concat(F.lit("task "), F.col("user_id"), F.lit(": "), F.col("event_type")).alias("value"))
+    lines = running(table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "event_id", F.concat(
+        F.lit("task "), F.col("user_id"), F.lit(": "), F.col("event_type")).alias("value")), ["task_id"], ["event_id"], count="line")
     LO.write_task_log(lines, path, buckets=4)
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("lines"))
+    one = LO.read_task_log(spark, path, task_id=8)
+    return LO.read_task_log(spark, path).unionByName(one.withColumn("task_id", F.lit(-1).cast("long")))
 
 
-def _stored_files(spark, sf_dir):
-    base = scratch_path(spark, "files")
-    EX.write_csv(table(spark, sf_dir, "nation").coalesce(1), f"{base}/configs")
-    EX.write_json(table(spark, sf_dir, "customer").coalesce(1), f"{base}/results")
-    log = _json_lines(spark, sf_dir).select((F.col("event_id") % 1000).alias("task_id"), "value")
-    LO.write_task_log(log, f"{base}/logs", buckets=4)
-    return ST.file_inventory(spark, {c: f"{base}/{c}" for c in ("configs", "results", "logs")})
+# Files whose bytes are known: a text file for each part, each line with its line end.
+_PARTS_SQL = """(SELECT 'logs' AS category, event_id % 4 AS part, sum(strlen('task ' || user_id || ': ' || event_type) + 1)::BIGINT AS length FROM events GROUP BY 2
+  UNION ALL SELECT 'results', c_custkey % 5, sum(strlen(c_name || ' ' || c_mktsegment) + 1)::BIGINT FROM customer GROUP BY 2)"""
 
 
-@query("storage_statistics")
+def _stored_files(spark, sf_dir):
+    base = scratch_path(spark, "files")
+    lines = {
+        "logs": table(spark, sf_dir, "events").select(
+            (F.col("event_id") % 4).alias("part"), F.concat(F.lit("task "), F.col("user_id"), F.lit(": "), F.col("event_type")).alias("value")),
+        "results": table(spark, sf_dir, "customer").select((F.col("c_custkey") % 5).alias("part"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("value"))}
+    for category, df in lines.items():
+        # One file a part needs one task a part: at this many rows a file may hold them.
+        df.repartition(5, "part").write.partitionBy("part").text(f"{base}/{category}")
+    return ST.file_inventory(spark, {c: f"{base}/{c}" for c in lines})
+
+
+@query("storage_statistics", f"""
+SELECT category, count(*) AS file_count, sum(length)::BIGINT AS total_size, round(sum(length) / 1048576, 2) AS total_size_mb
+FROM {_PARTS_SQL} GROUP BY ROLLUP (category)""")
 def storage_statistics(spark, sf_dir):
     return RP.storage_stats(_stored_files(spark, sf_dir))
 
 
-@query("storage_newest_files")
+@query("storage_newest_files", f"SELECT category, length FROM {_PARTS_SQL} WHERE category = 'results'")
 def storage_newest_files(spark, sf_dir):
-    return RP.newest_files(_stored_files(spark, sf_dir), 10).select("category", "length", "modified")
+    """The five files of the category written last."""
+    return RP.newest_files(_stored_files(spark, sf_dir), 5).select("category", "length")
 
 
 @query("retention", "SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-20') AS removed, count(*) FILTER (ts >= TIMESTAMP '2024-01-20') AS kept FROM events")

@@ -122,7 +122,22 @@ def _register_cleaner(name: str) -> None:
 
 
 for _name in C.CLEANERS:
-    _register_cleaner(_name)
+    if _name != "normalize_unicode":
+        _register_cleaner(_name)
+
+# Compatibility characters and their NFKC forms.
+_COMPATIBLE = (("ﬁ", "fi"), ("①", "1"), ("Ａ", "A"), ("²", "2"), ("…", "..."), ("㎏", "kg"), ("e\u0301", "é"), ("Å", "Å"))
+_NFKC_SQL = "c_name || ' ' || CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{form}'" for i, (_, form) in enumerate(_COMPATIBLE)) + " END || c_mktsegment"
+
+
+@query("cleaner_normalize_unicode", f"SELECT c_custkey, md5({_NFKC_SQL}) AS cleaned_md5, length({_NFKC_SQL}) AS cleaned_length FROM customer")
+def cleaner_normalize_unicode(spark, sf_dir):
+    """Names with a compatibility character mixed in; the forms are listed, as the SQL engine has no NFKC."""
+    listed = F.array(*[F.lit(c) for c, _ in _COMPATIBLE])
+    mixed = F.concat("c_name", F.lit(" "), F.element_at(listed, (F.col("c_custkey") % 8 + 1).cast("int")), "c_mktsegment")
+    cleaned = C.clean(mixed, ["normalize_unicode"])
+    return (spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", cleaned.alias("v"))
+            .select("c_custkey", F.md5("v").alias("cleaned_md5"), F.length("v").cast("long").alias("cleaned_length")))
 
 
 @query("cleaner_chain", f"""

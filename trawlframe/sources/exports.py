@@ -68,7 +68,7 @@ def export(df: DataFrame, path: str, formats: Iterable[str] = ("json", "csv", "p
             WRITERS[name](df.observe(seen, F.count(F.lit(1)).alias("records")), target)
             rows.append((export_id, task_id, name, target, int(seen.get["records"]), True, None, at))
         except Exception as e:  # noqa: BLE001 - reported in the manifest
-            rows.append((export_id, task_id, name, target, 0, False, f"{type(e).__name__}: {e}"[:500], at))
+            rows.append((export_id, task_id, name, target, 0, False, f"{type(e).__name__}: {e}", at))
     return spark.createDataFrame(rows, MANIFEST)
 
 

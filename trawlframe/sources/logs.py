@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawlframe.sources.store import by_bucket, of_task
+
 # The fields of a structured line and the text line's layout.
 JSON_LOG_SCHEMA = (
     "message string, timestamp string, level string, logger string, module string, `function` string, line int, "
@@ -23,7 +25,8 @@ def parse_json_log(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def parse_text_log(lines: DataFrame, text: str = "value") -> DataFrame:
-    """ts, level, logger, message of text lines; other lines are left out."""
+    """ts, level, logger, message of text lines; other lines, such as stack traces, are left out and
+    counted by :func:`text_log_report`."""
     part = lambda i: F.regexp_extract(text, TEXT_LOG, i)
     return lines.where(F.col(text).rlike(TEXT_LOG)).select(
         *[c for c in lines.columns if c != text],
@@ -39,7 +42,20 @@ def read_text_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_text_log(spark.read.text(path))
 
 
+def text_log_report(lines: DataFrame, text: str = "value") -> DataFrame:
+    """``lines, parsed, left_out``: one row."""
+    fits = F.coalesce(F.col(text).rlike(TEXT_LOG), F.lit(False))
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(fits).alias("parsed"), F.count_if(~fits).alias("left_out"))
+
+
 def write_task_log(lines: DataFrame, path: str, buckets: int = 64) -> None:
-    """Text files of ``lines(task_id, value)``, in folders by task bucket."""
-    (lines.select(F.pmod(F.hash("task_id"), F.lit(buckets)).alias("bucket"), "value")
-     .write.mode("append").partitionBy("bucket").text(path))
+    """JSON lines of ``lines(task_id, line, value)``, in folders by task bucket; ``line`` is the place in the task's log."""
+    by_bucket(lines.select("task_id", "line", "value"), buckets).write.mode("append").partitionBy("buckets", "bucket").json(path)
+
+
+def read_task_log(spark: SparkSession, path: str, key_type: str = "long", task_id=None) -> DataFrame:
+    """``task_id, line, value``; for one task only its bucket is read, in order of ``line``."""
+    rows = spark.read.schema(f"task_id {key_type}, line long, value string, buckets int, bucket int").json(path)
+    if task_id is not None:
+        rows = of_task(rows, task_id, key_type).orderBy("line")
+    return rows.select("task_id", "line", "value")

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 
 from trawlframe.operators.ordered import running
 
-BUCKETS = 64
 RESULT_DEFAULTS = {"url": "", "status_code": 0, "response_time": 0.0}
 
 
@@ -25,16 +24,24 @@ def read_jdbc(spark: SparkSession, url: str, table: str, predicates: list[str],
 
 
 def _bucket(task_id: Column) -> Column:
-    return F.pmod(F.hash(task_id), F.lit(BUCKETS))
+    return F.pmod(F.hash(task_id), F.col("buckets"))
 
 
-def _by_bucket(rows: DataFrame) -> DataFrame:
+def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows brought together by bucket, so that a folder gets few files; a large
-    bucket is split again by the rebalancing."""
-    return rows.withColumn("bucket", _bucket(F.col("task_id"))).hint("rebalance", "bucket")
+    bucket is split again by the rebalancing. The number of buckets is a folder level of its own, so it
+    is kept with the table and may change from one append to the next."""
+    numbered = rows.withColumn("buckets", F.lit(buckets))
+    return numbered.withColumn("bucket", _bucket(F.col("task_id"))).hint("rebalance", "bucket")
 
 
-def append_results(results: DataFrame, path: str) -> None:
+def of_task(rows: DataFrame, task_id, key_type) -> DataFrame:
+    """The rows of one task; only its buckets are read."""
+    key = F.lit(task_id).cast(key_type)
+    return rows.where((F.col("bucket") == _bucket(key)) & (F.col("task_id") == key))
+
+
+def append_results(results: DataFrame, path: str, buckets: int = 64) -> None:
     """Appends result rows with the defaults filled in, in folders by task
     bucket: the number of folders does not grow with the number of tasks."""
     columns = set(results.columns)
@@ -43,16 +50,15 @@ def append_results(results: DataFrame, path: str) -> None:
         for name, default in RESULT_DEFAULTS.items()})
     if "data" not in columns:
         filled = filled.withColumn("data", F.lit("{}"))
-    _by_bucket(filled).write.mode("append").partitionBy("bucket").parquet(path)
+    by_bucket(filled, buckets).write.mode("append").partitionBy("buckets", "bucket").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, task_id=None) -> DataFrame:
     """Stored result rows; for one task only its bucket is read."""
     rows = spark.read.parquet(path)
     if task_id is not None:
-        key = F.lit(task_id).cast(rows.schema["task_id"].dataType)
-        rows = rows.where((F.col("bucket") == _bucket(key)) & (F.col("task_id") == key))
-    return rows.drop("bucket")
+        rows = of_task(rows, task_id, rows.schema["task_id"].dataType)
+    return rows.drop("buckets", "bucket")
 
 
 def result_envelopes(results: DataFrame, order: list[str], export_time: Column, max_rows: int = 10_000) -> DataFrame:
@@ -67,22 +73,30 @@ def result_envelopes(results: DataFrame, order: list[str], export_time: Column,
                         F.transform("_r", lambda x: x["r"]).alias("results"))
 
 
-def save_results(results: DataFrame, path: str, order: list[str], export_time: Column, max_rows: int = 10_000) -> None:
+def save_results(results: DataFrame, path: str, order: list[str], export_time: Column, max_rows: int = 10_000, buckets: int = 64) -> None:
     envelopes = result_envelopes(results, order, export_time, max_rows)
-    _by_bucket(envelopes).write.mode("append").partitionBy("bucket").json(path)
+    by_bucket(envelopes, buckets).write.mode("append").partitionBy("buckets", "bucket").json(path)
 
 
 def load_results(spark: SparkSession, path: str, row_schema: T.StructType | str, key_type: str = "long", task_id=None) -> DataFrame:
-    """Rows of the envelopes; unreadable lines and files are skipped."""
+    """Rows of the envelopes; unreadable lines and files are skipped, :func:`unreadable_results` counts the lines."""
     row = T.StructType.fromDDL(row_schema) if isinstance(row_schema, str) else row_schema
-    schema = f"task_id {key_type}, part int, result_count long, results array<{row.simpleString()}>, bucket int"
+    schema = f"task_id {key_type}, part int, result_count long, results array<{row.simpleString()}>, buckets int, bucket int"
     envelopes = (spark.read.schema(schema).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).json(path))
     if task_id is not None:
-        key = F.lit(task_id).cast(key_type)
-        envelopes = envelopes.where((F.col("bucket") == _bucket(key)) & (F.col("task_id") == key))
+        envelopes = of_task(envelopes, task_id, key_type)
     return envelopes.select("task_id", F.explode("results").alias("r")).select("task_id", "r.*")
 
 
+def unreadable_results(spark: SparkSession, path: str, row_schema: T.StructType | str, key_type: str = "long") -> DataFrame:
+    """``lines, unreadable``: one row, what :func:`load_results` reads and leaves out."""
+    row = T.StructType.fromDDL(row_schema) if isinstance(row_schema, str) else row_schema
+    schema = f"task_id {key_type}, part int, result_count long, results array<{row.simpleString()}>, _bad string"
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.option("recursiveFileLookup", True).text(path).select(parsed.alias("e")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("e._bad").isNotNull()).alias("unreadable"))
+
+
 def save_configs(configs: DataFrame, path: str) -> None:
     """Appends ``configs(task_id, created_at, config)``; every version is kept."""
     configs.select("task_id", "created_at", F.col("config").cast("string").alias("config")).write.mode("append").json(path)
