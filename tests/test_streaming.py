@@ -17,11 +17,19 @@ def log(spark, tmp_path_factory):
     rows = [(h, i, s, c, 0.5) for i, (h, s, c) in enumerate(sorted(rows, key=lambda r: r[1]))]
     df = spark.createDataFrame(rows, "host int, event_id int, s long, status_code int, response_time double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     path = str(tmp_path_factory.mktemp("log"))
-    for i in range(3):
-        df.where((F.col("event_id") >= i * 300) & (F.col("event_id") < (i + 1) * 300)).coalesce(1).write.mode("append").parquet(path)
+    # Three files one after the other that overlap in time: every third row comes a file late, none more than two hours.
+    late = F.when(F.col("event_id") % 3 == 0, 200).otherwise(0)
+    for i in range(4):
+        df.where(F.floor((F.col("event_id") + late) / 300) == i).coalesce(1).write.mode("append").parquet(path)
     return df, path
 
 
+def passed(rows, log, lateness):
+    """Rows that a watermark this many seconds behind the last one has passed."""
+    last = log.agg(F.max("ts")).first()[0]
+    return rows.where(F.col("ts") < F.lit(last) - F.make_dt_interval(secs=F.lit(lateness)))
+
+
 @pytest.fixture
 def stream(spark, log):
     return lambda: spark.readStream.schema(log[0].schema).option("maxFilesPerTrigger", 1).parquet(log[1])
@@ -33,29 +41,45 @@ def run(tmp_path):
 
 
 def test_ttl(log, stream, run):
-    got = run(dedup.accept_with_ttl(stream(), "host", "ts", "event_id", 500, "1 hour"))
-    want = R.accept_with_ttl(log[0], "host", "ts", "event_id", 500)
-    assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in want.collect())
+    got = run(dedup.accept_with_ttl(stream(), "host", "ts", "event_id", 500, "2 hours"))
+    want = passed(R.accept_with_ttl(log[0], "host", "ts", "event_id", 500), log[0], 7_200)
+    assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in want.collect()) != []
 
 
 def test_breaker(log, stream, run):
-    got = run(breaker.breaker_states(stream(), threshold=3, recovery_seconds=300))
-    want = L.breaker_replay(log[0], threshold=3, recovery_seconds=300)
+    got = run(breaker.breaker_states(stream(), threshold=3, recovery_seconds=300, lateness="2 hours"))
+    want = passed(L.breaker_replay(log[0], threshold=3, recovery_seconds=300), log[0], 7_200)
     pick = lambda df: sorted((r["event_id"], r["decision"], r["state"]) for r in df.collect())
-    assert pick(got) == pick(want)
+    assert pick(got) == pick(want) != []
+
+
+def test_idle_hosts_are_forgotten(spark, tmp_path):
+    """Three failures, then a day of nothing: with an idle time the host starts afresh."""
+    rows = [[(1, i, i + 10, 503) for i in range(3)] + [(2, 3, 50_000, 200)], [(2, 4, 60_000, 200)], [(1, 5, 90_000, 503), (2, 6, 99_000, 200)]]
+    for part in rows:
+        spark.createDataFrame(part, "host int, event_id int, s long, status_code int").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    found = {}
+    for idle in (None, 3_600):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        states = breaker.breaker_states(source, threshold=3, recovery_seconds=60, idle_seconds=idle)
+        out = ingest.to_table(states, str(tmp_path / f"out{idle}"), str(tmp_path / f"state{idle}"))
+        found[idle] = {r["event_id"]: (r["decision"], r["state"]) for r in out.collect()}
+    assert found[None][5] == ("trial", "open") and found[3_600][5] == ("accepted", "closed")
 
 
 def test_dedup(log, stream, run):
-    got = run(dedup.first_within(stream(), "host", "ts", "1 day"))
-    assert sorted(r["host"] for r in got.collect()) == sorted({r["host"] for r in log[0].collect()})
+    got = run(dedup.first_within(stream(), "host", "ts", "1 hour", "2 hours"))
+    want = {(r["host"], r["ts"].replace(minute=0, second=0)) for r in log[0].collect()}
+    assert sorted((r["host"], r["period"]) for r in got.collect()) == sorted(want)
 
 
 def test_metrics_drop_nothing_but_open_windows(log, stream, run):
-    got = {(r["host"], r["window_start"]): tuple(r)[3:] for r in run(metrics.windowed_metrics(stream(), "60 seconds", "10 minutes")).collect()}
+    got = {(r["host"], r["window_start"]): tuple(r)[3:] for r in run(metrics.windowed_metrics(stream(), "60 seconds", "2 hours")).collect()}
     want = {(r["host"], r["window_start"]): tuple(r)[3:] for r in metrics.windowed_metrics(log[0], "60 seconds").collect()}
     assert got and all(want[k] == v for k, v in got.items())
     last = log[0].agg(F.max("ts")).first()[0]
-    closed = {k for k in want if (last - k[1]).total_seconds() >= 660}
+    closed = {k for k in want if (last - k[1]).total_seconds() >= 7_260}
     assert closed <= set(got)
 
 

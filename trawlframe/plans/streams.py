@@ -17,13 +17,26 @@ from trawlframe.streaming import breaker, dedup, ingest, metrics
 
 def _stream(spark, sf_dir, name):
     """The table as a file stream. As a pattern the path may name one file or a
-    folder of files; a plain path would have to be a folder. Micro-batches are
-    bounded, so that a host's share of one fits a task."""
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxBytesPerTrigger", 1 << 30).parquet(f"{sf_dir}/{name}.parque[t]")
+    folder of files; a plain path would have to be a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _events(spark, sf_dir):
+    """events as four files that arrive one after the other and overlap in time: quarters of the time range, every third event a tenth
+    of the range late. Each file is a micro-batch."""
+    path = scratch_path(spark, "event-files")
+    events = table(spark, sf_dir, "events")
+    span = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    share = (micros("ts") - micros("first")) / (micros("last") - micros("first") + 1) + F.when(F.col("event_id") % 3 == 0, 0.1).otherwise(0.0)
+    dealt = events.join(F.broadcast(span)).withColumn("_file", F.least(F.floor(share * 4), F.lit(3)))
+    for k in range(4):
+        dealt.where(F.col("_file") == k).drop("_file", "first", "last").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _fetches(spark, sf_dir):
-    return fetches(_stream(spark, sf_dir, "events"))
+    return fetches(_events(spark, sf_dir))
 
 
 def _run(spark, stream, label, mode="append"):
@@ -31,16 +44,24 @@ def _run(spark, stream, label, mode="append"):
     return ingest.to_table(stream, f"{base}/out", f"{base}/state", mode)
 
 
-@query("stream_dedup", "SELECT DISTINCT md5('METHOD:GET|URL:http://h' || user_id || '.example.com/' || event_type) AS fp FROM events")
+# The events cover thirty days and come at most a tenth of that late.
+LATENESS = "96 hours"
+_PASSED_SQL = "epoch_us(ts) < (SELECT epoch_ms(max(ts)) - 96 * 3600000 FROM events) * 1000"
+
+
+@query("stream_dedup", """
+SELECT DISTINCT md5('METHOD:GET|URL:http://h' || user_id || '.example.com/' || event_type) AS fp, time_bucket(INTERVAL 1 DAY, ts) AS period FROM events""")
 def stream_dedup(spark, sf_dir):
+    """First request of each fingerprint on each day."""
     url = F.concat(F.lit("http://h"), F.col("user_id"), F.lit(".example.com/"), F.col("event_type"))
-    requests = _stream(spark, sf_dir, "events").select("ts", fingerprint(url).alias("fp"))
-    return _run(spark, dedup.first_within(requests, "fp", "ts", "1 hour"), "stream-dedup").select("fp")
+    requests = _events(spark, sf_dir).select("ts", fingerprint(url).alias("fp"))
+    once = _run(spark, dedup.first_within(requests, "fp", "ts", "1 day", LATENESS), "stream-dedup")
+    return once.select("fp", F.col("period").cast("timestamp_ntz").alias("period"))
 
 
-@query("stream_accept_with_ttl", _TTL_SQL)
+@query("stream_accept_with_ttl", f"SELECT * FROM ({_TTL_SQL}) WHERE {_PASSED_SQL}")
 def stream_accept_with_ttl(spark, sf_dir):
-    accepted = dedup.accept_with_ttl(_stream(spark, sf_dir, "events"), "user_id", "ts", "event_id", 36_000, "1 hour")
+    accepted = dedup.accept_with_ttl(_events(spark, sf_dir), "user_id", "ts", "event_id", 36_000, LATENESS)
     return _run(spark, accepted, "stream-ttl").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -48,16 +69,16 @@ def stream_accept_with_ttl(spark, sf_dir):
 SELECT host, time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, count(*) AS requests,
   round(count(*) FILTER (status_code = 200) / count(*), 6) AS success_rate, round(avg(response_time), 6) AS average_response_time
 FROM {FETCH_LOG_SQL} GROUP BY ALL
-HAVING time_bucket(INTERVAL 60 SECONDS, any_value(ts)) + INTERVAL 60 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+HAVING time_bucket(INTERVAL 60 SECONDS, any_value(ts)) + INTERVAL 60 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 96 HOURS FROM events)""")
 def stream_metrics(spark, sf_dir):
-    """Windows closed an hour before the last event."""
-    out = _run(spark, metrics.windowed_metrics(_fetches(spark, sf_dir), "60 seconds", "1 hour"), "stream-metrics")
+    """Windows closed as long before the last event as an event may be late."""
+    out = _run(spark, metrics.windowed_metrics(_fetches(spark, sf_dir), "60 seconds", LATENESS), "stream-metrics")
     return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "success_rate", "average_response_time").drop("window_end")
 
 
-@query("stream_breaker", _BREAKER_SQL.format(wait=86_400 * 1_000_000, threshold=3))
+@query("stream_breaker", f"SELECT * FROM ({_BREAKER_SQL.format(wait=86_400 * 1_000_000, threshold=3)}) WHERE {_PASSED_SQL}")
 def stream_breaker(spark, sf_dir):
-    states = breaker.breaker_states(_fetches(spark, sf_dir), threshold=3, recovery_seconds=86_400)
+    states = breaker.breaker_states(_fetches(spark, sf_dir), threshold=3, recovery_seconds=86_400, lateness=LATENESS)
     return _run(spark, states, "stream-breaker").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trawlframe.functions.outcomes import is_success
 from trawlframe.operators.fetchlog import FAILURE_THRESHOLD, RECOVERY_SECONDS, breaker_fold
+from trawlframe.streaming.held import held_fold
 
 
 def breaker_states(stream: DataFrame, host: str = "host", ts: str = "ts", row_id: str = "event_id",
-                   threshold: int = FAILURE_THRESHOLD, recovery_seconds: float = RECOVERY_SECONDS) -> DataFrame:
-    """Streaming form of the breaker replay: the same fold, its state kept per
-    host. Size the micro-batches (maxFilesPerTrigger, maxBytesPerTrigger) so
-    that one host's rows of a batch fit into a task."""
-    fold = breaker_fold(threshold, recovery_seconds)
-    host_type = stream.schema[host].dataType.simpleString()
-    id_type = stream.schema[row_id].dataType.simpleString()
-    calls = stream.select(
-        F.col(host), F.col(ts).cast("timestamp").alias("ts"), F.col(row_id),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), is_success(F.col("status_code")).alias("_ok"))
-
-    def step(group, chunks, state):
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["_us", row_id]).reset_index(drop=True)
-        made, after = fold({c: rows[c].to_numpy() for c in ("_us", "_ok")}, state.get[0] if state.exists else None)
-        state.update((after,))
-        yield rows[[host, "ts", row_id]].assign(**made)
+                   threshold: int = FAILURE_THRESHOLD, recovery_seconds: float = RECOVERY_SECONDS, lateness: str = "0 seconds",
+                   idle_seconds: float | None = None) -> DataFrame:
+    """Streaming form of the breaker replay: the same fold over calls in order of time, each given out
+    when the watermark has passed it. A host without failures in a row keeps no state; another one
+    keeps it, or is forgotten ``idle_seconds`` after its last call."""
+    def ends(state: str | None, last: int) -> int | None:
+        if not state or json.loads(state) == {"failures": 0}:
+            return None
+        return last + int(idle_seconds * 1000) if idle_seconds is not None else (1 << 53)
 
-    return calls.groupBy(host).applyInPandasWithState(
-        step, f"`{host}` {host_type}, ts timestamp, `{row_id}` {id_type}, decision string, state string",
-        "state string", "append", GroupStateTimeout.NoTimeout)
+    return held_fold(stream, host, ts, row_id, {"_ok": is_success(F.col("status_code"))}, breaker_fold(threshold, recovery_seconds),
+                     {"decision": "string", "state": "string"}, lateness, ends)

@@ -2,55 +2,40 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trawlframe.operators.requests import _accept
+from trawlframe.streaming.held import held_fold
 
 
-def first_within(stream: DataFrame, key: str, ts: str, lateness: str) -> DataFrame:
-    """First row per key; state for a key is dropped ``lateness`` after its
-    event time, which bounds the memory."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    return timed.dropDuplicatesWithinWatermark([key])
+def first_within(stream: DataFrame, key: str, ts: str, duration: str, lateness: str | None = None) -> DataFrame:
+    """One row per key and period: event time is cut into periods of ``duration``, and of a key's rows in a
+    period the one that arrives first passes, whatever the micro-batches. A period's keys are forgotten ``lateness`` (default: the duration)
+    after its end. ``period`` is its start."""
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness or duration)
+    # The period takes over as the event time: a stream may have one only, and it says when a key is forgotten.
+    periods = timed.withColumn("_period", F.window(ts, duration)).withColumn(ts, F.col(ts) + F.expr("INTERVAL 0 SECONDS"))
+    once = periods.dropDuplicates([key, "_period"])
+    return once.withColumn("period", F.col("_period.start")).drop("_period")
 
 
 def accept_with_ttl(stream: DataFrame, key: str, ts: str, row_id: str, ttl: int, lateness: str = "0 seconds") -> DataFrame:
     """Streaming form of the batch rule of the same name: an entry expires more
     than ``ttl`` seconds after its last accepted request.
 
-    State is one number per key, dropped once the watermark has passed its
-    expiry. Rows of a micro-batch are brought into order here; per key only one
-    row per second is held while doing so.
+    Rows are taken in order of time, each when the watermark has passed it; of a second only the first can be accepted, so only that one
+    is held. A key's state ends with its entry.
     """
     fold = _accept(ttl)
-    key_type = stream.schema[key].dataType.simpleString()
-    id_type = stream.schema[row_id].dataType.simpleString()
-    rows = stream.select(
-        F.col(key), F.col(row_id), F.col(ts).cast("timestamp").alias("ts")
-    ).withWatermark("ts", lateness).withColumn("second", F.unix_seconds("ts"))
-
-    def step(group, chunks, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = None
-        for chunk in chunks:
-            held = chunk if held is None else pd.concat([held, chunk], ignore_index=True)
-            held = held.sort_values(["second", "ts", row_id]).drop_duplicates("second")
-        if held is None:
-            return
-        before = state.get[0] if state.exists else None
-        taken, after = fold({"second": held["second"].to_numpy()}, before)
-        if after is not None:
-            state.update((after,))
-            expires = (int(after) + ttl + 1) * 1000
-            if expires > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(expires)
-        yield held.loc[taken["_keep"], [key, row_id, "ts"]]
-
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {key_type}, `{row_id}` {id_type}, ts timestamp", "last string", "append",
-        GroupStateTimeout.EventTimeTimeout)
+
+    def by_second(values, state):
+        return fold({"second": values["_us"] // 1_000_000}, state)
+
+    def ends(state: str | None, last: int) -> int | None:
+        return (int(state) + ttl + 1) * 1000 if state is not None else None
+
+    def first_of_second(rows):
+        return rows[~(rows["_us"] // 1_000_000).duplicated()]
+
+    return held_fold(stream, key, ts, row_id, {}, by_second, {}, lateness, ends, first_of_second)
