@@ -103,3 +103,19 @@ def test_idempotent_load_twice(spark):
     first = R.load_idempotent(batch, empty, ["task_id", "fp"], ["id"])
     assert sorted(r["id"] for r in first.collect()) == [1, 3, 4]
     assert R.load_idempotent(batch, first, ["task_id", "fp"], ["id"]).count() == 0
+
+
+URLS = ["http://h.example/p?b=2&a=1", "HTTP://H.example/p?a=%20x&a=&a=2#f", "http://h/p;x?q=1=2&c", "http://h/p", "http://h", "http://[::1/p?a=1", "//h/p?t=1&z=é&_=3",
+        "mailto:x@y", "", None, " http://h/a b?x=1+2&timestamp=3", "http://h/p?timestamp=1", "ftp://h/p;type=a?k=v&nonce=1", "http://h/p?~a=*&b=%zz"]
+
+
+def test_all_configurations_at_once_like_one_by_one(spark):
+    rows = [(i, u, "post" if i % 2 else "get", {"X-A": "1", "x-a": str(i), "User-Agent": "u", "Cookie": None} if i % 3 else {}, {"nonce": "1", "é\n": '"', "b": None} if i % 4 else None)
+            for i, u in enumerate(URLS)]
+    df = spark.createDataFrame(rows, "id int, url string, method string, headers map<string,string>, data map<string,string>")
+    for kept in (["id", "url"], ["id", "url", "method", "headers", "data"]):
+        some = df.select(*kept)
+        at_once = R.with_fingerprints(some, {n: R.preset(n) for n in R.PRESETS}).collect()
+        for name in R.PRESETS:
+            one = {r["id"]: r["fp"] for r in R.with_fingerprint(some, R.preset(name)).collect()}
+            assert {r["id"]: r[name] for r in at_once} == one, name

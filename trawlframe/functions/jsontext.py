@@ -30,6 +30,32 @@ def _object(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
+def _pieces(entries: Column) -> Column:
+    """Name and JSON text of each entry, in order of the names."""
+    return F.transform(entries, lambda e: F.struct(
+        e["key"].alias("key"), F.concat(quote(e["key"]), F.lit(": "), F.coalesce(quote(e["value"]), F.lit("null"))).alias("text")))
+
+
+def payload_pieces(data: Column) -> Column:
+    """What payload texts under several settings share; null when empty."""
+    return F.when(F.size(data) > 0, _pieces(F.sort_array(F.map_entries(data))))
+
+
+def header_pieces(headers: Column) -> Column:
+    """As payload_pieces, with lower-case names of which the last spelling counts."""
+    entries = F.sort_array(F.transform(F.map_entries(headers), lambda e, i: F.struct(
+        F.lower(e["key"]).alias("key"), i.alias("i"), e["value"].alias("value"))))
+    last = let(entries, lambda found: F.filter(found, lambda e, i: ~F.coalesce(F.get(found, i + 1)["key"] == e["key"], F.lit(False))))
+    return F.when(F.size(headers) > 0, _pieces(last))
+
+
+def join_pieces(pieces: Column, ignore: Iterable[str]) -> Column:
+    """JSON object of the pieces whose name is not ignored; null where there are no pieces at all."""
+    ignored = sorted(set(ignore))
+    kept = F.filter(pieces, lambda p: ~p["key"].isin(ignored)) if ignored else pieces
+    return F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda p: p["text"]), ", "), F.lit("}"))
+
+
 def payload_text(data: Column, ignore: Iterable[str] = ()) -> Column:
     """Request payload without ignored names, names sorted; null when empty. A
     payload that is not empty but loses every name still counts, as ``{}``."""

@@ -81,9 +81,7 @@ def normalize_url(
         return let(F.substring_index(whole, "?", 1), lambda base: _canonical(
             base, F.substr(whole, F.length(base) + 2), ignore_params, sort_params))
     normal = let(F.substring_index(_tidy(url), "#", 1), build)
-    # An unbalanced bracket host cannot be split; such a URL stays as it is.
-    broken = (url.contains("[") | url.contains("]")) & url.rlike(
-        r"^[^/?#]*//(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)")
+    broken = _broken(url)
     # Most URLs are written plainly: what stands before the query is canonical
     # as it is, and only the query needs work.
     whole = F.substring_index(url, "#", 1)
@@ -93,6 +91,39 @@ def normalize_url(
     return F.when(plain, quick).when(broken, url).otherwise(normal)
 
 
+def split_url(url: Column | str) -> dict[str, Column]:
+    """What canonical forms of a URL under several settings share: ``base`` (all before the query), ``pairs`` (the query's pairs,
+    decoded, sorted, each with its encoded ``text``) and ``fixed``, which is the URL itself where it cannot be split."""
+    url = _col(url)
+    whole = F.substring_index(_tidy(url), "#", 1)
+    plain = whole.rlike(r"^[a-z][a-z0-9+.\-]*://[a-z0-9.:\-]*/[^?;\[\]\x00-\x20]*(?:\?[^\x00-\x20]*)?$")
+    start = F.substring_index(whole, "?", 1)
+    base = F.when(plain, start).otherwise(_canonical(start, F.lit(""), (), True))
+    pieces = F.filter(F.split(F.substr(whole, F.length(start) + 2), "&"), lambda p: (F.instr(p, "=") > 0) & (F.instr(p, "=") < F.length(p)))
+    # A piece without anything to decode or encode is its own text.
+    simple = lambda p: ~p.rlike(r"[^A-Za-z0-9_.~=\-]|=.*=")
+    halves = F.transform(pieces, lambda p, i: F.struct(
+        decode_component(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"),
+        decode_component(F.substr(p, F.instr(p, "=") + 1)).alias("v"), F.when(simple(p), p).alias("text")))
+    pairs = F.transform(F.sort_array(halves), lambda h: F.struct(h["k"].alias("k"), F.coalesce(
+        h["text"], F.concat(encode_component(h["k"]), F.lit("="), encode_component(h["v"]))).alias("text")))
+    return {"base": base, "pairs": F.when(whole.contains("="), pairs), "fixed": F.when(_broken(url), url)}
+
+
+def join_url(parts: dict[str, Column], ignore_params: Iterable[str] = ()) -> Column:
+    """Canonical text, with sorted parameters, from what :func:`split_url` gives."""
+    ignored = sorted(set(ignore_params))
+    pairs = F.filter(parts["pairs"], lambda p: ~p["k"].isin(ignored)) if ignored else parts["pairs"]
+    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(F.transform(pairs, lambda p: p["text"]), "&"))).otherwise("")
+    return F.coalesce(parts["fixed"], F.concat(parts["base"], query))
+
+
+def _broken(url: Column) -> Column:
+    """An unbalanced bracket host cannot be split; such a URL stays as it is."""
+    return (url.contains("[") | url.contains("]")) & url.rlike(
+        r"^[^/?#]*//(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)")
+
+
 def _query_part(query: Column, ignore_params: Iterable[str], sort_params: bool) -> Column:
     return F.when(query.contains("="), let(
         _query_text(query, ignore_params, sort_params),

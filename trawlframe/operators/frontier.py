@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawlframe.operators.ordered import running
+from trawlframe.session import cut_lineage
 
 # Priority names, in order of urgency.
 PRIORITIES = ("CRITICAL", "HIGH", "NORMAL", "LOW", "MINIMAL")
@@ -90,7 +91,8 @@ def politeness_plan(requests: DataFrame, host: str, order: list[str], *, per_hos
     """When each request may go: its number on the host, the host's wave of at
     most ``per_host``, seconds after the start, and the global batch of at most
     ``overall`` when waves are served one after the other."""
-    on_host = running(requests, [host], order, count="host_position")
+    # Numbering reads its input several times: what may be costly to make is stored once, and so are the waves.
+    on_host = cut_lineage(running(cut_lineage(requests), [host], order, count="host_position"))
     waves = on_host.withColumn("wave", F.floor((F.col("host_position") - 1) / per_host))
     timed = waves.withColumn("start_after", (F.col("host_position") - 1) * F.lit(float(delay_seconds)))
     numbered = running(timed, [], ["wave", host, *order], count="_overall")

@@ -20,7 +20,7 @@ SAMPLES = 100
 
 
 def _sliced(df: DataFrame, rows_per_slice: int) -> tuple[DataFrame, DataFrame]:
-    """``df`` (with _key, _order) with _slice: the ranges of the order that its key is cut into; and the cut keys.
+    """``df`` (with _key, _order) with _slice: the ranges of the order that its key is cut into; and only the rows of cut keys.
 
     Bounds are taken from rows picked by a hash of key and order, so they are the
     same whenever a part of the plan is computed again. There is a bound for
@@ -33,9 +33,11 @@ def _sliced(df: DataFrame, rows_per_slice: int) -> tuple[DataFrame, DataFrame]:
     bounds = (picked.groupBy("_key").agg(F.array_sort(F.collect_list("_order")).alias("_s")).where(F.size("_s") >= 2 * per_slice)
               .select(F.col("_key").alias("_cut"), F.expr(f"filter(_s, (x, i) -> i > 0 AND i % {per_slice} = 0)").alias("_bounds")))
     # A struct equals another one with nulls in the same places, so null keys meet too.
-    joined = df.join(F.broadcast(bounds), F.col("_key") == F.col("_cut"), "left")
-    place = F.size(F.filter("_bounds", lambda b: b <= F.col("_order")))
-    return joined.withColumn("_slice", F.coalesce(place, F.lit(0))).drop("_cut", "_bounds"), bounds
+    place = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col("_order"))), F.lit(0))
+
+    def cut(how: str) -> DataFrame:
+        return df.join(F.broadcast(bounds), F.col("_key") == F.col("_cut"), how).withColumn("_slice", place).drop("_cut", "_bounds")
+    return cut("left"), cut("inner")
 
 
 def running(
@@ -61,10 +63,9 @@ def running(
     named = df.select("*", *[expr.alias(f"_m_{name}") for name, expr in measures.items()],
                       F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("k0")]).alias("_key"),
                       F.struct(*[c.alias(f"o{i}") for i, c in enumerate(columns)]).alias("_order"))
-    rows, bounds = _sliced(named, rows_per_slice)
+    rows, cut = _sliced(named, rows_per_slice)
     inside = Window.partitionBy("_key", "_slice").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.join(F.broadcast(bounds.select(F.col("_cut").alias("_key"))), "_key", "left_semi")
     carry = (cut.groupBy("_key", "_slice").agg(*[F.sum(f"_m_{m}").alias(f"_t_{m}") for m in measures])
              .select(F.col("_key").alias("_ck"), F.col("_slice").alias("_cs"), *[F.sum(f"_t_{m}").over(earlier).alias(f"_c_{m}") for m in measures]))
     summed = rows.select(*own, "_key", "_slice", *[F.sum(f"_m_{m}").over(inside).alias(f"_l_{m}") for m in measures])

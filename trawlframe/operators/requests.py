@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawlframe.functions.jsontext import header_text, payload_text
-from trawlframe.functions.urls import normalize_url
+from trawlframe.functions.jsontext import header_pieces, header_text, join_pieces, payload_pieces, payload_text
+from trawlframe.functions.urls import join_url, normalize_url, split_url
 from trawlframe.operators.ordered import ordered_fold
 
 # Header names that never count, and the presets.
@@ -84,6 +84,34 @@ def with_fingerprint(df: DataFrame, config: FingerprintConfig = PRESETS["default
     return df.withColumn("fp", fingerprint(F.col("url"), has["method"], has["headers"], has["data"], config))
 
 
+def with_fingerprints(df: DataFrame, configs: dict[str, FingerprintConfig]) -> DataFrame:
+    """Adds a fingerprint column for each name in ``configs`` from the columns url, method, headers, data that exist. URL, payload and
+    headers are taken apart once; a configuration only leaves parts out and joins the rest."""
+    own = list(df.columns)
+    if not all(c.sort_params for c in configs.values()):
+        has = {c: F.col(c) if c in own else None for c in ("method", "headers", "data")}
+        return df.withColumns({n: fingerprint(F.col("url"), has["method"], has["headers"], has["data"], c) for n, c in configs.items()})
+    # One column a part: of a struct that is only taken apart again the optimizer would make a copy for each use.
+    parts = {f"_url_{name}": part for name, part in split_url("url").items()}
+    if "data" in own:
+        parts["_data"] = payload_pieces(F.col("data"))
+    if "headers" in own:
+        parts["_headers"] = header_pieces(F.col("headers"))
+    method = F.concat(F.lit("METHOD:"), F.upper("method") if "method" in own else F.lit("GET"))
+
+    def joined(config: FingerprintConfig) -> Column:
+        texts = [method] if config.method else []
+        if config.url:
+            texts.append(F.concat(F.lit("URL:"), join_url({name: F.col(f"_url_{name}") for name in ("base", "pairs", "fixed")}, config.ignore_params)))
+        if config.data and "data" in own:
+            texts.append(F.concat(F.lit("DATA:"), join_pieces(F.col("_data"), config.ignore_params)))
+        if config.headers and "headers" in own:
+            texts.append(F.concat(F.lit("HEADERS:"), join_pieces(F.col("_headers"), [h.lower() for h in config.ignore_headers])))
+        return F.md5(F.concat_ws("|", *texts))
+
+    return df.withColumns(parts).select(*own, *[joined(c).alias(n) for n, c in configs.items()])
+
+
 def first_seen(df: DataFrame, key: str | list[str], order: list) -> DataFrame:
     """One row per key: the first by ``order``, whose columns should end in an id.
 

@@ -78,9 +78,8 @@ def request_fingerprint_presets(spark, sf_dir):
     url = F.concat(F.lit("http://api.example.com/v1?timestamp="), text("event_id"), F.lit("&kind="), F.col("event_type"))
     data = F.create_map(F.lit("user"), text("user_id"), F.lit("nonce"), text("event_id"), F.lit("kind"), F.col("event_type"))
     headers = F.create_map(F.lit("X-User"), text("user_id"), F.lit("User-Agent"), F.lit("a"), F.lit("Accept"), F.lit("*/*"))
-    return e.select("event_id", *[
-        R.fingerprint(url, F.lit("post"), headers, data, R.preset(p)).alias(f"fp_{p}")
-        for p in ("basic", "strict", "api", "default")])
+    made = e.select("event_id", url.alias("url"), F.lit("post").alias("method"), headers.alias("headers"), data.alias("data"))
+    return R.with_fingerprints(made, {f"fp_{p}": R.preset(p) for p in ("basic", "strict", "api", "default")}).drop("url", "method", "headers", "data")
 
 
 @query("first_seen_requests", f"""
