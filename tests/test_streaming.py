@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawlframe.operators import fetchlog as L
 from trawlframe.operators import requests as R
-from trawlframe.streaming import breaker, dedup, ingest, metrics
+from trawlframe.streaming import breaker, dedup, held, ingest, metrics
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,24 @@ def test_validation_split(spark, tmp_path):
     ingest.available_now(source, str(tmp_path / "state"), split)
     assert spark.read.parquet(str(tmp_path / "valid")).first()["url"] == "http://h"
     assert spark.read.parquet(str(tmp_path / "rejected")).first()["report"]["errors"][0]["kind"] == "type"
+
+
+def test_a_hot_key_is_folded_piece_by_piece(spark, log, stream, run):
+    """The rule gets a key's waiting rows in batches of bounded size, not all in one frame."""
+    rule = L.breaker_fold(3, 300)
+
+    def fold(values, state):
+        if len(values["_us"]) > 40:
+            raise MemoryError(f"{len(values['_us'])} rows at once")
+        return rule(values, state)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        states = held.held_fold(stream(), "host", "ts", "event_id", {"_ok": F.col("status_code") == 200}, fold, {"decision": "string", "state": "string"},
+                                "2 hours", lambda state, last: 1 << 53)
+        got = run(states)
+        want = passed(L.breaker_replay(log[0], threshold=3, recovery_seconds=300), log[0], 7_200)
+        pick = lambda df: sorted((r["event_id"], r["decision"], r["state"]) for r in df.collect())
+        assert pick(got) == pick(want) != []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlframe.operators.requests import _accept
-from trawlframe.streaming.held import held_fold
+from trawlframe.streaming.held import HeldFold, held_fold
 
 
 def first_within(stream: DataFrame, key: str, ts: str, duration: str, lateness: str | None = None) -> DataFrame:
@@ -20,12 +20,11 @@ def first_within(stream: DataFrame, key: str, ts: str, duration: str, lateness:
     return once.withColumn("period", F.col("_period.start")).drop("_period")
 
 
-def accept_with_ttl(stream: DataFrame, key: str, ts: str, row_id: str, ttl: int, lateness: str = "0 seconds") -> DataFrame:
+def accept_with_ttl(stream: DataFrame, key: str, ts: str, row_id: str, ttl: int, lateness: str = "0 seconds") -> HeldFold:
     """Streaming form of the batch rule of the same name: an entry expires more
     than ``ttl`` seconds after its last accepted request.
 
-    Rows are taken in order of time, each when the watermark has passed it; of a second only the first can be accepted, so only that one
-    is held. A key's state ends with its entry.
+    Rows are taken in order of time, each when the watermark has passed it. A key's state ends with its entry. ``ingest.to_table`` runs it.
     """
     fold = _accept(ttl)
 
@@ -35,7 +34,4 @@ def accept_with_ttl(stream: DataFrame, key: str, ts: str, row_id: str, ttl: int,
     def ends(state: str | None, last: int) -> int | None:
         return (int(state) + ttl + 1) * 1000 if state is not None else None
 
-    def first_of_second(rows):
-        return rows[~(rows["_us"] // 1_000_000).duplicated()]
-
-    return held_fold(stream, key, ts, row_id, {}, by_second, {}, lateness, ends, first_of_second)
+    return held_fold(stream, key, ts, row_id, {}, by_second, {}, lateness, ends)

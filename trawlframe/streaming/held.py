@@ -1,58 +1,168 @@
-"""Sequential rules on streams: rows are held until the watermark has passed them, and only then folded in order."""
+"""Sequential rules on streams: rows wait in a table until the watermark has passed them, and only then are folded in order."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trawlframe.operators.ordered import Fold
 
+#: The waiting rows of one lateness lie in about so many buckets; none is shorter than an hour.
+BUCKETS = 8
+HOUR = 3_600_000_000
+
+
+@dataclass(frozen=True)
+class HeldFold:
+    """A sequential rule over a stream, run by ``ingest.to_table``.
+
+    ``rows`` is the stream of _key, _id, _us (event time in microseconds) and the columns ``names``. Nothing of a row is kept in a
+    group's state: rows are landed in a table by bucket of time, and of a key only ``fold``'s state is carried.
+    """
+
+    rows: DataFrame
+    names: tuple[str, ...]
+    columns: tuple[str, str]
+    fold: Fold
+    outputs: dict[str, str]
+    lateness: str
+    ends: Callable[[str | None, int], int | None]
+    idle_us: int | None = None
+
+    def folded(self, ready: DataFrame, states: DataFrame | None, passed: int) -> DataFrame:
+        """The rule's rows (_last is null), and a row with _state and _last for each key whose state lasts beyond ``passed``.
+
+        A task streams through its sorted rows, the state of a key first: a key of any length needs the memory of a batch.
+        """
+        none = {"_state": F.lit(None).cast("string"), "_last": F.lit(None).cast("long")}
+        rows = ready.select("_key", "_id", "_us", *self.names).withColumns(none)
+        if states is not None:
+            rows = rows.unionByName(states.select("_key", "_state", "_last"), allowMissingColumns=True)
+        out = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("_key", "_id", "_us", "_state", "_last")])
+        for name, kind in self.outputs.items():
+            out = out.add(name, kind)
+        types = {f.name: to_arrow_type(f.dataType) for f in out.fields}
+        fold, names, made_names, ends, idle_us = self.fold, self.names, list(self.outputs), self.ends, self.idle_us
+
+        def frame(n: int, given: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([given[c].cast(t) if c in given else pa.nulls(n, t) for c, t in types.items()], list(types))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begun, key, state, last = False, None, None, None
+            closed: list[tuple] = []
+
+            def close() -> None:
+                end = ends(state, last // 1000) if begun and last is not None else None
+                if end is not None and end * 1000 >= passed:
+                    closed.append((key, state, last))
+
+            def give() -> Iterator[pa.RecordBatch]:
+                if closed:
+                    columns = [pa.array(list(c), types[n]) for n, c in zip(("_key", "_state", "_last"), zip(*closed, strict=True), strict=True)]
+                    yield frame(len(closed), dict(zip(("_key", "_state", "_last"), columns, strict=True)))
+                    closed.clear()
+
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                codes = batch.column("_key").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), n]
+                given = batch.column("_last").is_valid().to_numpy(zero_copy_only=False)
+                at = batch.column("_us").fill_null(0).to_numpy(zero_copy_only=False)
+                values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+                keep, made = np.zeros(n, dtype=bool), {c: np.full(n, None, dtype=object) for c in made_names}
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    new_key = batch.column("_key")[a].as_py()
+                    if not begun or new_key != key:
+                        close()
+                        begun, key, state, last = True, new_key, None, None
+                    if given[a]:
+                        state, last = batch.column("_state")[a].as_py(), batch.column("_last")[a].as_py()
+                        a += 1
+                    gaps = [] if idle_us is None else (np.flatnonzero(np.diff(at[a:b]) > idle_us) + a + 1).tolist()
+                    for i, j in zip([a, *gaps], [*gaps, b], strict=True):
+                        if i == j:
+                            continue
+                        if idle_us is not None and last is not None and at[i] - last > idle_us:
+                            state = None
+                        new, state = fold({"_us": at[i:j], **{c: v[i:j] for c, v in values.items()}}, state)
+                        keep[i:j] = new.get("_keep", True)
+                        for c in made_names:
+                            made[c][i:j] = new[c]
+                        last = int(at[j - 1])
+                mask = pa.array(keep)
+                done = {c: batch.column(c).filter(mask) for c in ("_key", "_id", "_us")}
+                yield frame(int(keep.sum()), done | {c: pa.array(v[keep].tolist(), types[c]) for c, v in made.items()})
+                yield from give()
+            close()
+            yield from give()
+
+        # The row with a key's state has no time and so comes first.
+        return rows.repartition(F.col("_key")).sortWithinPartitions("_key", "_us", "_id").mapInArrow(run, out)
+
+    def run(self, path: str, checkpoint: str) -> DataFrame:
+        """Runs the stream over everything there is; the table at ``path`` gets the rows that the watermark has passed."""
+        spark = self.rows.sparkSession
+        held = f"{checkpoint.rstrip('/')}-held"
+        late_us = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL '{self.lateness}') AS us").first()["us"]
+        width = max(HOUR, late_us // BUCKETS)
+        bucket = lambda us: F.floor(us / F.lit(width))
+        landed_as = T.StructType([*self.rows.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("_bucket", T.LongType())])
+
+        def on_batch(batch: DataFrame, n: int) -> None:
+            spark = batch.sparkSession
+            # Every table of a batch is overwritten when it is repeated; its mark comes last.
+            batch.withColumn("_bucket", bucket(F.col("_us"))).write.mode("overwrite").partitionBy("_bucket").parquet(f"{held}/landed/batch_id={n}")
+            landed = spark.read.schema(landed_as).parquet(f"{held}/landed").where(F.col("batch_id") <= n)
+            before = _mark(spark, held, n - 1)
+            latest = landed.where(F.col("batch_id") == n).agg(F.max("_us")).first()[0]
+            passed = max((x for x in (before, None if latest is None else latest // 1000 * 1000 - late_us) if x is not None), default=None)
+            self._fold_into(landed, bucket, before, passed, f"{held}/folded", n, path)
+            spark.createDataFrame([(passed,)], "passed long").write.mode("overwrite").parquet(f"{held}/marks/batch_id={n}")
+
+        query = (self.rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
+        key, row_id = self.columns
+        kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema.fields}
+        schema = f"_key {kinds['_key']}, _id {kinds['_id']}, _us long" + "".join(f", {n} {t}" for n, t in self.outputs.items())
+        return spark.read.schema(schema).parquet(path).select(
+            F.col("_key").alias(key), F.col("_id").alias(row_id), F.timestamp_micros("_us").alias("ts"), *self.outputs)
+
+    def _fold_into(self, landed: DataFrame, bucket: Callable[[Column], Column], before: int | None, passed: int | None, folded: str, n: int,
+                   path: str) -> None:
+        """Folds the rows from ``before`` to ``passed`` (None: from the first, none): rows to ``path``, states beside them."""
+        spark = landed.sparkSession
+        ready = landed.where(F.lit(False) if passed is None else (F.col("_bucket") <= bucket(F.lit(passed))) & (F.col("_us") < passed))
+        if before is not None:
+            ready = ready.where((F.col("_bucket") >= bucket(F.lit(before))) & (F.col("_us") >= before))
+        states = spark.read.parquet(f"{folded}/batch_id={n - 1}").where("_last IS NOT NULL") if n > 0 else None
+        self.folded(ready, states, passed or 0).write.mode("overwrite").parquet(f"{folded}/batch_id={n}")
+        rows = spark.read.parquet(f"{folded}/batch_id={n}").where("_last IS NULL").drop("_state", "_last")
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+
+
+def _mark(spark: SparkSession, held: str, n: int) -> int | None:
+    """How far the watermark was after micro-batch ``n``."""
+    return spark.read.parquet(f"{held}/marks/batch_id={n}").first()["passed"] if n >= 0 else None
+
 
 def held_fold(stream: DataFrame, key: str, ts: str, row_id: str, values: dict, fold: Fold, outputs: dict[str, str], lateness: str,
-              ends: Callable[[str | None, int], int | None], reduce: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+              ends: Callable[[str | None, int], int | None], idle_seconds: float | None = None) -> HeldFold:
     """``key, row_id, ts`` and ``outputs`` of the rows that ``fold`` keeps, the same for any split into micro-batches.
 
     A row comes out once the watermark, ``lateness`` behind the latest row of the stream, has passed it. ``fold`` gets _us (event time
-    in microseconds) and the columns of ``values`` (name → Column). A key holds its rows of the last ``lateness``, reduced by ``reduce`` if
-    given, and the rule's state, until ``ends(state, last row in ms)`` (event time in ms; None: at once) has passed too.
+    in microseconds) and the columns of ``values`` (name → Column). A key's state stays until ``ends(state, last row in ms)`` (event
+    time in ms; None: at once) has passed; after ``idle_seconds`` without a row a key starts afresh.
     """
-    key_type, id_type = (stream.schema[c].dataType.simpleString() for c in (key, row_id))
-    rows = (stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lateness)
-            .select(F.col(key).alias("_key"), F.col(row_id).alias("_id"), "_ts", F.unix_micros("_ts").alias("_us"),
-                    *[c.alias(n) for n, c in values.items()]))
-    names, made_names = list(values), list(outputs)
-    kept = ["_us", "_id", *names]
-
-    def step(group, chunks, state):
-        passed = state.getCurrentWatermarkMs()
-        carried, held, last = state.get if state.exists else (None, "[]", 0)
-        parts = [pd.DataFrame(json.loads(held), columns=kept), *(c[kept] for c in chunks)]
-        waiting = pd.concat([p for p in parts if len(p)], ignore_index=True) if any(map(len, parts)) else parts[0]
-        waiting = waiting.sort_values(["_us", "_id"], ignore_index=True)
-        if reduce is not None and len(waiting):
-            waiting = reduce(waiting)
-        due = (waiting["_us"] < passed * 1000).to_numpy(dtype=bool)
-        ready, left = waiting[due].reset_index(drop=True), waiting[~due]
-        out = []
-        if len(ready):
-            made, carried = fold({c: ready[c].to_numpy() for c in ("_us", *names)}, carried)
-            last = int(ready["_us"].iloc[-1]) // 1000
-            done = ready.assign(_key=[group[0]] * len(ready), _ts=pd.to_datetime(ready["_us"].astype("int64"), unit="us", utc=True), **made)
-            out.append((done[done["_keep"].astype(bool)] if "_keep" in made else done)[["_key", "_id", "_ts", *made_names]])
-        end = None if len(left) else ends(carried, last)
-        if not len(left) and (end is None or end < passed):
-            state.remove()
-        else:
-            state.update((carried, json.dumps(left[kept].astype(object).values.tolist()), last))
-            state.setTimeoutTimestamp(max(passed + 1, int(left["_us"].min()) // 1000 if len(left) else end))
-        yield from out
-
-    schema = T.StructType.fromDDL(f"_key {key_type}, _id {id_type}, _ts timestamp" + "".join(f", {n} {t}" for n, t in outputs.items()))
-    return rows.groupBy("_key").applyInPandasWithState(step, schema, "carried string, held string, last long", "append", GroupStateTimeout.EventTimeTimeout) \
-        .select(F.col("_key").alias(key), F.col("_id").alias(row_id), F.col("_ts").alias("ts"), *outputs)
+    rows = stream.select(F.col(key).alias("_key"), F.col(row_id).alias("_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"),
+                         *[c.alias(n) for n, c in values.items()])
+    idle_us = None if idle_seconds is None else int(idle_seconds * 1_000_000)
+    return HeldFold(rows, tuple(values), (key, row_id), fold, outputs, lateness, ends, idle_us)

@@ -17,6 +17,7 @@ from trawlframe.functions.outcomes import is_success
 from trawlframe.operators.extraction import extract_fields
 from trawlframe.operators.requests import fingerprint, load_idempotent
 from trawlframe.operators.validation import FieldRule, split, validate
+from trawlframe.streaming.held import HeldFold
 
 
 def available_now(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -27,8 +28,10 @@ def available_now(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFr
     return query
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def to_table(stream: DataFrame | HeldFold, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs the stream over everything there is into a Parquet table."""
+    if isinstance(stream, HeldFold):
+        return stream.run(path, checkpoint)
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
