@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from tools.check_oracle import rows_of
 from trawlframe.operators import fetchlog as L
 from trawlframe.operators import requests as R
 from trawlframe.streaming import breaker, dedup, held, ingest, metrics
@@ -129,3 +132,26 @@ def test_a_hot_key_is_folded_piece_by_piece(spark, log, stream, run):
         assert pick(got) == pick(want) != []
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_finished_run_gives_out_every_row(log, stream, tmp_path):
+    states = breaker.breaker_states(stream(), threshold=3, recovery_seconds=300, lateness="2 hours")
+    pick = lambda df: sorted((r["event_id"], r["decision"], r["state"]) for r in df.collect())
+    whole = L.breaker_replay(log[0], threshold=3, recovery_seconds=300)
+    at = (str(tmp_path / "out"), str(tmp_path / "state"))
+    assert pick(ingest.to_table(states, *at, finish=True)) == pick(whole)
+    # What was given out early waits on for a run that goes on.
+    assert pick(ingest.to_table(states, *at)) == pick(passed(whole, log[0], 7_200))
+    accepted = dedup.accept_with_ttl(stream(), "host", "ts", "event_id", 500, "2 hours")
+    got = ingest.to_table(accepted, str(tmp_path / "out2"), str(tmp_path / "state2"), finish=True)
+    assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in R.accept_with_ttl(log[0], "host", "ts", "event_id", 500).collect())
+
+
+@pytest.mark.parametrize("name", ["stream_accept_with_ttl_finished", "stream_breaker_finished", "stream_metrics_finished"])
+def test_finished_queries_give_the_whole_table(spark, name):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    cursor = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, cursor.fetchall())

@@ -21,9 +21,9 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _events(spark, sf_dir):
+def _events(spark, sf_dir, beyond_us=None):
     """events as four files that arrive one after the other and overlap in time: quarters of the time range, every third event a tenth
-    of the range late. Each file is a micro-batch."""
+    of the range late. Each file is a micro-batch. With ``beyond_us`` a closing row that much later comes last."""
     path = scratch_path(spark, "event-files")
     events = table(spark, sf_dir, "events")
     span = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
@@ -32,6 +32,8 @@ def _events(spark, sf_dir):
     dealt = events.join(F.broadcast(span)).withColumn("_file", F.least(F.floor(share * 4), F.lit(3)))
     for k in range(4):
         dealt.where(F.col("_file") == k).drop("_file", "first", "last").coalesce(1).write.mode("append").parquet(path)
+    if beyond_us is not None:
+        ingest.closing_row(events, "ts", beyond_us).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -39,9 +41,9 @@ def _fetches(spark, sf_dir):
     return fetches(_events(spark, sf_dir))
 
 
-def _run(spark, stream, label, mode="append"):
+def _run(spark, stream, label, mode="append", finish=False):
     base = scratch_path(spark, label)
-    return ingest.to_table(stream, f"{base}/out", f"{base}/state", mode)
+    return ingest.to_table(stream, f"{base}/out", f"{base}/state", mode, finish)
 
 
 # The events cover thirty days and come at most a tenth of that late.
@@ -65,6 +67,13 @@ def stream_accept_with_ttl(spark, sf_dir):
     return _run(spark, accepted, "stream-ttl").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("stream_accept_with_ttl_finished", _TTL_SQL)
+def stream_accept_with_ttl_finished(spark, sf_dir):
+    """The whole table: what still waits at the end of the stream comes out too."""
+    accepted = dedup.accept_with_ttl(_events(spark, sf_dir), "user_id", "ts", "event_id", 36_000, LATENESS)
+    return _run(spark, accepted, "stream-ttl", finish=True).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("stream_metrics", f"""
 SELECT host, time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, count(*) AS requests,
   round(count(*) FILTER (status_code = 200) / count(*), 6) AS success_rate, round(avg(response_time), 6) AS average_response_time
@@ -76,12 +85,30 @@ def stream_metrics(spark, sf_dir):
     return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "success_rate", "average_response_time").drop("window_end")
 
 
+@query("stream_metrics_finished", f"""
+SELECT host, time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, count(*) AS requests,
+  round(count(*) FILTER (status_code = 200) / count(*), 6) AS success_rate, round(avg(response_time), 6) AS average_response_time
+FROM {FETCH_LOG_SQL} GROUP BY ALL""")
+def stream_metrics_finished(spark, sf_dir):
+    """All windows: a closing row, a day beyond the lateness, closes the last ones."""
+    log = fetches(_events(spark, sf_dir, beyond_us=(96 + 24) * 3_600_000_000))
+    out = _run(spark, metrics.windowed_metrics(log, "60 seconds", LATENESS), "stream-metrics")
+    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "success_rate", "average_response_time").drop("window_end")
+
+
 @query("stream_breaker", f"SELECT * FROM ({_BREAKER_SQL.format(wait=86_400 * 1_000_000, threshold=3)}) WHERE {_PASSED_SQL}")
 def stream_breaker(spark, sf_dir):
     states = breaker.breaker_states(_fetches(spark, sf_dir), threshold=3, recovery_seconds=86_400, lateness=LATENESS)
     return _run(spark, states, "stream-breaker").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("stream_breaker_finished", _BREAKER_SQL.format(wait=86_400 * 1_000_000, threshold=3))
+def stream_breaker_finished(spark, sf_dir):
+    """The whole table: what still waits at the end of the stream comes out too."""
+    states = breaker.breaker_states(_fetches(spark, sf_dir), threshold=3, recovery_seconds=86_400, lateness=LATENESS)
+    return _run(spark, states, "stream-breaker", finish=True).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("stream_ingest_pages", f"""
 SELECT task_id, count(*) AS records FROM (SELECT DISTINCT {sql_url_part('url', 'authority')} AS task_id, {sql_normalized('url')} AS u FROM pages) GROUP BY 1""")
 def stream_ingest_pages(spark, sf_dir):

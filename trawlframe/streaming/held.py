@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.utils import AnalysisException
 
 from trawlframe.operators.ordered import Fold
 
@@ -108,8 +109,12 @@ class HeldFold:
         # The row with a key's state has no time and so comes first.
         return rows.repartition(F.col("_key")).sortWithinPartitions("_key", "_us", "_id").mapInArrow(run, out)
 
-    def run(self, path: str, checkpoint: str) -> DataFrame:
-        """Runs the stream over everything there is; the table at ``path`` gets the rows that the watermark has passed."""
+    def run(self, path: str, checkpoint: str, finish: bool = False) -> DataFrame:
+        """Runs the stream over everything there is; the table at ``path`` gets the rows that the watermark has passed.
+
+        ``finish`` gives out the rows that still wait too, as if nothing could follow. They stay waiting for a later run,
+        which writes them again in their place.
+        """
         spark = self.rows.sparkSession
         held = f"{checkpoint.rstrip('/')}-held"
         late_us = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL '{self.lateness}') AS us").first()["us"]
@@ -133,20 +138,30 @@ class HeldFold:
         key, row_id = self.columns
         kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema.fields}
         schema = f"_key {kinds['_key']}, _id {kinds['_id']}, _us long" + "".join(f", {n} {t}" for n, t in self.outputs.items())
+        # What waits is batch -1 of the table, written anew by each run.
+        n = _last_mark(spark, held)
+        if finish and n is not None:
+            landed, before = spark.read.schema(landed_as).parquet(f"{held}/landed").where(F.col("batch_id") <= n), _mark(spark, held, n)
+            waiting = landed if before is None else landed.where((F.col("_bucket") >= bucket(F.lit(before))) & (F.col("_us") >= before))
+            latest = waiting.agg(F.max("_us")).first()[0]
+            self._fold_into(landed, bucket, before, before if latest is None else latest + 1, f"{held}/folded", n + 1, path, "batch_id=-1")
+        else:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
         return spark.read.schema(schema).parquet(path).select(
             F.col("_key").alias(key), F.col("_id").alias(row_id), F.timestamp_micros("_us").alias("ts"), *self.outputs)
 
     def _fold_into(self, landed: DataFrame, bucket: Callable[[Column], Column], before: int | None, passed: int | None, folded: str, n: int,
-                   path: str) -> None:
-        """Folds the rows from ``before`` to ``passed`` (None: from the first, none): rows to ``path``, states beside them."""
+                   path: str, to: str | None = None) -> None:
+        """Folds the rows from ``before`` to ``passed`` (None: from the first, none) after micro-batch ``n`` - 1: rows to ``path``, states beside them."""
+        to = to or f"batch_id={n}"
         spark = landed.sparkSession
         ready = landed.where(F.lit(False) if passed is None else (F.col("_bucket") <= bucket(F.lit(passed))) & (F.col("_us") < passed))
         if before is not None:
             ready = ready.where((F.col("_bucket") >= bucket(F.lit(before))) & (F.col("_us") >= before))
         states = spark.read.parquet(f"{folded}/batch_id={n - 1}").where("_last IS NOT NULL") if n > 0 else None
-        self.folded(ready, states, passed or 0).write.mode("overwrite").parquet(f"{folded}/batch_id={n}")
-        rows = spark.read.parquet(f"{folded}/batch_id={n}").where("_last IS NULL").drop("_state", "_last")
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+        self.folded(ready, states, passed or 0).write.mode("overwrite").parquet(f"{folded}/{to}")
+        rows = spark.read.parquet(f"{folded}/{to}").where("_last IS NULL").drop("_state", "_last")
+        rows.write.mode("overwrite").parquet(f"{path}/{to}")
 
 
 def _mark(spark: SparkSession, held: str, n: int) -> int | None:
@@ -154,6 +169,13 @@ def _mark(spark: SparkSession, held: str, n: int) -> int | None:
     return spark.read.parquet(f"{held}/marks/batch_id={n}").first()["passed"] if n >= 0 else None
 
 
+def _last_mark(spark: SparkSession, held: str) -> int | None:
+    try:
+        return spark.read.parquet(f"{held}/marks").agg(F.max("batch_id")).first()[0]
+    except AnalysisException:  # no micro-batch yet
+        return None
+
+
 def held_fold(stream: DataFrame, key: str, ts: str, row_id: str, values: dict, fold: Fold, outputs: dict[str, str], lateness: str,
               ends: Callable[[str | None, int], int | None], idle_seconds: float | None = None) -> HeldFold:
     """``key, row_id, ts`` and ``outputs`` of the rows that ``fold`` keeps, the same for any split into micro-batches.

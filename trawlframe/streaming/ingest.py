@@ -28,16 +28,27 @@ def available_now(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFr
     return query
 
 
-def to_table(stream: DataFrame | HeldFold, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over everything there is into a Parquet table."""
+def to_table(stream: DataFrame | HeldFold, path: str, checkpoint: str, mode: str = "append", finish: bool = False) -> DataFrame:
+    """Runs the stream over everything there is into a Parquet table. Of a sequential rule ``finish`` gives out the rows that still wait
+    for the watermark too; any other stream ends with ``closing_row``."""
     if isinstance(stream, HeldFold):
-        return stream.run(path, checkpoint)
+        return stream.run(path, checkpoint, finish)
+    if finish:
+        raise ValueError("only a sequential rule can be finished: let the source end with closing_row")
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def closing_row(rows: DataFrame, ts: str, beyond_us: int) -> DataFrame:
+    """One row of nulls but for ``ts``, which lies ``beyond_us`` after the latest of ``rows``. As the last micro-batch of a source it moves
+    the watermark past all others (lateness and window width and more must fit into ``beyond_us``); its own window stays open."""
+    kind = rows.schema[ts].dataType
+    later = F.timestamp_micros(F.unix_micros(F.max(F.col(ts).cast("timestamp"))) + F.lit(beyond_us)).cast(kind)
+    return rows.agg(later.alias(ts)).select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
