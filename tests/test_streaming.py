@@ -155,3 +155,22 @@ def test_finished_queries_give_the_whole_table(spark, name):
     names = [d[0] for d in cursor.description]
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, cursor.fetchall())
+
+
+def test_late_rows_are_put_aside_and_counted(log, stream, tmp_path):
+    """With no lateness the third that comes a file late cannot be folded in order; none of it is lost."""
+    states = breaker.breaker_states(stream(), threshold=3, recovery_seconds=300)
+    out = str(tmp_path / "out")
+    with pytest.warns(UserWarning, match="rows came after the watermark"):
+        got = ingest.to_table(states, out, str(tmp_path / "state"), finish=True)
+    on_time = sorted(r["event_id"] for r in got.collect())
+    late = sorted(r["_id"] for r in got.sparkSession.read.parquet(held.late_path(out)).collect())
+    assert late and sorted(on_time + late) == sorted(r["event_id"] for r in log[0].collect())
+
+
+def test_lateness_follows_the_range(spark, tmp_path):
+    """Over sixty days a tenth is six days: nothing may fall behind the watermark."""
+    events = spark.range(2_000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.lit("error").alias("event_type"),
+                                       F.timestamp_seconds(F.col("id") * 2_592).cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert entry.queries()["stream_breaker_finished"](spark, str(tmp_path)).count() == 2_000

@@ -21,12 +21,23 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def _span(events):
+    return events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def _lateness(spark, sf_dir):
+    """Seconds that no event is late by: a tenth of the range that ``_events`` deals out, and one more."""
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("last", "first")]
+    span = _span(table(spark, sf_dir, "events")).select((micros[0] - micros[1]).alias("us")).first()["us"] or 0
+    return span // 10_000_000 + 2
+
+
 def _events(spark, sf_dir, beyond_us=None):
     """events as four files that arrive one after the other and overlap in time: quarters of the time range, every third event a tenth
     of the range late. Each file is a micro-batch. With ``beyond_us`` a closing row that much later comes last."""
     path = scratch_path(spark, "event-files")
     events = table(spark, sf_dir, "events")
-    span = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    span = _span(events)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     share = (micros("ts") - micros("first")) / (micros("last") - micros("first") + 1) + F.when(F.col("event_id") % 3 == 0, 0.1).otherwise(0.0)
     dealt = events.join(F.broadcast(span)).withColumn("_file", F.least(F.floor(share * 4), F.lit(3)))
@@ -46,7 +57,8 @@ def _run(spark, stream, label, mode="append", finish=False):
     return ingest.to_table(stream, f"{base}/out", f"{base}/state", mode, finish)
 
 
-# The events cover thirty days and come at most a tenth of that late.
+# The given events cover thirty days and come at most a tenth of that late; the SQL of the unfinished queries names these hours, the
+# finished ones take theirs from the range.
 LATENESS = "96 hours"
 _PASSED_SQL = "epoch_us(ts) < (SELECT epoch_ms(max(ts)) - 96 * 3600000 FROM events) * 1000"
 
@@ -70,7 +82,7 @@ def stream_accept_with_ttl(spark, sf_dir):
 @query("stream_accept_with_ttl_finished", _TTL_SQL)
 def stream_accept_with_ttl_finished(spark, sf_dir):
     """The whole table: what still waits at the end of the stream comes out too."""
-    accepted = dedup.accept_with_ttl(_events(spark, sf_dir), "user_id", "ts", "event_id", 36_000, LATENESS)
+    accepted = dedup.accept_with_ttl(_events(spark, sf_dir), "user_id", "ts", "event_id", 36_000, f"{_lateness(spark, sf_dir)} seconds")
     return _run(spark, accepted, "stream-ttl", finish=True).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -91,8 +103,9 @@ SELECT host, time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, count(*) AS r
 FROM {FETCH_LOG_SQL} GROUP BY ALL""")
 def stream_metrics_finished(spark, sf_dir):
     """All windows: a closing row, a day beyond the lateness, closes the last ones."""
-    log = fetches(_events(spark, sf_dir, beyond_us=(96 + 24) * 3_600_000_000))
-    out = _run(spark, metrics.windowed_metrics(log, "60 seconds", LATENESS), "stream-metrics")
+    late = _lateness(spark, sf_dir)
+    log = fetches(_events(spark, sf_dir, beyond_us=(late + 86_400) * 1_000_000))
+    out = _run(spark, metrics.windowed_metrics(log, "60 seconds", f"{late} seconds"), "stream-metrics")
     return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "success_rate", "average_response_time").drop("window_end")
 
 
@@ -105,7 +118,7 @@ def stream_breaker(spark, sf_dir):
 @query("stream_breaker_finished", _BREAKER_SQL.format(wait=86_400 * 1_000_000, threshold=3))
 def stream_breaker_finished(spark, sf_dir):
     """The whole table: what still waits at the end of the stream comes out too."""
-    states = breaker.breaker_states(_fetches(spark, sf_dir), threshold=3, recovery_seconds=86_400, lateness=LATENESS)
+    states = breaker.breaker_states(_fetches(spark, sf_dir), threshold=3, recovery_seconds=86_400, lateness=f"{_lateness(spark, sf_dir)} seconds")
     return _run(spark, states, "stream-breaker", finish=True).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -113,7 +114,8 @@ class HeldFold:
         """Runs the stream over everything there is; the table at ``path`` gets the rows that the watermark has passed.
 
         ``finish`` gives out the rows that still wait too, as if nothing could follow. They stay waiting for a later run,
-        which writes them again in their place.
+        which writes them again in their place. Rows that come behind the watermark of the micro-batches before, or have no time, cannot
+        be folded in order: they go to the table at ``late_path(path)``, and a warning says how many they are.
         """
         spark = self.rows.sparkSession
         held = f"{checkpoint.rstrip('/')}-held"
@@ -129,6 +131,8 @@ class HeldFold:
             landed = spark.read.schema(landed_as).parquet(f"{held}/landed").where(F.col("batch_id") <= n)
             before = _mark(spark, held, n - 1)
             latest = landed.where(F.col("batch_id") == n).agg(F.max("_us")).first()[0]
+            late = F.col("_us").isNull() if before is None else F.col("_us").isNull() | (F.col("_us") < before)
+            landed.where((F.col("batch_id") == n) & late).drop("batch_id", "_bucket").write.mode("overwrite").parquet(f"{late_path(path)}/batch_id={n}")
             passed = max((x for x in (before, None if latest is None else latest // 1000 * 1000 - late_us) if x is not None), default=None)
             self._fold_into(landed, bucket, before, passed, f"{held}/folded", n, path)
             spark.createDataFrame([(passed,)], "passed long").write.mode("overwrite").parquet(f"{held}/marks/batch_id={n}")
@@ -147,6 +151,8 @@ class HeldFold:
             self._fold_into(landed, bucket, before, before if latest is None else latest + 1, f"{held}/folded", n + 1, path, "batch_id=-1")
         else:
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
+        if n is not None and (missed := spark.read.schema(self.rows.schema).parquet(late_path(path)).count()):
+            warnings.warn(f"{missed} rows came after the watermark or have no time; they are in {late_path(path)}", stacklevel=2)
         return spark.read.schema(schema).parquet(path).select(
             F.col("_key").alias(key), F.col("_id").alias(row_id), F.timestamp_micros("_us").alias("ts"), *self.outputs)
 
@@ -164,6 +170,11 @@ class HeldFold:
         rows.write.mode("overwrite").parquet(f"{path}/{to}")
 
 
+def late_path(path: str) -> str:
+    """The table of the rows (_key, _id, _us and the rule's columns) that came too late for the one at ``path``."""
+    return f"{path.rstrip('/')}-late"
+
+
 def _mark(spark: SparkSession, held: str, n: int) -> int | None:
     """How far the watermark was after micro-batch ``n``."""
     return spark.read.parquet(f"{held}/marks/batch_id={n}").first()["passed"] if n >= 0 else None
@@ -180,7 +191,8 @@ def held_fold(stream: DataFrame, key: str, ts: str, row_id: str, values: dict, f
               ends: Callable[[str | None, int], int | None], idle_seconds: float | None = None) -> HeldFold:
     """``key, row_id, ts`` and ``outputs`` of the rows that ``fold`` keeps, the same for any split into micro-batches.
 
-    A row comes out once the watermark, ``lateness`` behind the latest row of the stream, has passed it. ``fold`` gets _us (event time
+    A row comes out once the watermark, ``lateness`` behind the latest row of the stream, has passed it; with less ``lateness`` than rows
+    really have, those behind it are put aside. ``fold`` gets _us (event time
     in microseconds) and the columns of ``values`` (name → Column). A key's state stays until ``ends(state, last row in ms)`` (event
     time in ms; None: at once) has passed; after ``idle_seconds`` without a row a key starts afresh.
     """
