@@ -35,9 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates on five-word shingles: the one with the smallest doc_id."""
-    groups = chosen_path.near_duplicates(docs)
-    return docs.join(groups.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates on five-word shingles: the one with the smallest doc_id."""
+    return chosen_path.one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from trawlframe.llm import (anchor_pii, chosen_path, collision_projections, huffman_ids, impact_search, line_runs, pair_index_bpe, pu_toxicity,
                             temperature_mix, text_density)
 from trawlframe.llm.common import stored
@@ -82,6 +83,19 @@ def test_near_duplicates(spark, docs, none):
     assert chosen_path.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_where_ids_repeat(spark):
+    """A copy under a repeated id takes no other text with it, sets with the same smallest id are apart, equal rows are one."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdx"}
+    near = lambda k: text[k] + " end"
+    given = [(3, text["a"]), (5, near("a")), (5, text["b"]), (9, near("b")), (20, text["c"]), (20, text["d"]), (21, near("c")), (22, near("d")),
+             (12, text["x"]), (12, text["x"]), (13, near("x")), (14, None), (14, ""), (None, text["a"]), (15, "  ")]
+    df = spark.createDataFrame(given, SCHEMA).withColumn("source", F.lit("s"))
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    want = [(3, text["a"]), (5, text["b"]), (20, text["c"]), (20, text["d"]), (12, text["x"]), (14, None), (14, ""), (None, text["a"]), (15, "  ")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     """Groups of near copies, chains, blocks of a large group: the same components as comparing all pairs."""
     draw = np.random.default_rng(4)

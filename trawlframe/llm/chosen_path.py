@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlframe.llm.common import deal_units, map_runs, merge_edges, smallest_of, stored, table, text_slices
@@ -88,9 +88,14 @@ def _minima(shingles: np.ndarray, salts: np.ndarray, factors: np.ndarray) -> np.
     return least
 
 
+def digest(text: str) -> Column:
+    """What tells the texts of rows with one doc_id apart."""
+    return F.md5(F.col(text).cast("binary"))
+
+
 def describe(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, picks, signature): a fingerprint of each text's set, its selected
-    tokens for every tree, level and branch, and a signature for quick comparison."""
+    """(doc_id, digest, n_shingles, set_a, set_b, picks, signature): the text's digest, a fingerprint of its set, its
+    selected tokens for every tree, level and branch, and a signature for quick comparison."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = np.random.default_rng(11)
         n_picks = s.trees * s.levels * s.branch
@@ -111,12 +116,12 @@ def describe(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "tex
                 offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * n_picks)
                 flat = pa.array(np.concatenate(picks) if picks else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                    [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                      pa.ListArray.from_arrays(offsets, flat), pa.array(signatures, pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "picks", "signature"])
+                    ["doc_id", "digest", "n_shingles", "set_a", "set_b", "picks", "signature"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        work, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, picks array<bigint>, signature binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), digest(text).alias("digest")).mapInArrow(
+        work, "doc_id bigint, digest string, n_shingles bigint, set_a bigint, set_b bigint, picks array<bigint>, signature binary")
 
 
 def _children(rows: DataFrame, level: int, s: Settings) -> DataFrame:
@@ -171,7 +176,7 @@ def _linked(n: int, alike) -> np.ndarray:
 
 
 def _forest(reps: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
-    """One edge from each row to the smallest text of its component."""
+    """One edge from each row to the smallest node of its component."""
     roots = smallest_of(reps, labels)
     keep = roots != reps
     return pa.RecordBatch.from_arrays([pa.array(reps[keep]), pa.array(roots[keep])], ["a", "b"])
@@ -205,6 +210,8 @@ def _verify(runs: Iterator[pa.Table], s: Settings) -> Iterator[pa.RecordBatch]:
         # Rows that share a doc_id come with each other's texts too: the fingerprint tells which text is meant.
         sets, owners = [], []
         for rep, set_a, set_b, text in zip(*(run.column(c) for c in ("rep", "set_a", "set_b", "text")), strict=True):
+            if owners and owners[-1] == rep.as_py():  # sorted by rep: the same text again
+                continue
             shingles = shingle_set(text.as_py() or "", s.words, hashes)
             if fingerprint(shingles) == (set_a.as_py(), set_b.as_py()):
                 sets.append(shingles)
@@ -230,40 +237,68 @@ def _verify(runs: Iterator[pa.Table], s: Settings) -> Iterator[pa.RecordBatch]:
             yield edges
 
 
-def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
-
-    component_id is the smallest doc_id reachable over links, kept whether it is the row's own. A null or
-    empty text, or one of white space only, has an empty set and links with nothing. A text with
-    fewer words than a shingle has its whole sequence as one. A null doc_id links with nothing and
-    is kept. Rows that share a doc_id are told apart by their sets. Other columns are not read.
-    """
-    s = settings or Settings()
+def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, digest, n_shingles, component, smallest) for every row of ``docs``: component is a number of the row's group,
+    smallest the least doc_id in it; both are null where the row links with nothing because of its empty set or null doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(describe(docs, s), "sets")
+    # A set is a node of its own, numbered as the table is written, also where other sets have the same least doc_id.
     reps = stored(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b")
-                  .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("picks").alias("picks"),
-                       F.first("signature").alias("signature")), "reps")
+                  .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("picks").alias("picks"),
+                       F.first("signature").alias("signature")).withColumn("rep", F.monotonically_increasing_id()), "reps")
     meet = deal_units(leaves(reps, s), "rep", F.ceil(F.col("n") / s.block_rows))
     found = map_runs(meet.select("node", "u", "v", "rep").join(reps.select("rep", "signature"), "rep"), ["node", "u", "v"], [],
                      lambda runs: _compare_signatures(runs, s), "a bigint, b bigint")
     together = components(found)
-    members = reps.select(F.col("rep"), "set_a", "set_b", "n_shingles").join(together.withColumnRenamed("node", "rep"), "rep")
+    members = reps.select("rep", "least", "set_a", "set_b", "n_shingles").join(together.withColumnRenamed("node", "rep"), "rep")
     sizes = members.groupBy("component").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / s.block_rows, F.sum("n_shingles") / s.block_shingles)).alias("need"))
     units = deal_units(members.join(sizes, "component"), "rep", F.col("need"))
-    texts = units.select("component", "u", "v", "rep", "set_a", "set_b").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+    texts = units.select("component", "u", "v", "rep", "least", "set_a", "set_b").join(docs.withColumnRenamed("doc_id", "least"), "least")
     checked = map_runs(texts, ["component", "u", "v"], ["rep"], lambda runs: _verify(runs, s), "a bigint, b bigint")
-    groups = components(checked).withColumnsRenamed({"node": "rep", "component": "smallest"})
-    named = reps.select("set_a", "set_b", "rep").join(groups, "rep", "left").select(
-        "set_a", "set_b", F.coalesce("smallest", "rep").alias("smallest"))
-    return (sets.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-            .select("doc_id", "n_shingles",
-                    F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("smallest")).otherwise(F.col("doc_id"))
-                    .alias("component_id"))
+    groups = components(checked).withColumnRenamed("node", "rep")
+    named = stored(reps.select("set_a", "set_b", "rep", "least").join(groups, "rep", "left")
+                   .select("set_a", "set_b", F.coalesce("component", "rep").alias("component"), "least"), "named")
+    smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = named.drop("least").join(smallest, "component")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return (sets.select("doc_id", "digest", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+            .select("doc_id", "digest", "n_shingles", F.when(linked, F.col("component")).alias("component"),
+                    F.when(linked, F.col("smallest")).alias("smallest")))
+
+
+def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable over links, kept whether it is the row's own. A null or
+    empty text, or one of white space only, has an empty set and links with nothing. A text with
+    fewer words than a shingle has its whole sequence as one. A null doc_id links with nothing and
+    is kept. Rows that share a doc_id are told apart by their sets. Other columns are not read.
+    """
+    return (_grouped(docs, settings or Settings())
+            .select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def one_of_each(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """``docs`` (doc_id, text and other columns) with one row of each group: of the rows with its smallest doc_id the
+    one with the smallest digest, of equal texts the smallest row. Rows that link with nothing all stay."""
+    keys = stored(_grouped(docs, settings or Settings()).where("component IS NOT NULL").groupBy("doc_id", "digest")
+                  .agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("copies")), "group-keys")
+    chosen = stored(keys.groupBy("component").agg(F.min(F.struct("doc_id", "digest", "copies")).alias("k")).select("k.*"), "chosen")
+    others = keys.join(chosen, ["doc_id", "digest"], "left_anti").select("doc_id", "digest")
+    repeated = chosen.where("copies > 1").select("doc_id", "digest")
+    again = bool(repeated.take(1))
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_digest": digest("text")})
+    same = lambda k: (F.col("_id") == k["doc_id"]) & (F.col("_digest") == k["digest"])
+    gone = others.unionByName(repeated) if again else others
+    out = rows.join(gone, same(gone), "left_anti").select(*docs.columns)
+    if again:
+        first = rows.join(repeated, same(repeated), "left_semi").groupBy("_id", "_digest").agg(F.min(F.struct(*docs.columns)).alias("r"))
+        out = out.unionByName(first.select("r.*"))
+    return out
+
+
 @query("op6_chosen_path")
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents on two-word shingles."""
