@@ -16,8 +16,8 @@ from trawlframe.plans.registry import query
 #: No stage order of this pipeline can be said in SQL: the first stage trains a classifier.
 ORACLE_SQL = None
 
-#: A document is rejected where toxicity is likelier than not.
-REJECT = 0.5
+#: A document is rejected where operator 1 calls it toxic.
+REJECT = pu_toxicity.THRESHOLD
 #: Rarer sources are passed up to one and a half times; the covering budget leaves no document out.
 MIX = temperature_mix.Settings(entropy=None, repeats=1.5, budget=None)
 

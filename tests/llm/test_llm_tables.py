@@ -240,3 +240,13 @@ def test_stored_tables_live_in_the_checkpoint_folder(spark, docs):
     files = stored(docs.select("doc_id"), "probe").inputFiles()
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
     assert files and all(folder in f for f in files)
+
+
+def test_pipeline_rejects_what_the_operator_calls_toxic(spark, monkeypatch):
+    """A text that scores 0.4 is toxic for operator 1 (from 0.3) and so for the pipeline."""
+    at = lambda p: float(np.log(p / (1 - p)))
+    model = pu_toxicity.Model(("fair", "bad"), np.array([[at(0.4) - at(0.1), at(0.9) - at(0.1)]]), np.array([at(0.1)]))
+    monkeypatch.setattr(pu_toxicity, "fit", lambda docs, labels: model)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: None)
+    df = spark.createDataFrame([(1, "good"), (2, "fair"), (3, "bad")], SCHEMA)
+    assert [r["doc_id"] for r in corpus_pipeline.toxicity(spark, df, "").collect()] == [1]
