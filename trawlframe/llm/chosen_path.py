@@ -282,21 +282,21 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
 def one_of_each(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``docs`` (doc_id, text and other columns) with one row of each group: of the rows with its smallest doc_id the
-    one with the smallest digest, of equal texts the smallest row. Rows that link with nothing all stay."""
+    one with the smallest digest, of equal texts the row with the smallest hash. Rows that link with nothing all stay."""
     keys = stored(_grouped(docs, settings or Settings()).where("component IS NOT NULL").groupBy("doc_id", "digest")
                   .agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("copies")), "group-keys")
     chosen = stored(keys.groupBy("component").agg(F.min(F.struct("doc_id", "digest", "copies")).alias("k")).select("k.*"), "chosen")
     others = keys.join(chosen, ["doc_id", "digest"], "left_anti").select("doc_id", "digest")
     repeated = chosen.where("copies > 1").select("doc_id", "digest")
     again = bool(repeated.take(1))
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_digest": digest("text")})
-    same = lambda k: (F.col("_id") == k["doc_id"]) & (F.col("_digest") == k["digest"])
-    gone = others.unionByName(repeated) if again else others
-    out = rows.join(gone, same(gone), "left_anti").select(*docs.columns)
+    # The caller's row travels as one value: its columns may have any names and types, maps too.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"))
+    out = rows.join(others.unionByName(repeated) if again else others, ["doc_id", "digest"], "left_anti").select("row")
     if again:
-        first = rows.join(repeated, same(repeated), "left_semi").groupBy("_id", "_digest").agg(F.min(F.struct(*docs.columns)).alias("r"))
-        out = out.unionByName(first.select("r.*"))
-    return out
+        first = (rows.join(repeated, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest")
+                 .agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")))
+        out = out.unionByName(first.select("row"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 @query("op6_chosen_path")

@@ -133,3 +133,44 @@ def smallest_of(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, labels, ids)
     return least[labels]
+
+
+#: Up to this product of norms every partial sum of an inner product of integers is exact in double precision.
+EXACT = float(1 << 52)
+LONG = np.iinfo(np.int64)
+
+
+def whole_parts(x: np.ndarray) -> np.ndarray:
+    """floor(256 x) of finite doubles, as doubles (beyond their range: the largest of them)."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(256.0 * x), posinf=np.finfo(float).max, neginf=np.finfo(float).min)
+
+
+def norms_of(values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((values * values).sum(axis=-1))
+
+
+def integer_scores(values: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float) -> np.ndarray:
+    """Inner products of rows of integers (as doubles) with ``q``, exact; beyond 64 bits the nearest number that fits.
+
+    Rows that doubles could round go through Python's integers.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        sure = norms * q_norm <= EXACT
+        out = np.where(sure, values @ q, 0.0).astype(np.int64)
+    if not sure.all():
+        own = [int(c) for c in q]
+        for i in np.flatnonzero(~sure).tolist():
+            out[i] = min(max(sum(int(a) * b for a, b in zip(values[i], own, strict=True)), LONG.min), LONG.max)
+    return out
+
+
+def vectors_of(column: pa.Array, length: int) -> np.ndarray:
+    """A batch's vectors of one length as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), length)
+
+
+def fit_vector(vector: Column) -> Column:
+    """True for a vector that is not null or empty and holds no null or non-finite component."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))

@@ -2,7 +2,8 @@
 
 Format, a folder of three Parquet tables:
 
-- ``code``: (id, n, bits): count and code length of each id that occurs; the canonical code follows from the lengths.
+- ``code``: (id, n, bits, max_bits, checkpoint): count and code length of each id that occurs, and, alike in all rows, the settings that a
+  reader needs; the canonical code follows from the lengths.
 - ``shards``: (shard, start): ids before each shard. Shards are ranges of ascending doc_id.
 - ``blocks``, one folder a shard: independent blocks of whole documents in ascending order. A block has its place in the shard,
   doc_ids and lengths of its documents, the code bits, and the bit offset of every 512th id.
@@ -14,8 +15,6 @@ file, on any storage that Spark reaches.
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -29,6 +28,7 @@ from pyspark.sql.window import Window
 
 from trawlframe.llm.common import stored, table, tasks_of, text_slices
 from trawlframe.llm.pair_index_bpe import tokenizer_path
+from trawlframe.llm.token_ids import LibraryIds, built, ship
 from trawlframe.plans.registry import query
 from trawlframe.session import scratch_path
 
@@ -41,72 +41,6 @@ class Settings:
     end_id: int = 0
 
 
-class LibraryIds:
-    """Ids of texts by the ``tokenizers`` library for a byte-level BPE vocabulary given as its file's JSON text.
-
-    Byte-level rules cut a text into words before any merge, so the library's ids of a text are those of its
-    words one after the other. Texts in basic and extended Latin letters without a special token are cut here, and each
-    distinct word goes through the library once; all other texts go through it whole.
-    """
-
-    #: Words remembered by a Python worker; bounds memory, not results.
-    REMEMBERED = 300_000
-    # The byte-level cutting rule, its classes written out for characters below U+0250.
-    LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
-    CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    OTHER = re.compile("[ɐ-\U0010ffff]")
-
-    def __init__(self, spec: str):
-        self.spec = spec
-
-    def __reduce__(self):
-        return type(self), (self.spec,)
-
-    @cached_property
-    def library(self):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_str(self.spec)
-        made.no_truncation()
-        made.no_padding()
-        return made
-
-    @cached_property
-    def special(self) -> re.Pattern | None:
-        names = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        return re.compile("|".join(map(re.escape, names))) if names else None
-
-    @cached_property
-    def known(self) -> dict[str, bytes]:
-        return {}
-
-    def _library_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain, other = [], []
-        for i, t in enumerate(texts):
-            odd = not t.isascii() and self.OTHER.search(t) or self.special and self.special.search(t)
-            (other if odd else plain).append(i)
-        cut = [self.CUT.findall(texts[i]) for i in plain]
-        known = self.known
-        new = [w for w in set().union(*cut) if w not in known] if cut else []
-        found = dict(zip(new, self._library_ids(new), strict=True))
-        if len(known) + len(found) <= self.REMEMBERED:
-            known.update(found)
-            found = known
-        else:
-            found = {**known, **found}
-        for i, words in zip(plain, cut, strict=True):
-            out[i] = b"".join(map(found.__getitem__, words))
-        for i, ids in zip(other, self._library_ids([texts[i] for i in other]), strict=True):
-            out[i] = ids
-        return out
-
-
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
     """Lengths of an optimal prefix code with at most ``max_bits`` bits for positive counts (package-merge)."""
     n = len(counts)
@@ -209,16 +143,16 @@ class Code:
 def tokenised(docs: DataFrame, spec: str, s: Settings) -> DataFrame:
     """(shard, doc_id, local, n_tokens, ids): ids of every document with the end id, in ascending order of doc_id within and across
     shards; ``local`` counts the ids of the shard before the document."""
-    shared = docs.sparkSession.sparkContext.broadcast(LibraryIds(spec))
+    shared = ship(docs.sparkSession, spec=spec)
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
                .repartitionByRange(tasks_of(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")))
     end = np.uint32(s.end_id).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, done = TaskContext.get().partitionId(), 0
+        shard, done, library = TaskContext.get().partitionId(), 0, built(shared, LibraryIds)
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                ids = [x + end for x in shared.value.encode(batch.column("text").to_pylist())]
+                ids = [x + end for x in library.encode(batch.column("text").to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = done + np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
@@ -258,16 +192,16 @@ def write_ids(docs: DataFrame, spec: str, path: str, settings: Settings | None =
     rows = sorted((r["id"], r["n"]) for r in counted(staged).collect())  # at most the size of the vocabulary
     ids, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     lengths = code_lengths(counts, s.max_bits)
-    spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(ids, counts, lengths, strict=True)], "id bigint, n bigint, bits int") \
+    spark.createDataFrame([(int(a), int(b), int(c), s.max_bits, s.checkpoint) for a, b, c in zip(ids, counts, lengths, strict=True)], CODE) \
         .coalesce(1).sortWithinPartitions("id").write.parquet(f"{path}/code")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row a shard
     (staged.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
      .write.parquet(f"{path}/shards"))
-    shared = spark.sparkContext.broadcast(Code(ids, lengths, s.max_bits))
+    shared = ship(spark, ids=ids, lengths=lengths, max_bits=s.max_bits)
 
     def block(shard: int, local: int, held: list) -> pa.RecordBatch:
         flat = np.frombuffer(b"".join(x[2] for x in held), dtype="<u4")
-        payload, offsets = shared.value.encode(flat, s.checkpoint)
+        payload, offsets = built(shared, Code).encode(flat, s.checkpoint)
         cells = [shard, local, len(held), len(flat), [x[0] for x in held], [x[1] for x in held], payload, offsets.tolist()]
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, KINDS, strict=True)], NAMES)
 
@@ -290,17 +224,19 @@ def write_ids(docs: DataFrame, spec: str, path: str, settings: Settings | None =
     blocks.sortWithinPartitions("shard", "local").write.partitionBy("shard").option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
+CODE = "id bigint, n bigint, bits int, max_bits int, checkpoint int"
 NAMES = ["shard", "local", "n_docs", "n_tokens", "doc_ids", "lengths", "bits", "checkpoints"]
 SPARK_KINDS = ["int", "bigint", "int", "bigint", "array<bigint>", "array<bigint>", "binary", "array<bigint>"]
 KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
 
 
-def read_ids(spark: SparkSession, path: str, settings: Settings | None = None) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files: ``start`` ids come before it, ``ids`` are little-endian
-    unsigned 32-bit integers. Blocks are decoded on their own, so any task may read any of them."""
-    s = settings or Settings()
-    rows = sorted((r["id"], r["bits"]) for r in spark.read.schema("id bigint, n bigint, bits int").parquet(f"{path}/code").collect())
-    shared = spark.sparkContext.broadcast(Code(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), s.max_bits))
+    unsigned 32-bit integers. Blocks are decoded on their own, so any task may read any of them. What the writer was set to is read
+    from the files."""
+    rows = sorted((r["id"], r["bits"], r["max_bits"], r["checkpoint"]) for r in spark.read.schema(CODE).parquet(f"{path}/code").collect())
+    max_bits, checkpoint = rows[0][2:] if rows else (1, 1)
+    shared = ship(spark, ids=np.array([r[0] for r in rows], np.int64), lengths=np.array([r[1] for r in rows], np.int64), max_bits=max_bits)
     shards = spark.read.schema("shard int, start bigint").parquet(f"{path}/shards")
     order = [i for i, n in enumerate(NAMES) if n != "shard"]
     blocks = spark.read.schema(", ".join([*(f"{NAMES[i]} {SPARK_KINDS[i]}" for i in order), "shard int"])).parquet(f"{path}/blocks")
@@ -310,8 +246,8 @@ def read_ids(spark: SparkSession, path: str, settings: Settings | None = None) -
             for at in range(0, whole.num_rows, 32):
                 batch = whole.slice(at, 32)
                 counts = batch.column("n_tokens").to_pylist()
-                flat = shared.value.decode(batch.column("bits").to_pylist(), [np.array(c, np.int64) for c in batch.column("checkpoints").to_pylist()],
-                                           counts, s.checkpoint)
+                flat = built(shared, Code).decode(batch.column("bits").to_pylist(), [np.array(c, np.int64) for c in batch.column("checkpoints").to_pylist()],
+                                           counts, checkpoint)
                 for k, found in enumerate(flat):
                     sizes = np.array(batch.column("lengths")[k].as_py(), np.int64)
                     ends = np.cumsum(sizes)

@@ -105,25 +105,23 @@ def _dropped_lines(docs: DataFrame, s: Settings) -> DataFrame:
             .agg(F.collect_list("at").alias("dropped")))
 
 
-def without_repeated_lines(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with the text after line dedup, and n_lines and n_dropped.
+def without_repeated_lines(docs: DataFrame, settings: Settings | None = None, counts: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with the text after line dedup, and n_lines and n_dropped (unless ``counts`` is off).
 
     A null or empty text is one empty line and becomes an empty text. Rows with the same
     doc_id count as one document; a row with a null doc_id neither counts nor loses lines. Other columns are
-    kept as they are; columns named n_lines or n_dropped are replaced.
+    kept as they are; with ``counts``, columns named n_lines or n_dropped are replaced.
     """
     s = settings or Settings()
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    others = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     work = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
     dropped = _dropped_lines(work.select("doc_id", "text", "copy"), s)
     joined = work.join(dropped, ["doc_id", "copy"], "left").withColumn("lines", lines_of(F.col("text")))
     stay = F.array_except(F.sequence(F.lit(1), F.size("lines")), "dropped")
     text = (F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit("")))
             .otherwise(F.array_join(F.transform(stay, lambda at: F.element_at("lines", at)), "\n")))
-    return joined.select(
-        *(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in others),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    made = (F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in others), *(made if counts else ()))
 
 
 SQL = r"""

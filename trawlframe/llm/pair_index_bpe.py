@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlframe.llm.common import table, text_slices
+from trawlframe.llm.token_ids import built, ship
 from trawlframe.plans.registry import query
 
 #: Unicode White_Space, which the vocabulary's rules call \\s.
@@ -211,10 +212,10 @@ def encode(docs: DataFrame, bpe: PairIndexBPE, key: str = "doc_id", text: str =
     give a row each. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(bpe)
+    shared = ship(docs.sparkSession, spec=bpe.spec)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = built(shared, PairIndexBPE)
         for whole in batches:
             for batch in text_slices(whole, "t"):
                 ids = own.encode([t or "" for t in batch.column("t").to_pylist()])
@@ -229,10 +230,10 @@ def encode(docs: DataFrame, bpe: PairIndexBPE, key: str = "doc_id", text: str =
 def decode(encoded: DataFrame, bpe: PairIndexBPE, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, n_tokens, ids, text): ids as :func:`encode` gives them, and the text they decode to. Null ids decode to an empty text."""
     kind = encoded.schema[key].dataType.simpleString()
-    shared = encoded.sparkSession.sparkContext.broadcast(bpe)
+    shared = ship(encoded.sparkSession, spec=bpe.spec)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = built(shared, PairIndexBPE)
         for whole in batches:
             for batch in text_slices(whole, "ids", 2 << 20):
                 rows = [np.frombuffer(x or b"", dtype="<u4") for x in batch.column("ids").to_pylist()]

@@ -4,7 +4,8 @@ Confirmed toxic texts are the positives; everything else is unlabelled, toxic te
 classifier is estimated from those two samples and the class prior:
 prior * R_pos(+1) + max(0, R_unl(-1) - prior * R_pos(-1)), with the logistic loss, so
 scores estimate the probability of label 1. While the second part is below zero its gradient is
-followed backwards, which keeps the classifier from fitting the unlabelled sample.
+followed backwards, which keeps the classifier from fitting the unlabelled sample. A member that would call texts without any
+known word likelier toxic than the class prior gets the bias that makes the prior the mean score of the unlabelled sample.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlframe.llm.common import held_out, stored, table, text_slices
+from trawlframe.llm.token_ids import built, ship
 from trawlframe.plans.registry import query
 
 WORD = re.compile(r"\w+")
@@ -45,6 +47,7 @@ class Settings:
     steps: int = 300
     rate: float = 0.1
     penalty: float = 1e-3
+    below: float = 0.1
     seed: int = 7
 
 
@@ -83,13 +86,15 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_words: int, prior: floa
         (p, u), (p_left, u_left) = shares(draw), shares((draw == 0).astype(float))
         theta, mean, var = np.zeros(n_words + 1), np.zeros(n_words + 1), np.zeros(n_words + 1)
         theta[-1] = np.log(prior / (1 - prior))
-        best, least = theta, np.inf
+        best, least = theta, np.inf  # the first step is judged too, so nothing worse than the constant is kept
         for step in range(1, s.steps + 1):
             f = np.bincount(owner, theta[flat], minlength=len(rows)) + theta[-1]
             sigma = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
             as_positive, as_negative = np.logaddexp(0, -f), np.logaddexp(0, f)  # losses of calling a row so
-            # The member keeps the step with the smallest risk on the rows that its bootstrap left out.
-            risk = prior * (p_left @ as_positive) + max(0.0, u_left @ as_negative - prior * (p_left @ as_negative))
+            # The member keeps the step with the smallest risk on the rows that its bootstrap left out. An unlabelled part far below
+            # zero counts against a step: cut at zero, calling everything positive would look best.
+            rest = u_left @ as_negative - prior * (p_left @ as_negative)
+            risk = prior * (p_left @ as_positive) + (rest if rest > 0 else -s.below * rest)
             if risk < least:
                 best, least = theta, risk
             slope = (u - prior * p) * sigma
@@ -99,10 +104,21 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_words: int, prior: floa
             var = 0.999 * var + 0.001 * grad * grad
             theta = theta - s.rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(var / (1 - 0.999 ** step)) + 1e-8)
         weights.append(best[:-1])
-        biases.append(best[-1])
+        # A text without a known word is no likelier toxic than any text; where training left it so, the bias is set anew.
+        sums = np.bincount(owner, best[flat], minlength=len(rows))[~positive]
+        biases.append(calibrated(sums, prior) if best[-1] > np.log(prior / (1 - prior)) else best[-1])
     return np.array(weights), np.array(biases)
 
 
+def calibrated(sums: np.ndarray, prior: float) -> float:
+    """The bias with which texts whose weights add up to ``sums`` have the prior as their mean score."""
+    low, high = -60.0 - np.abs(sums).max(initial=0), 60.0 + np.abs(sums).max(initial=0)
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (1 / (1 + np.exp(-np.clip(sums + middle, -500, 500)))).mean() < prior else (low, middle)
+    return (low + high) / 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, prior: float | None = None) -> Model:
     """Trains on documents and labels whose id is not held out.
 
@@ -171,13 +187,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, score): 0 to 1 for every whole text, higher where label 1 is likelier. Null and empty texts
     get the score of a text without any known word. Rows that repeat, null keys included, give a row each."""
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, words=model.words, weights=model.weights, biases=model.biases)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = built(shared, Model)
         for whole in batches:
             for batch in text_slices(whole, "t"):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k"), pa.array(shared.value.score([t or "" for t in batch.column("t").to_pylist()]))], ["k", "score"])
+                    [batch.column("k"), pa.array(own.score([t or "" for t in batch.column("t").to_pylist()]))], ["k", "score"])
 
     return (docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(work, f"k {kind}, score double")
             .withColumnRenamed("k", key))
