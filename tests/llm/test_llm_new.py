@@ -94,7 +94,7 @@ def plain_negatives(rows, k=5):
             if i is not None and y is not None and x and all(c is not None and np.isfinite(c) for c in x)]
     out = Counter()
     for own, mine, q in {(i, y, tuple(x)) for i, y, x in rows if i % 10 == 0}:
-        scored = sorted((-min(max(sum(a * b for a, b in zip(q, x, strict=True)), -2 ** 63), 2 ** 63 - 1), i, y) for i, y, x in rows if i != own and len(x) == len(q))
+        scored = sorted((-min(max(sum(a * b for a, b in zip(q, x, strict=True)), 1 - 2 ** 63), 2 ** 63 - 1), i, y) for i, y, x in rows if i != own and len(x) == len(q))
         for p, positive, _ in [t for t in scored if t[2] == mine][:k]:
             window = [(n, i) for n, i, y in scored if y != mine and -80 * p <= -100 * n <= -100 * p][:k]
             out.update((own, positive, rank, i, -p, -n) for rank, (n, i) in enumerate(window, 1))

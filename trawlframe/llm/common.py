@@ -137,7 +137,7 @@ def smallest_of(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 #: Up to this product of norms every partial sum of an inner product of integers is exact in double precision.
 EXACT = float(1 << 52)
-LONG = np.iinfo(np.int64)
+LONG = (1 << 63) - 1
 
 
 def whole_parts(x: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def norms_of(values: np.ndarray) -> np.ndarray:
 
 
 def integer_scores(values: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float) -> np.ndarray:
-    """Inner products of rows of integers (as doubles) with ``q``, exact; beyond 64 bits the nearest number that fits.
+    """Inner products of rows of integers (as doubles) with ``q``, exact; beyond 63 bits and a sign the nearest number that fits.
 
     Rows that doubles could round go through Python's integers.
     """
@@ -162,7 +162,7 @@ def integer_scores(values: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm:
     if not sure.all():
         own = [int(c) for c in q]
         for i in np.flatnonzero(~sure).tolist():
-            out[i] = min(max(sum(int(a) * b for a, b in zip(values[i], own, strict=True)), LONG.min), LONG.max)
+            out[i] = min(max(sum(int(a) * b for a, b in zip(values[i], own, strict=True)), -LONG), LONG)
     return out
 
 
