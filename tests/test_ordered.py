@@ -1,6 +1,7 @@
 """Segment operators against plain windows and step-by-step restatements, with
 one key holding most of the rows and many segments."""
 
+import json
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from trawlframe.operators import fetchlog as L
 from trawlframe.operators import frontier as W
 from trawlframe.operators import ordered
+from trawlframe.operators import requests as R
 
 
 def rows_with_a_hot_key(seed, n=4000):
@@ -130,6 +132,77 @@ def test_breaker_like_step_by_step(spark, batch_rows, seed, failing):
     assert got == want
 
 
+@pytest.mark.parametrize("per_slice, seed, failing, wait", [(1, 1, 0.7, 60), (3, 2, 0.95, 60), (10, 3, 1.0, 700), (40, 4, 0.5, 5), (150, 5, 0.8, 3000), (25, 6, 0.0, 60)])
+def test_breaker_of_a_cut_key_like_one_task(spark, monkeypatch, per_slice, seed, failing, wait):
+    """Slices of one hot host, composed, against the loop over all its calls."""
+    rng = random.Random(seed)
+    rows = [(0 if rng.random() < 0.8 else None if rng.random() < 0.3 else rng.randrange(1, 5), i, rng.randrange(9_000), 503 if rng.random() < failing else 200)
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "host int, event_id int, s long, status_code int").withColumn("ts", F.timestamp_seconds("s"))
+    monkeypatch.setattr(ordered, "cannot_be_large", lambda df, n: False)
+    rule, fold = L.breaker_rule(3, wait), ordered.ordered_fold
+    monkeypatch.setattr(L, "ordered_fold", lambda *a: fold(*a, rows_per_slice=per_slice))
+    got = {r["event_id"]: (r["decision"], r["state"]) for r in L.breaker_replay(df, threshold=3, recovery_seconds=wait).collect()}
+    want = {}
+    for host in {r[0] for r in rows}:
+        mine = sorted((s, i, c) for h, i, s, c in rows if h == host)
+        want.update(zip((i for _, i, _ in mine), breaker([(s, c == 200) for s, _, c in mine], 3, wait), strict=True))
+    assert got == want
+    # And the summaries alone, for every way to cut one key.
+    mine = sorted((s * 1_000_000, i, c == 200) for h, i, s, c in rows if h == 0)
+    state = whole = None
+    for a in range(0, len(mine), per_slice * 7):
+        values = {"_us": np.array([m[0] for m in mine[a:a + per_slice * 7]]), "_ok": np.array([m[2] for m in mine[a:a + per_slice * 7]])}
+        state, (_, whole) = rule.through(rule.summary(values), state), rule.fold(values, whole)
+        assert json.loads(state) == json.loads(whole)
+
+
+@pytest.mark.parametrize("per_slice, ttl", [(1, 0), (2, 50), (9, 1), (30, 400), (30, 100_000)])
+def test_expiry_of_a_cut_key_like_one_task(spark, monkeypatch, per_slice, ttl):
+    rng = random.Random(per_slice + ttl)
+    rows = [("a" if rng.random() < 0.9 else None if rng.random() < 0.5 else "b", i, rng.randrange(4_000)) for i in range(900)]
+    df = spark.createDataFrame(rows, "fp string, id int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    monkeypatch.setattr(ordered, "cannot_be_large", lambda df, n: False)
+    fold = ordered.ordered_fold
+    monkeypatch.setattr(R, "ordered_fold", lambda *a: fold(*a, rows_per_slice=per_slice))
+    got = {r["id"] for r in R.accept_with_ttl(df, "fp", "ts", "id", ttl).collect()}
+    want = set()
+    for fp in {r[0] for r in rows}:
+        last = None
+        for s, i in sorted((s, i) for f, i, s in rows if f == fp):
+            if last is None or s > last + ttl:
+                want.add(i)
+                last = s
+    assert got == want
+
+
+def test_hot_key_of_a_rule_is_spread(spark, monkeypatch):
+    """Nine tenths of the rows on one host: no task folds more than a few slices."""
+    df = spark.range(20_000).select(F.expr("IF(id % 10 = 0, id, 0)").alias("host"), F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"),
+                                    F.expr("IF(hash(id) % 3 = 0, 200, 503)").alias("status_code"))
+    monkeypatch.setattr(ordered, "cannot_be_large", lambda df, n: False)
+    fold = ordered.ordered_fold
+    monkeypatch.setattr(L, "ordered_fold", lambda *a: fold(*a, rows_per_slice=500))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = L.breaker_replay(df).withColumn("task", F.spark_partition_id()).where("host = 0").groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 9_000
+
+
+def test_place_by_binary_search(spark):
+    df = spark.createDataFrame([([], 5), ([3], 2), ([3], 3), ([1, 4, 9, 16, 25], 0), ([1, 4, 9, 16, 25], 16), ([1, 4, 9, 16, 25], 99), (None, 1)], "b array<int>, x int")
+    assert [r[0] for r in df.select(ordered.place_in(F.col("b"), F.col("x"))).collect()] == [0, 0, 1, 0, 4, 5, 0]
+
+
+def test_bounds_of_all_keys_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "MOST_BOUNDS", 16)
+    df = spark.range(3_000).select(F.struct((F.col("id") % 3).alias("k0")).alias("_key"), F.struct(F.col("id").alias("o0")).alias("_order"))
+    sizes = [r[0] for r in ordered.slice_bounds(df, 2).select(F.size("_bounds")).collect()]
+    assert len(sizes) == 3 and 9 <= sum(sizes) <= 16
+
+
 def test_streaks_and_adaptive_retry(spark):
     rng = random.Random(9)
     rows = [(h, i, i, 503 if rng.random() < 0.5 else 200) for h in range(4) for i in range(200 if h == 0 else 15)]

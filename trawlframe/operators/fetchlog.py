@@ -1,19 +1,20 @@
 """Analyses over a fetch log: host, ts, event id, status_code, response_time.
 
 Hosts are skewed, so totals are plain aggregates (combined on the map side) and
-everything ordered goes through the segment operators.
+everything ordered goes through ``ordered``, which cuts large hosts into slices.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlframe.functions.outcomes import is_success, rate, retryable_status
-from trawlframe.operators.ordered import ordered_fold, running
+from trawlframe.operators.ordered import Rule, ordered_fold, running
 
 # Adaptive retry and breaker defaults.
 BASE_RETRIES, BASE_DELAY, MAX_DELAY = 3, 1.0, 60.0
@@ -153,6 +154,67 @@ def breaker_fold(threshold: int, recovery_seconds: float):
     return fold
 
 
+def _text(failures: int | None, open_until: int | None) -> str:
+    return json.dumps({"failures": failures} if open_until is None else {"open_until": open_until})
+
+
+def breaker_rule(threshold: int, recovery_seconds: float) -> Rule:
+    """The breaker as a rule that can be composed.
+
+    States are a number of failures, or open until a time. Within a slice the states form a forest: closed without failures before a call,
+    or a trial at a call, each lead to one other or out of the slice; jumping along it gives every state's exit. An open breaker can
+    enter at the calls of the slice's first waiting time only, so the summary lists no others.
+    """
+    wait = int(recovery_seconds * 1_000_000)
+
+    def summary(values: dict[str, np.ndarray]) -> str:
+        at, ok = values["_us"], values["_ok"].astype(bool)
+        n = len(at)
+        index = np.arange(n)
+        next_ok = np.minimum.accumulate(np.where(ok, index, n)[::-1])[::-1]
+        # Where a breaker opens that is closed without failures before call i: in the run that i stands in, or in the next long one.
+        begins = np.flatnonzero(~ok & np.append(True, ok[:-1]))
+        openers = begins[next_ok[begins] - begins >= threshold] + threshold - 1
+        later = np.append(openers, n)[np.searchsorted(openers - threshold + 1, next_ok)]
+        opens = np.append(np.where(next_ok - index >= threshold, index + threshold - 1, later), n)
+        trial = np.append(np.searchsorted(at, at + wait), n)  # the first call that a breaker opened at i lets through
+        tail = np.append(np.minimum(n - index, n - 1 - (int(np.flatnonzero(ok)[-1]) if ok.any() else -1)), 0)  # failures at the end, from i on
+        # Nodes: closed before call 0 to n, then a trial at call 0 to n - 1; an exit leads to itself.
+        to_trial = lambda opener: np.where(trial[opener] < n, n + 1 + trial[opener], -1 - opener)
+        closed = np.where(opens < n, to_trial(np.minimum(opens, n)), np.arange(n + 1))
+        tried = np.where(ok, index + 1, to_trial(index))
+        step = np.concatenate([closed, tried])
+        exits = np.where(step < 0, step, 0)  # -1 - i: open by call i
+        jump = np.where(step < 0, np.arange(len(step)), step)
+        while not np.array_equal(further := jump[jump], jump):
+            jump = further
+        leave = lambda node: _text(None, int(at[-1 - exits[node]]) + wait) if exits[node] else _text(int(tail[node]), None)
+        run = int(next_ok[0])
+        entered = []
+        for failures in range(threshold):
+            if failures and failures + run >= threshold:
+                opener = threshold - failures - 1
+                node = int(trial[opener])
+                entered.append(leave(int(jump[n + 1 + node])) if node < n else _text(None, int(at[opener]) + wait))
+            elif failures and run == n:
+                entered.append(_text(failures + n, None))
+            else:
+                entered.append(leave(int(jump[run if failures else 0])))
+        reached = int(np.searchsorted(at, at[0] + wait)) + 1
+        ends = jump[n + 1:][:reached]
+        kept = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))  # calls with one exit in a row are one entry
+        return json.dumps({"closed": entered, "at": at[kept].tolist(), "exits": [leave(int(e)) for e in ends[kept]]})
+
+    def through(told: str, state: str | None) -> str:
+        known, held = json.loads(told), json.loads(state) if state else {"failures": 0}
+        if "open_until" not in held:
+            return known["closed"][held["failures"]]
+        i = bisect_left(known["at"], held["open_until"])
+        return known["exits"][i] if i < len(known["at"]) else state
+
+    return Rule(breaker_fold(threshold, recovery_seconds), summary, through)
+
+
 def breaker_replay(log: DataFrame, host: str = "host", ts: str = "ts", row_id: str = "event_id",
                    threshold: int = FAILURE_THRESHOLD, recovery_seconds: float = RECOVERY_SECONDS) -> DataFrame:
     """What a circuit breaker per host would have done: decision (accepted,
@@ -162,4 +224,4 @@ def breaker_replay(log: DataFrame, host: str = "host", ts: str = "ts", row_id: s
         is_success(F.col("status_code")).alias("_ok"))
     kept = [slim.schema[c] for c in (host, ts, row_id)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", decision string, state string"
-    return ordered_fold(slim, host, ["_us", row_id], ["_us", "_ok"], breaker_fold(threshold, recovery_seconds), schema)
+    return ordered_fold(slim, host, ["_us", row_id], ["_us", "_ok"], breaker_rule(threshold, recovery_seconds), schema)

@@ -7,6 +7,7 @@ operator here reduces per fingerprint before the shuffle.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trawlframe.functions.jsontext import header_pieces, header_text, join_pieces, payload_pieces, payload_text
 from trawlframe.functions.urls import join_url, normalize_url, split_url
-from trawlframe.operators.ordered import ordered_fold
+from trawlframe.operators.ordered import Rule, ordered_fold
 
 # Header names that never count, and the presets.
 DEFAULT_IGNORED_HEADERS = (
@@ -187,20 +188,44 @@ def _accept(ttl: int):
     return fold
 
 
+def accept_rule(ttl: int) -> Rule:
+    """The rule that can be composed: the state is the last accepted second, which leads from each second to the next accepted one.
+
+    The first one accepted in a slice lies within its first ``ttl`` seconds, so the summary lists no others.
+    """
+    def summary(values: dict[str, np.ndarray]) -> str:
+        seconds = values["second"]
+        n = len(seconds)
+        following = np.searchsorted(seconds, seconds + ttl, side="right")
+        jump = np.where(following < n, following, np.arange(n))
+        while not np.array_equal(further := jump[jump], jump):
+            jump = further
+        ends = jump[:int(np.searchsorted(seconds, seconds[0] + ttl, side="right")) + 1]
+        kept = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
+        return json.dumps({"at": seconds[kept].tolist(), "exits": seconds[ends[kept]].tolist()})
+
+    def through(told: str, state: str | None) -> str | None:
+        known = json.loads(told)
+        i = 0 if state is None else bisect_right(known["at"], json.loads(state) + ttl)
+        return json.dumps(known["exits"][i]) if i < len(known["at"]) else state
+
+    return Rule(_accept(ttl), summary, through)
+
+
 def accept_with_ttl(df: DataFrame, key: str, ts: str, row_id: str, ttl: int) -> DataFrame:
     """Rows accepted when an entry expires more than ``ttl`` whole seconds after
     its last *accepted* request; duplicates in between do not extend it.
 
     Within one second only the first row can be accepted, so each key is first
-    reduced to one row per second of its span. Keys that are still long are
-    folded in segments.
+    reduced to one row per second of its span. Keys that are still long are cut
+    into slices, whose effects are composed.
     """
     seconds = df.select(key, row_id, F.unix_seconds(F.col(ts).cast("timestamp")).alias("second"), F.col(ts).alias("_ts"))
     per_second = seconds.groupBy(key, "second").agg(F.min(F.struct("_ts", row_id)).alias("first"))
     slim = per_second.select(key, "second", F.col("first._ts").alias("ts"), F.col(f"first.{row_id}").alias(row_id))
     fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items())
-    return ordered_fold(slim, key, ["second"], ["second"], _accept(ttl), schema).select(key, row_id, "ts")
+    return ordered_fold(slim, key, ["second"], ["second"], accept_rule(ttl), schema).select(key, row_id, "ts")
 
 
 def content_key(columns: Iterable[str]) -> Column:
