@@ -71,7 +71,9 @@ def _sliced(df: DataFrame, rows_per_slice: int) -> tuple[DataFrame, DataFrame]:
     def cut(how: str) -> DataFrame:
         # A struct equals another one with nulls in the same places, so null keys meet too.
         return (df.join(F.broadcast(bounds), F.col("_key") == F.col("_cut"), how)
-                .withColumn("_slice", place_in(F.col("_bounds"), F.col("_order"))).drop("_cut", "_bounds"))
+                .withColumn("_slice", place_in(F.col("_bounds"), F.col("_order")))
+                # Bounds are orders of rows: this one begins its slice.
+                .withColumn("_begins", F.coalesce(F.get("_bounds", F.col("_slice") - 1) == F.col("_order"), F.lit(False))).drop("_cut", "_bounds"))
     return cut("left"), cut("inner")
 
 
@@ -218,8 +220,8 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], needs: list[str], ru
         sliced, cut = _sliced(named, rows_per_slice)
         # As small as the bounds: a row for each slice of a cut key.
         entries = _entries(cut, needs, rule)
-        rows = sliced.join(F.broadcast(entries), (F.col("_key") == F.col("_ck")) & (F.col("_slice") == F.col("_cs")), "left").drop(
-            "_key", "_order", "_ck", "_cs")
+        rows = sliced.join(F.broadcast(entries), F.col("_begins") & (F.col("_key") == F.col("_ck")) & (F.col("_slice") == F.col("_cs")), "left").drop(
+            "_key", "_order", "_begins", "_ck", "_cs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, last_slice, state, first = None, None, None, True
