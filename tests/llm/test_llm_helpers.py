@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from trawlframe.llm import anchor_pii, chosen_path, huffman_ids, impact_search, pair_index_bpe, pu_toxicity, text_density
+from trawlframe.llm import anchor_pii, chosen_path, common, huffman_ids, impact_search, pair_index_bpe, pu_toxicity, text_density
 from trawlframe.llm.common import merge_edges, row_slices, smallest_of
 
 
@@ -172,9 +172,34 @@ def test_block_search_is_exact(rescore):
     values = draw.integers(-80, 80, (500, 16))
     values[100:140] = values[7]
     ids = draw.permutation(500)
+    values = values.astype(float)
     index = impact_search.BlockIndex(ids, values, impact_search.Settings(rescore=rescore))
     for i in range(0, 200, 7):
         scores = values @ values[i]
         want = sorted((-int(s), int(d)) for s, d in zip(scores, ids, strict=True) if d != ids[i])[:5]
-        got = index.search(int(ids[i]), values[i])
+        *got, scored = index.search(int(ids[i]), values[i])
         assert [(-int(s), int(d)) for d, s in zip(*got, strict=True)] == want
+
+
+def test_proof_leaves_few_rows_to_score():
+    """Unstructured vectors, the worst case: still less than a tenth of a block is scored, in every other block less than in the first."""
+    draw = np.random.default_rng(2)
+    unit = draw.normal(size=(4_000, 64))
+    values = np.floor(256 * unit / np.linalg.norm(unit, axis=1, keepdims=True))
+    ids, s = np.arange(4_000), impact_search.Settings()
+    first, second = (impact_search.BlockIndex(ids[a:a + 2_000], values[a:a + 2_000], s) for a in (0, 2_000))
+    for i in range(0, 2_000, 100):
+        found, scores, scored = first.search(i, values[i])
+        assert scored < 400
+        floor = float(scores[-1])
+        more, higher, scored = second.search(i, values[i], floor)
+        assert scored < 400
+        want = values[2_000:] @ values[i]
+        assert sorted(higher[higher >= floor].tolist()) == sorted(want[want >= floor].tolist())[-5:]
+
+
+def test_scores_are_exact_for_any_size():
+    values = np.array([[3.0, -5.0], [2.0 ** 40 + 1, 2.0 ** 40 - 3], [1e300, 1.0], [-1e300, 2.0]])
+    got = common.integer_scores(values, common.norms_of(values), np.array([2.0 ** 20 + 1, 7.0]), float(common.norms_of(np.array([2.0 ** 20 + 1, 7.0]))))
+    exact = [sum(int(a) * b for a, b in zip(v, (2 ** 20 + 1, 7), strict=True)) for v in values]
+    assert got.tolist() == [min(max(x, 1 - 2 ** 63), 2 ** 63 - 1) for x in exact]
