@@ -140,43 +140,45 @@ class Code:
         return flat
 
 
-def tokenised(docs: DataFrame, spec: str, s: Settings) -> DataFrame:
-    """(shard, doc_id, local, n_tokens, ids): ids of every document with the end id, in ascending order of doc_id within and across
-    shards; ``local`` counts the ids of the shard before the document."""
-    shared = ship(docs.sparkSession, spec=spec)
+def tokenised(docs: DataFrame, spec: str, s: Settings, width: int) -> DataFrame:
+    """(shard, doc_id, local, n_tokens, ids): ids of every document with the end id, ``width`` bytes each, in ascending order of doc_id within
+    and across shards; ``local`` counts the ids of the shard before the document. A shard's last row has local -1: its counts of ids, from 0 on."""
+    shared = ship(docs.sparkSession, spec=spec, width=width)
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
                .repartitionByRange(tasks_of(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")))
-    end = np.uint32(s.end_id).tobytes()
+    end, kind = int(s.end_id).to_bytes(width, "little"), f"<u{width}"
+    names = ["shard", "doc_id", "local", "n_tokens", "ids"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done, library = TaskContext.get().partitionId(), 0, built(shared, LibraryIds)
+        total = np.zeros(1 << 16 if width == 2 else 0, np.int64)
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 ids = [x + end for x in library.encode(batch.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                sizes = np.array([len(x) // width for x in ids], dtype=np.int64)
                 ends = done + np.cumsum(sizes)
+                own = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+                total = own + np.pad(total, (0, len(own) - len(total)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), shard, np.int32)), batch.column("doc_id"), pa.array(ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())],
-                    ["shard", "doc_id", "local", "n_tokens", "ids"])
+                    [pa.array(np.full(len(ids), shard, np.int32)), batch.column("doc_id"), pa.array(ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())], names)
                 done = int(ends[-1])
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([0]),
+                                              pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
     return ordered.mapInArrow(work, "shard int, doc_id bigint, local bigint, n_tokens bigint, ids binary")
 
 
 def counted(ids: DataFrame) -> DataFrame:
-    """(id, n): how often each id occurs; combined per task, so the shuffle has a row for each id and task at most."""
+    """(id, n): how often each id occurs, from the last rows of the shards; the shuffle has a row for each id and shard at most."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column("ids"):
-                own = np.bincount(np.frombuffer(x.as_buffer(), dtype="<u4"))
-                if len(own) > len(total):
-                    total = np.pad(total, (0, len(own) - len(total)))
-                total[:len(own)] += own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+                total = np.frombuffer(x.as_buffer(), "<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(work, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.where("local = -1").select("ids").mapInArrow(work, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, spec: str, path: str, settings: Settings | None = None) -> None:
@@ -188,19 +190,22 @@ def write_ids(docs: DataFrame, spec: str, path: str, settings: Settings | None =
     """
     s = settings or Settings()
     spark = docs.sparkSession
-    staged = stored(tokenised(docs, spec, s), "ids")
+    # Ids that fit take two bytes on their way into the blocks.
+    width = 2 if LibraryIds(spec).library.get_vocab_size(with_added_tokens=True) <= 1 << 16 and s.end_id < 1 << 16 else 4
+    staged = stored(tokenised(docs, spec, s, width), "ids")
     rows = sorted((r["id"], r["n"]) for r in counted(staged).collect())  # at most the size of the vocabulary
     ids, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     lengths = code_lengths(counts, s.max_bits)
     spark.createDataFrame([(int(a), int(b), int(c), s.max_bits, s.checkpoint) for a, b, c in zip(ids, counts, lengths, strict=True)], CODE) \
         .coalesce(1).sortWithinPartitions("id").write.parquet(f"{path}/code")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row a shard
+    staged = staged.where("local >= 0")
     (staged.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
      .write.parquet(f"{path}/shards"))
     shared = ship(spark, ids=ids, lengths=lengths, max_bits=s.max_bits)
 
     def block(shard: int, local: int, held: list) -> pa.RecordBatch:
-        flat = np.frombuffer(b"".join(x[2] for x in held), dtype="<u4")
+        flat = np.frombuffer(b"".join(x[2] for x in held), dtype=f"<u{width}")
         payload, offsets = built(shared, Code).encode(flat, s.checkpoint)
         cells = [shard, local, len(held), len(flat), [x[0] for x in held], [x[1] for x in held], payload, offsets.tolist()]
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, KINDS, strict=True)], NAMES)

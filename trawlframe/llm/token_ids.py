@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable
 from functools import cached_property
 from typing import Any
@@ -35,6 +37,7 @@ def _byte_letters() -> str:
 
 
 BYTE_LETTERS = _byte_letters()
+SPACE_LETTER = BYTE_LETTERS[32]
 
 
 class LibraryIds:
@@ -56,8 +59,8 @@ class LibraryIds:
     #: To the byte-level letters, from bytes read as Latin-1.
     MAPPED = dict(enumerate(BYTE_LETTERS))
 
-    def __init__(self, spec: str, plain_special: bool = False):
-        self.spec, self.plain_special = spec, plain_special
+    def __init__(self, spec: str, plain_special: bool = False, width: int = 4):
+        self.spec, self.plain_special, self.kind = spec, plain_special, f"<u{width}"
 
     @cached_property
     def library(self):
@@ -77,14 +80,20 @@ class LibraryIds:
 
     @cached_property
     def known(self) -> dict[str, bytes]:
-        model = self.library.model
+        model, code = self.library.model, {"<u2": "H", "<u4": "I"}[self.kind]
 
         class Known(dict):
             """Ids of words; a word not met before is remembered while there is room."""
 
             def __missing__(known, word: str) -> bytes:  # noqa: N805
-                mapped = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.MAPPED)
-                ids = np.array([t.id for t in model.tokenize(mapped)], dtype="<u4").tobytes()
+                if word.isascii() and (bare := word.removeprefix(" ")).isalnum():
+                    mapped = word if bare is word else SPACE_LETTER + bare
+                else:
+                    mapped = word.encode().decode("latin-1").translate(self.MAPPED)
+                ids = array(code, [t.id for t in model.tokenize(mapped)])
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                ids = ids.tobytes()
                 if len(known) < self.REMEMBERED:
                     known[word] = ids
                 return ids
@@ -92,10 +101,10 @@ class LibraryIds:
         return Known()
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
         out: list[bytes | None] = [None] * len(texts)
         plain, other = [], []
         for i, t in enumerate(texts):
