@@ -108,6 +108,41 @@ def test_next_pages_and_chains(spark):
     assert [(r["depth"], r["url"]) for r in chain] == [(1, "http://h/p1"), (2, "http://h/p2"), (3, "http://h/p3")]
 
 
+def chain_pages(spark, links):
+    rows = [(i, f"http://h/p{i}", "".join(f'<a class="next" href="/p{j}">n</a>' for j in after)) for i, after in links.items()]
+    return spark.createDataFrame(rows, "page_id int, url string, html string")
+
+
+def plain_chain(links, start, most):
+    """Breadth first, in plain Python."""
+    depth, border = {start: 1}, [start]
+    while border and depth[border[0]] < most:
+        border = list(dict.fromkeys(j for i in border for j in links.get(i, []) if j not in depth))
+        depth.update(dict.fromkeys(border, max(depth.values()) + 1))
+    return {(start, d, i) for i, d in depth.items()}
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 64, 100, 1000])
+@pytest.mark.parametrize("kind", ["line", "cycles", "branches"])
+def test_chains_of_any_length(spark, monkeypatch, kind, most):
+    """Long lines, cycles with tails, and pages with two next ones, against a plain search; lines take few rounds."""
+    links = {i: [i + 1] for i in range(130)}
+    if kind == "cycles":
+        links = {i: [i + 1] if i % 40 != 39 else [i - 30] for i in range(120)} | {200: [200], 201: []}
+    if kind == "branches":
+        links = {i: [2 * i, 2 * i + 1] if i < 30 else [i // 2] for i in range(1, 61)}
+        most = min(most, 7)
+    rounds = []
+    from trawlframe import session
+    inner = session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: rounds.append(1) or inner(df))
+    starts = [i for i in (0, 1, 5, 41, 79, 200, 999) if i in links or i == 999]
+    got = X.follow_pages(chain_pages(spark, links), "a.next::attr(href)", spark.createDataFrame([(f"http://h/p{i}",) for i in starts], "url string"), most)
+    number = lambda url: int(url.rsplit("/p", 1)[1])
+    assert {(number(r["start_url"]), r["depth"], number(r["url"])) for r in got.collect()} == set().union(*(plain_chain(links, i, most) for i in starts))
+    assert kind == "branches" or len(rounds) <= 20
+
+
 def test_item_limit_never_cuts_a_page(spark):
     rows = [("t", i, n) for i, n in enumerate([3, 4, 5, 1])] + [("u", 0, 1)]
     kept = X.until_max_items(spark.createDataFrame(rows, "task string, pos int, n int"), "task", ["pos"], "n", 6)

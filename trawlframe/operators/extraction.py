@@ -246,13 +246,19 @@ def next_pages(pages: DataFrame, selector: str, crawled: DataFrame | None = None
 
 def follow_pages(pages: DataFrame, selector: str, start: DataFrame, max_pages: int) -> DataFrame:
     """Chains of next-page links from ``start(url)`` within ``pages``, at most
-    ``max_pages`` long: ``start_url, depth, url``. Each page is parsed once; the
-    rounds join slim url pairs and are cut off from their lineage."""
+    ``max_pages`` long: ``start_url, depth, url``. Each page is parsed once. A page met again, in a cycle, keeps its first depth.
+
+    Where no page has two next pages, the rounds double: a table of jumps over 2, 4, 8, … links is joined with itself and
+    with what was reached, so a chain of a thousand pages takes ten rounds. Where pages branch, such a
+    table could hold all pairs; there a round is a link. Either way rounds join slim url pairs and are cut off from their lineage.
+    """
     from trawlframe.session import cut_lineage
 
     links = cut_lineage(parsed_references(pages, selector).select("src_url", "dst_url").distinct())
-    frontier = start.select(F.col("url").alias("start_url"), F.lit(1).alias("depth"), "url")
-    reached = frontier
+    reached = start.select(F.col("url").alias("start_url"), F.lit(1).alias("depth"), "url").distinct()
+    if links.groupBy("src_url").count().where("count > 1").isEmpty():
+        return _doubled(links, reached, max_pages)
+    frontier = reached
     for depth in range(2, max_pages + 1):
         step = (frontier.join(links, frontier["url"] == links["src_url"])
                 .select("start_url", F.lit(depth).alias("depth"), F.col("dst_url").alias("url")).distinct())
@@ -264,6 +270,24 @@ def follow_pages(pages: DataFrame, selector: str, start: DataFrame, max_pages: i
     return reached
 
 
+def _doubled(jumps: DataFrame, reached: DataFrame, max_pages: int) -> DataFrame:
+    """What ``reached`` (start_url, depth, url) leads to over ``jumps`` (src_url, dst_url), one from each url at most."""
+    from trawlframe.session import cut_lineage
+
+    span, known = 1, -1
+    while span < max_pages:
+        ahead = (reached.join(jumps, reached["url"] == jumps["src_url"])
+                 .select("start_url", (F.col("depth") + span).alias("depth"), F.col("dst_url").alias("url")).where(F.col("depth") <= max_pages))
+        reached = cut_lineage(reached.unionByName(ahead).groupBy("start_url", "url").agg(F.min("depth").alias("depth")).select("start_url", "depth", "url"))
+        if (now := reached.count()) == known:  # all chains have ended or come back
+            break
+        known, span = now, 2 * span
+        if span < max_pages:
+            first, second = jumps.withColumnRenamed("dst_url", "by"), jumps.withColumnRenamed("src_url", "by")
+            jumps = cut_lineage(first.join(second, "by").select("src_url", "dst_url"))
+    return reached
+
+
 def register_extract_fields(spark: SparkSession, name: str = "extract_fields") -> None:
     """SQL form: ``SELECT … FROM pages, LATERAL extract_fields(html, rules, type)``
     with rules as a JSON object; rows ``field, pos, value``."""

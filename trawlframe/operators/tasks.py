@@ -167,6 +167,18 @@ def run_history(results: DataFrame, run: list[str]) -> DataFrame:
         "metrics": F.to_json(F.struct("requests", "successes"))})
 
 
+def schedule_listing(schedule: DataFrame) -> DataFrame:
+    """All schedule entries for display: times as ISO text, the configuration as JSON text, null where a run has not been or is not planned."""
+    def iso(c: str) -> Column:
+        # As ISO 8601 is usually written: a fraction only where there is one.
+        at = F.col(c).cast("timestamp_ntz")
+        whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.when(F.date_format(at, "SSSSSS") == "000000", whole).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias(c)
+
+    return schedule.select("task_id", "name", "schedule_type", F.to_json("schedule_config").alias("schedule_config"), "status",
+                           iso("created_at"), iso("last_run"), iso("next_run"))
+
+
 def due(schedule: DataFrame, now: Column) -> DataFrame:
     """Schedule entries to run at ``now``, with the next run of interval ones."""
     kind = F.col("schedule_type")

@@ -26,41 +26,30 @@ def _span(events):
 
 
 def _lateness(spark, sf_dir):
-    """Seconds that no event is late by: a tenth of the range that ``_events`` deals out, and one more."""
+    """Seconds that no event is late by: a tenth of the range that ``_run`` deals out, and one more."""
     micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("last", "first")]
     span = _span(table(spark, sf_dir, "events")).select((micros[0] - micros[1]).alias("us")).first()["us"] or 0
     return span // 10_000_000 + 2
 
 
-def _events(spark, sf_dir, beyond_us=None):
-    """events as four files that arrive one after the other and overlap in time: quarters of the time range, every third event a tenth
-    of the range late. Each file is a micro-batch. With ``beyond_us`` a closing row that much later comes last."""
-    path = scratch_path(spark, "event-files")
+def _run(spark, sf_dir, label, build, finish=False, beyond_us=None):
+    """The table of ``build(stream)`` after all events have come: in four runs, quarters of the time range that overlap, as every third event
+    is a tenth of the range late. A quarter is written by parallel tasks and is one micro-batch; each run goes on where the last one stopped.
+    ``finish`` gives out what still waits after the last; with ``beyond_us`` a closing row that much later comes in a run of its own."""
+    files, base = scratch_path(spark, "event-files"), scratch_path(spark, label)
     events = table(spark, sf_dir, "events")
-    span = _span(events)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     share = (micros("ts") - micros("first")) / (micros("last") - micros("first") + 1) + F.when(F.col("event_id") % 3 == 0, 0.1).otherwise(0.0)
-    dealt = events.join(F.broadcast(span)).withColumn("_file", F.least(F.floor(share * 4), F.lit(3)))
-    for k in range(4):
-        dealt.where(F.col("_file") == k).drop("_file", "first", "last").coalesce(1).write.mode("append").parquet(path)
+    dealt = events.join(F.broadcast(_span(events))).withColumn("_file", F.least(F.floor(share * 4), F.lit(3)))  # the span is one row
+    arrivals = [dealt.where(F.col("_file") == k).select(events.columns) for k in range(4)]
     if beyond_us is not None:
-        ingest.closing_row(events, "ts", beyond_us).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _fetches(spark, sf_dir):
-    return fetches(_events(spark, sf_dir))
-
-
-def _run(spark, stream, label, mode="append", finish=False):
-    base = scratch_path(spark, label)
-    return ingest.to_table(stream, f"{base}/out", f"{base}/state", mode, finish)
-
-
-# The given events cover thirty days and come at most a tenth of that late; the SQL of the unfinished queries names these hours, the
-# finished ones take theirs from the range.
-LATENESS = "96 hours"
-_PASSED_SQL = "epoch_us(ts) < (SELECT epoch_ms(max(ts)) - 96 * 3600000 FROM events) * 1000"
+        arrivals.append(ingest.closing_row(events, "ts", beyond_us))
+    for k, rows in enumerate(arrivals):
+        rows.write.mode("append").parquet(files)
+        if not k:
+            job = build(spark.readStream.schema(events.schema).parquet(files))
+        out = ingest.to_table(job, f"{base}/out", f"{base}/state", "append", finish and k + 1 == len(arrivals))
+    return out
 
 
 @query("stream_dedup", """
@@ -68,58 +57,70 @@ SELECT DISTINCT md5('METHOD:GET|URL:http://h' || user_id || '.example.com/' || e
 def stream_dedup(spark, sf_dir):
     """First request of each fingerprint on each day."""
     url = F.concat(F.lit("http://h"), F.col("user_id"), F.lit(".example.com/"), F.col("event_type"))
-    requests = _events(spark, sf_dir).select("ts", fingerprint(url).alias("fp"))
-    once = _run(spark, dedup.first_within(requests, "fp", "ts", "1 day", LATENESS), "stream-dedup")
+    late = f"{_lateness(spark, sf_dir)} seconds"
+    once = _run(spark, sf_dir, "stream-dedup", lambda events: dedup.first_within(
+        events.select("ts", fingerprint(url).alias("fp")), "fp", "ts", "1 day", late))
     return once.select("fp", F.col("period").cast("timestamp_ntz").alias("period"))
 
 
-@query("stream_accept_with_ttl", f"SELECT * FROM ({_TTL_SQL}) WHERE {_PASSED_SQL}")
+def _accepted(spark, sf_dir, ttl):
+    late = f"{_lateness(spark, sf_dir)} seconds"
+    out = _run(spark, sf_dir, "stream-ttl", lambda events: dedup.accept_with_ttl(events, "user_id", "ts", "event_id", ttl, late), finish=True)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_accept_with_ttl", _TTL_SQL)
 def stream_accept_with_ttl(spark, sf_dir):
-    accepted = dedup.accept_with_ttl(_events(spark, sf_dir), "user_id", "ts", "event_id", 36_000, LATENESS)
-    return _run(spark, accepted, "stream-ttl").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """The whole table: what still waits at the end of the stream comes out too."""
+    return _accepted(spark, sf_dir, 36_000)
 
 
 @query("stream_accept_with_ttl_finished", _TTL_SQL)
 def stream_accept_with_ttl_finished(spark, sf_dir):
-    """The whole table: what still waits at the end of the stream comes out too."""
-    accepted = dedup.accept_with_ttl(_events(spark, sf_dir), "user_id", "ts", "event_id", 36_000, f"{_lateness(spark, sf_dir)} seconds")
-    return _run(spark, accepted, "stream-ttl", finish=True).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _accepted(spark, sf_dir, 36_000)
 
 
-@query("stream_metrics", f"""
+_METRICS_SQL = f"""
 SELECT host, time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, count(*) AS requests,
   round(count(*) FILTER (status_code = 200) / count(*), 6) AS success_rate, round(avg(response_time), 6) AS average_response_time
-FROM {FETCH_LOG_SQL} GROUP BY ALL
-HAVING time_bucket(INTERVAL 60 SECONDS, any_value(ts)) + INTERVAL 60 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 96 HOURS FROM events)""")
-def stream_metrics(spark, sf_dir):
-    """Windows closed as long before the last event as an event may be late."""
-    out = _run(spark, metrics.windowed_metrics(_fetches(spark, sf_dir), "60 seconds", LATENESS), "stream-metrics")
-    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "success_rate", "average_response_time").drop("window_end")
+FROM {FETCH_LOG_SQL} GROUP BY ALL"""
 
 
-@query("stream_metrics_finished", f"""
-SELECT host, time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, count(*) AS requests,
-  round(count(*) FILTER (status_code = 200) / count(*), 6) AS success_rate, round(avg(response_time), 6) AS average_response_time
-FROM {FETCH_LOG_SQL} GROUP BY ALL""")
-def stream_metrics_finished(spark, sf_dir):
-    """All windows: a closing row, a day beyond the lateness, closes the last ones."""
+def _measured(spark, sf_dir):
+    """A closing row, a day beyond the lateness, closes the last windows."""
     late = _lateness(spark, sf_dir)
-    log = fetches(_events(spark, sf_dir, beyond_us=(late + 86_400) * 1_000_000))
-    out = _run(spark, metrics.windowed_metrics(log, "60 seconds", f"{late} seconds"), "stream-metrics")
+    out = _run(spark, sf_dir, "stream-metrics", lambda events: metrics.windowed_metrics(fetches(events), "60 seconds", f"{late} seconds"),
+               beyond_us=(late + 86_400) * 1_000_000)
     return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "success_rate", "average_response_time").drop("window_end")
 
 
-@query("stream_breaker", f"SELECT * FROM ({_BREAKER_SQL.format(wait=86_400 * 1_000_000, threshold=3)}) WHERE {_PASSED_SQL}")
+@query("stream_metrics", _METRICS_SQL)
+def stream_metrics(spark, sf_dir):
+    """All windows, the last ones too."""
+    return _measured(spark, sf_dir)
+
+
+@query("stream_metrics_finished", _METRICS_SQL)
+def stream_metrics_finished(spark, sf_dir):
+    return _measured(spark, sf_dir)
+
+
+def _broken(spark, sf_dir):
+    late = f"{_lateness(spark, sf_dir)} seconds"
+    out = _run(spark, sf_dir, "stream-breaker", lambda events: breaker.breaker_states(
+        fetches(events), threshold=3, recovery_seconds=86_400, lateness=late), finish=True)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_breaker", _BREAKER_SQL.format(wait=86_400 * 1_000_000, threshold=3))
 def stream_breaker(spark, sf_dir):
-    states = breaker.breaker_states(_fetches(spark, sf_dir), threshold=3, recovery_seconds=86_400, lateness=LATENESS)
-    return _run(spark, states, "stream-breaker").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """The whole table: what still waits at the end of the stream comes out too."""
+    return _broken(spark, sf_dir)
 
 
 @query("stream_breaker_finished", _BREAKER_SQL.format(wait=86_400 * 1_000_000, threshold=3))
 def stream_breaker_finished(spark, sf_dir):
-    """The whole table: what still waits at the end of the stream comes out too."""
-    states = breaker.breaker_states(_fetches(spark, sf_dir), threshold=3, recovery_seconds=86_400, lateness=f"{_lateness(spark, sf_dir)} seconds")
-    return _run(spark, states, "stream-breaker", finish=True).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _broken(spark, sf_dir)
 
 
 @query("stream_ingest_pages", f"""

@@ -254,6 +254,23 @@ def schedule_due(spark, sf_dir):
     return Q.due(schedule, F.lit("1998-01-01").cast("timestamp_ntz")).select("task_id", "schedule_type", "next_run")
 
 
+@query("schedule_listing", f"""
+WITH s AS (SELECT task_id, status, CASE priority WHEN 0 THEN 'one_time' WHEN 1 THEN 'cron' ELSE 'interval' END AS kind, owner * 3600 AS secs,
+  created_at::TIMESTAMP AS created, CASE WHEN task_id % 4 <> 0 THEN created_at::TIMESTAMP + INTERVAL 250 MILLISECONDS END AS last, created_at::TIMESTAMP + INTERVAL 1 DAY AS next FROM {TASKS_SQL})
+SELECT task_id, 'task ' || task_id AS name, kind AS schedule_type, '{{"interval_seconds":' || secs || '}}' AS schedule_config, status,
+  strftime(created, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(last, '%Y-%m-%dT%H:%M:%S.%f') AS last_run,
+  CASE WHEN kind <> 'cron' THEN strftime(next, '%Y-%m-%dT%H:%M:%S') END AS next_run FROM s""")
+def schedule_listing(spark, sf_dir):
+    """Every schedule entry as it is shown."""
+    t = tasks(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    kind = F.when(F.col("priority") == 0, "one_time").when(F.col("priority") == 1, "cron").otherwise("interval")
+    return Q.schedule_listing(t.select(
+        "task_id", F.concat(F.lit("task "), F.col("task_id")).alias("name"), kind.alias("schedule_type"),
+        F.struct((F.col("owner") * 3600).alias("interval_seconds")).alias("schedule_config"), "status", "created_at",
+        F.when(F.col("task_id") % 4 != 0, F.col("created_at") + F.expr("INTERVAL '0.250' SECOND")).alias("last_run"),
+        F.when(kind != "cron", F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("next_run")))
+
+
 @query("run_history", f"""
 SELECT task_id, min(created_at) AS started_at, max(created_at) AS ended_at, count(*) AS requests, count(*) FILTER (status_code = 200) AS successes,
   epoch_us(max(created_at))//1000000 - epoch_us(min(created_at))//1000000 AS duration_seconds, round(count(*) FILTER (status_code = 200) / count(*), 6) AS success_rate,
