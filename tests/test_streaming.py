@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tools.check_oracle import rows_of
 from trawlframe.operators import fetchlog as L
 from trawlframe.operators import requests as R
-from trawlframe.streaming import breaker, dedup, held, ingest, metrics
+from trawlframe.streaming import breaker, dedup, held, ingest, levels, metrics
 
 
 @pytest.fixture(scope="module")
@@ -174,3 +174,119 @@ def test_lateness_follows_the_range(spark, tmp_path):
                                        F.timestamp_seconds(F.col("id") * 2_592).cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value"))
     events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert entry.queries()["stream_breaker_finished"](spark, str(tmp_path)).count() == 2_000
+
+
+def test_levels_hold_the_newest_row_of_each_key(spark, tmp_path):
+    table = levels.Levels(str(tmp_path / "t"), "k long, v long", ("k",), fan=3, buckets=4)
+    want, rng = {}, random.Random(3)
+    for n in range(11):
+        rows = {rng.randrange(12): n for _ in range(4)}
+        want |= rows
+        for _ in range(1 + (n in (4, 8))):  # a batch that comes again changes nothing
+            table.append(spark.createDataFrame(list(rows.items()), "k long, v long"), "s", n)
+        if n in (1, 4, 10):
+            got = levels.newest(table.read(spark), ("k",))
+            assert {r["k"]: (r["v"], r["_seq"]) for r in got.collect()} == {k: (v, v) for k, v in want.items()}
+    assert table.committed(spark) == (11, {"s": 10}) and table.live(11) == [(2, 0), (0, 9), (0, 10)]
+    # Merged runs are gone but for those of the last merge.
+    assert len(list((tmp_path / "t").glob("level=*/first=*"))) <= 7
+    assert len(list((tmp_path / "t" / "commits").glob("count=*"))) == 2
+
+
+def test_a_run_that_failed_before_its_commit_is_written_anew(spark, tmp_path):
+    table = levels.Levels(str(tmp_path / "t"), "k long, v long", ("k",), fan=2)
+    one = lambda v: spark.createDataFrame([(1, v)], "k long, v long")
+    table.append(one(0), "s", 0)
+    one(99).withColumn("_seq", F.lit(1).cast("long")).write.parquet(table.folder((1, 0)))
+    table.append(one(1), "s", 1)
+    assert [tuple(r) for r in table.read(spark).collect()] == [(1, 1, 1)]
+
+
+def test_levels_keep_several_streams_apart(spark, tmp_path):
+    table = levels.Levels(str(tmp_path / "t"), "k long, v long", ("k",), fan=2)
+    for n, stream in enumerate("aabab"):
+        table.append(spark.createDataFrame([(n, n)], "k long, v long"), stream, "aabab"[:n].count(stream))
+    assert table.committed(spark) == (5, {"a": 2, "b": 1}) and table.read(spark).count() == 5
+
+
+def test_a_reader_with_keys_opens_their_buckets_only(spark, tmp_path):
+    table = levels.Levels(str(tmp_path / "t"), "k long, v long", ("k",), fan=2, buckets=16)
+    for n in range(2):
+        table.append(spark.range(n * 500, n * 500 + 500).select(F.col("id").alias("k"), F.lit(n).cast("long").alias("v")), "s", n)
+    wanted = spark.createDataFrame([(7,)], "k long")
+    within = table.buckets_of(wanted)
+    rows = table.read(spark, within)
+    assert len(within) == 1 and "_bucket" in str(rows._jdf.queryExecution().executedPlan().toString()).split("PartitionFilters")[1].split("]")[0]
+    files = {r[0] for r in rows.select(F.input_file_name()).distinct().collect()}
+    assert files and all(f"_bucket={within[0]}/" in f for f in files)
+    assert rows.where("k = 7").count() == 1
+
+
+def test_a_batch_writes_the_states_of_its_keys_only(spark, tmp_path):
+    """Ten thousand hosts with a failure each, then batches that touch three of them."""
+    schema = "host long, event_id long, s long, status_code int"
+    files = str(tmp_path / "in")
+    write = lambda df: df.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(files)
+    write(spark.range(10_000).selectExpr("id AS host", "id AS event_id", "id DIV 100 AS s", "503 AS status_code"))
+    for n in range(1, 5):
+        write(spark.createDataFrame([(h, 10_000 * n + h, 1_000 * n + h, 503) for h in (5, 6, 7)], schema))
+    write(spark.createDataFrame([(-1, -1, 9_000, 200)], schema))
+    source = spark.readStream.schema(spark.read.parquet(files).schema).option("maxFilesPerTrigger", 1).parquet(files)
+    at = (str(tmp_path / "out"), str(tmp_path / "state"))
+    got = ingest.to_table(breaker.breaker_states(source, threshold=3, recovery_seconds=60), *at, finish=True)
+    want = L.breaker_replay(spark.read.parquet(files), threshold=3, recovery_seconds=60)
+    pick = lambda df: sorted((r["event_id"], r["decision"], r["state"]) for r in df.collect())
+    assert pick(got) == pick(want)
+    table = levels.Levels(at[1] + "-held/states", "_key long, _state string, _last long, _until long", ("_key",))
+    written = {r["_seq"]: r["n"] for r in table.read(spark).groupBy("_seq").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(written.values()) <= 10_000 + 4 * 6 and max(n for k, n in written.items() if k > 1) <= 3
+    # Landed rows that every later batch has passed are gone, and so are the folded rows of batches.
+    assert not list((tmp_path / "state-held" / "folded").glob("batch_id=[0-9]*"))
+
+
+def test_a_repeated_batch_starts_from_the_states_before_it(spark, log, stream, tmp_path):
+    """The last micro-batch runs again, as after a failure behind all its writes: nothing changes."""
+    states = breaker.breaker_states(stream(), threshold=3, recovery_seconds=300, lateness="2 hours")
+    at = (str(tmp_path / "out"), str(tmp_path / "state"))
+    pick = lambda df: sorted((r["event_id"], r["decision"], r["state"]) for r in df.collect())
+    first = pick(ingest.to_table(states, *at))
+    commits = sorted((p for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    for crc in (tmp_path / "state" / "commits").glob(f".{commits[-1].name}.crc"):
+        crc.unlink()
+    assert pick(ingest.to_table(states, *at)) == first != []
+
+
+def test_ingest_by_several_streams_reads_an_index(spark, tmp_path):
+    """Three streams, each from a checkpoint of its own, over pages that come again; the index stays as small as the table."""
+    for i in range(3):
+        pages = spark.createDataFrame([(j, f"http://h/p{j % (4 + i)}", f"<title>t{j % (4 + i)}</title>") for j in range(12)], "page_id int, url string, html string")
+        pages.coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    out = str(tmp_path / "out")
+    for run in range(3):
+        source = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
+        ingest.available_now(source, str(tmp_path / f"state{run}"), ingest.ingest_pages({"title": "title"}, F.lit("t"), out))
+    rows = spark.read.parquet(out)
+    assert sorted(r["title"][0] for r in rows.collect()) == [f"t{i}" for i in range(6)]
+    index = ingest.key_index(out, "string")
+    assert index.committed(spark)[0] == 9 and index.read(spark).count() == 6
+
+
+def test_outcomes_of_one_pass(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        calls.add(1)
+        return title
+
+    pages = spark.createDataFrame([("http://h", "t"), ("nope", "t"), ("http://i", "t")], "url string, title string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    source = spark.readStream.schema(pages.schema).parquet(str(tmp_path / "pages"))
+    check = ingest.validate_by_outcome("basic_webpage", str(tmp_path / "out"), lambda n, found: seen.append((n, found)))
+    seen = []
+    ingest.available_now(source, str(tmp_path / "state"), lambda batch, n: check(batch.withColumn("title", counted("title")), n))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["url"]: (r["outcome"], r["report"] and r["report"]["errors"][0]["kind"]) for r in rows.collect()} == {
+        "http://h": ("valid", None), "http://i": ("valid", None), "nope": ("rejected", "type")}
+    assert seen == [(0, {"valid": 2, "rejected": 1})] and calls.value == 3

@@ -148,10 +148,7 @@ def stream_validation(spark, sf_dir):
     base = scratch_path(spark, "stream-validation")
 
     def on_batch(batch, batch_id):
-        ingest.validate_into("basic_webpage", f"{base}/valid", f"{base}/rejected")(as_webpages(batch), batch_id)
+        ingest.validate_by_outcome("basic_webpage", f"{base}/checked")(as_webpages(batch), batch_id)
 
     ingest.available_now(_stream(spark, sf_dir, "pages"), f"{base}/state", on_batch)
-    read = lambda name: spark.read.parquet(f"{base}/{name}")
-    counted = read("valid").select(F.lit(True).alias("valid")).unionAll(read("rejected").select(F.lit(False)))
-    return counted.groupBy("valid").agg(F.count(F.lit(1)).alias("pages"))
-
+    return spark.read.parquet(f"{base}/checked").groupBy((F.col("outcome") == "valid").alias("valid")).agg(F.count(F.lit(1)).alias("pages"))

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.utils import AnalysisException
 
 from trawlframe.operators.ordered import Fold
+from trawlframe.streaming.levels import Levels, newest, remove
 
 #: The waiting rows of one lateness lie in about so many buckets; none is shorter than an hour.
 BUCKETS = 8
@@ -26,7 +27,8 @@ class HeldFold:
     """A sequential rule over a stream, run by ``ingest.to_table``.
 
     ``rows`` is the stream of _key, _id, _us (event time in microseconds) and the columns ``names``. Nothing of a row is kept in a
-    group's state: rows are landed in a table by bucket of time, and of a key only ``fold``'s state is carried.
+    group's state: rows are landed in a table by bucket of time, and of a key only ``fold``'s state is carried. A micro-batch reads and
+    writes the states of the keys that it folds and of no others.
     """
 
     rows: DataFrame
@@ -38,16 +40,17 @@ class HeldFold:
     ends: Callable[[str | None, int], int | None]
     idle_us: int | None = None
 
-    def folded(self, ready: DataFrame, states: DataFrame | None, passed: int) -> DataFrame:
-        """The rule's rows (_last is null), and a row with _state and _last for each key whose state lasts beyond ``passed``.
+    def folded(self, ready: DataFrame, states: DataFrame | None) -> DataFrame:
+        """The rule's rows (_last is null), and for each key of ``ready`` a row with its _state, the time of its _last row and until
+        when the state lasts (null: it has ended). ``states`` are those of keys of ``ready``.
 
         A task streams through its sorted rows, the state of a key first: a key of any length needs the memory of a batch.
         """
-        none = {"_state": F.lit(None).cast("string"), "_last": F.lit(None).cast("long")}
+        none = {"_state": F.lit(None).cast("string"), "_last": F.lit(None).cast("long"), "_until": F.lit(None).cast("long")}
         rows = ready.select("_key", "_id", "_us", *self.names).withColumns(none)
         if states is not None:
-            rows = rows.unionByName(states.select("_key", "_state", "_last"), allowMissingColumns=True)
-        out = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("_key", "_id", "_us", "_state", "_last")])
+            rows = rows.unionByName(states.select("_key", "_state", "_last", "_until"), allowMissingColumns=True)
+        out = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("_key", "_id", "_us", "_state", "_last", "_until")])
         for name, kind in self.outputs.items():
             out = out.add(name, kind)
         types = {f.name: to_arrow_type(f.dataType) for f in out.fields}
@@ -61,14 +64,15 @@ class HeldFold:
             closed: list[tuple] = []
 
             def close() -> None:
-                end = ends(state, last // 1000) if begun and last is not None else None
-                if end is not None and end * 1000 >= passed:
-                    closed.append((key, state, last))
+                if begun and last is not None:
+                    end = ends(state, last // 1000)
+                    closed.append((key, state, last, None if end is None else end * 1000))
 
             def give() -> Iterator[pa.RecordBatch]:
                 if closed:
-                    columns = [pa.array(list(c), types[n]) for n, c in zip(("_key", "_state", "_last"), zip(*closed, strict=True), strict=True)]
-                    yield frame(len(closed), dict(zip(("_key", "_state", "_last"), columns, strict=True)))
+                    names_of_state = ("_key", "_state", "_last", "_until")
+                    columns = [pa.array(list(c), types[n]) for n, c in zip(names_of_state, zip(*closed, strict=True), strict=True)]
+                    yield frame(len(closed), dict(zip(names_of_state, columns, strict=True)))
                     closed.clear()
 
             for batch in batches:
@@ -124,6 +128,9 @@ class HeldFold:
         bucket = lambda us: F.floor(us / F.lit(width))
         landed_as = T.StructType([*self.rows.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("_bucket", T.LongType())])
 
+        states = Levels(f"{held}/states", f"_key {self.rows.schema['_key'].dataType.simpleString()}, _state string, _last long, _until long", ("_key",))
+        done: list[int] = []
+
         def on_batch(batch: DataFrame, n: int) -> None:
             spark = batch.sparkSession
             # Every table of a batch is overwritten when it is repeated; its mark comes last.
@@ -134,8 +141,15 @@ class HeldFold:
             late = F.col("_us").isNull() if before is None else F.col("_us").isNull() | (F.col("_us") < before)
             landed.where((F.col("batch_id") == n) & late).drop("batch_id", "_bucket").write.mode("overwrite").parquet(f"{late_path(path)}/batch_id={n}")
             passed = max((x for x in (before, None if latest is None else latest // 1000 * 1000 - late_us) if x is not None), default=None)
-            self._fold_into(landed, bucket, before, passed, f"{held}/folded", n, path)
+            folded = f"{held}/folded/batch_id={n}"
+            self._fold_into(landed, bucket, before, passed, states, n, folded, f"{path}/batch_id={n}")
+            ended = lambda rows, oldest: newest(rows, states.keys).where(~F.lit(oldest) | (F.col("_until") >= F.lit(passed)))
+            states.append(spark.read.schema(states.schema).parquet(folded).where("_last IS NOT NULL"), "", n, ended)
             spark.createDataFrame([(passed,)], "passed long").write.mode("overwrite").parquet(f"{held}/marks/batch_id={n}")
+            done.append(n)
+            # No later run of this batch or of those to come reads what lies before its mark.
+            old = [] if before is None else _below(spark, f"{held}/landed", before // width - 1)
+            remove(spark, folded, f"{held}/marks/batch_id={n - 2}", *old)
 
         query = (self.rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
@@ -148,26 +162,31 @@ class HeldFold:
             landed, before = spark.read.schema(landed_as).parquet(f"{held}/landed").where(F.col("batch_id") <= n), _mark(spark, held, n)
             waiting = landed if before is None else landed.where((F.col("_bucket") >= bucket(F.lit(before))) & (F.col("_us") >= before))
             latest = waiting.agg(F.max("_us")).first()[0]
-            self._fold_into(landed, bucket, before, before if latest is None else latest + 1, f"{held}/folded", n + 1, path, "batch_id=-1")
+            self._fold_into(landed, bucket, before, before if latest is None else latest + 1, states, n + 1, f"{held}/folded/batch_id=-1", f"{path}/batch_id=-1")
         else:
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
-        if n is not None and (missed := spark.read.schema(self.rows.schema).parquet(late_path(path)).count()):
+        if done and (missed := spark.read.schema(self.rows.schema).parquet(*[f"{late_path(path)}/batch_id={k}" for k in done]).count()):
             warnings.warn(f"{missed} rows came after the watermark or have no time; they are in {late_path(path)}", stacklevel=2)
         return spark.read.schema(schema).parquet(path).select(
             F.col("_key").alias(key), F.col("_id").alias(row_id), F.timestamp_micros("_us").alias("ts"), *self.outputs)
 
-    def _fold_into(self, landed: DataFrame, bucket: Callable[[Column], Column], before: int | None, passed: int | None, folded: str, n: int,
-                   path: str, to: str | None = None) -> None:
-        """Folds the rows from ``before`` to ``passed`` (None: from the first, none) after micro-batch ``n`` - 1: rows to ``path``, states beside them."""
-        to = to or f"batch_id={n}"
+    def _fold_into(self, landed: DataFrame, bucket: Callable[[Column], Column], before: int | None, passed: int | None, states: Levels,
+                   n: int, folded: str, path: str) -> None:
+        """Folds the rows from ``before`` to ``passed`` (None: from the first, none) on the states that the first ``n`` micro-batches left, as
+        a repeated batch must not see its own: rows and new states to ``folded``, rows alone to ``path``."""
         spark = landed.sparkSession
         ready = landed.where(F.lit(False) if passed is None else (F.col("_bucket") <= bucket(F.lit(passed))) & (F.col("_us") < passed))
         if before is not None:
             ready = ready.where((F.col("_bucket") >= bucket(F.lit(before))) & (F.col("_us") >= before))
-        states = spark.read.parquet(f"{folded}/batch_id={n - 1}").where("_last IS NOT NULL") if n > 0 else None
-        self.folded(ready, states, passed or 0).write.mode("overwrite").parquet(f"{folded}/{to}")
-        rows = spark.read.parquet(f"{folded}/{to}").where("_last IS NULL").drop("_state", "_last")
-        rows.write.mode("overwrite").parquet(f"{path}/{to}")
+        runs, known = states.live(n), None
+        if runs and before is not None:
+            keys = ready.select(F.col("_key").alias("_ready")).distinct()
+            within = states.buckets_of(ready) if runs[0][0] else None
+            last = newest(states.read(spark, within, runs), states.keys).where(F.col("_until") >= before)
+            known = last.join(keys, F.col("_key").eqNullSafe(F.col("_ready")), "left_semi")
+        self.folded(ready, known).write.mode("overwrite").parquet(folded)
+        rows = spark.read.parquet(folded).where("_last IS NULL").drop("_state", "_last", "_until")
+        rows.write.mode("overwrite").parquet(path)
 
 
 def late_path(path: str) -> str:
@@ -180,6 +199,14 @@ def _mark(spark: SparkSession, held: str, n: int) -> int | None:
     return spark.read.parquet(f"{held}/marks/batch_id={n}").first()["passed"] if n >= 0 else None
 
 
+def _below(spark: SparkSession, landed: str, bucket: int) -> list[str]:
+    """The folders of landed rows with a bucket of time before ``bucket``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{landed}/batch_id=*/_bucket=*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    paths = [str(f.getPath()) for f in found]
+    return [p for p in paths if p.rsplit("=", 1)[1].lstrip("-").isdigit() and int(p.rsplit("=", 1)[1]) < bucket]
+
+
 def _last_mark(spark: SparkSession, held: str) -> int | None:
     try:
         return spark.read.parquet(f"{held}/marks").agg(F.max("batch_id")).first()[0]
