@@ -208,3 +208,19 @@ def test_references_and_open_comments_both_ways(page):
     html = """<a href="/a">a</a><script>var x = '<a href="/gone">'; """
     both = [[r["dst_url"] for r in e.collect()] for e in (X.page_links(page(html)), X.parsed_references(page(html), "a::attr(href)"))]
     assert both[0] == both[1] == ["https://ex.com/a"]
+
+
+def test_pages_that_cannot_be_parsed_say_so(spark, monkeypatch):
+    """What was read before the error stays; other pages have none."""
+    pages = spark.createDataFrame([(1, "<h1>a</h1>"), (2, "<h1>b</h1><bad>")], "page_id int, html string")
+
+    def no_bad(self, tag, attrs, start=X.Page.handle_starttag):
+        if tag == "bad":
+            raise ValueError("bad tag")
+        start(self, tag, attrs)
+
+    monkeypatch.setattr(X.Page, "handle_starttag", no_bad)
+    rows = X.extract_fields(pages, {"h": "h1::text"}, parse_error="why").collect()
+    assert [(r["page_id"], r["h"], r["why"]) for r in sorted(rows)] == [(1, ["a"], None), (2, ["b"], "ValueError: bad tag")]
+    assert X.extract_fields(pages, {"h": "h1"}).columns == ["page_id", "h"]
+    assert X.extract_fields(pages, {}, parse_error="why").columns == ["page_id", "why"]

@@ -220,3 +220,25 @@ def test_export_errors_are_kept_whole(spark, tmp_path):
     finally:
         EX.WRITERS.pop("broken")
     assert len(row["error"]) > 2_000
+
+
+def test_unreadable_files_are_named(spark, tmp_path):
+    import gzip
+    (tmp_path / "r" / "a b").mkdir(parents=True)
+    with gzip.open(tmp_path / "r" / "good.json.gz", "wt") as f:
+        f.write('{"task_id": 1}\n')
+    (tmp_path / "r" / "a b" / "bad.json.gz").write_bytes(b"no gzip")
+    (tmp_path / "r" / "empty.json").write_bytes(b"")
+    rows = ST.unreadable_files(spark, str(tmp_path / "r")).collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["length"]) for r in rows] == [("bad.json.gz", 7)]
+
+
+def test_stored_results_are_sorted_by_task(spark, tmp_path):
+    import pyarrow.parquet as pq
+    spark.range(20_000).selectExpr("(id * 7919) % 5000 AS task_id", "concat('u', id) AS url").write.parquet(str(tmp_path / "in"))
+    ST.append_results(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out"), buckets=2)
+    for path in (tmp_path / "out").rglob("*.parquet"):
+        ids = pq.ParquetFile(path).read(["task_id"]).column(0).to_pylist()
+        assert ids == sorted(ids) and ids
+    one = ST.read_results(spark, str(tmp_path / "out"), 77)
+    assert "EqualTo(task_id,77)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 4

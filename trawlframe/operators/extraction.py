@@ -67,28 +67,36 @@ def extract_fields(
     html: str = "html",
     clean_whitespace: bool = True,
     clean_html: bool = True,
+    parse_error: str | None = None,
 ) -> DataFrame:
     """One row per page: the kept columns plus one ARRAY<STRING> per rule, null
-    where nothing matched. Without rules there are no rows."""
+    where nothing matched. Without rules there are no rows. With ``parse_error`` a
+    text column of that name comes last: why a page could be read in part only, null for others."""
     _check_type(selector_type)
     keep = keep if keep is not None else [c for c in pages.columns if c != html]
     out = T.StructType([pages.schema[c] for c in keep] + [T.StructField(f, _STRINGS) for f in rules])
+    if parse_error:
+        out = out.add(parse_error, "string")
     if not rules:
-        return pages.select(*keep).where(F.lit(False))
+        none = [F.lit(None).cast("string").alias(parse_error)] if parse_error else []
+        return pages.select(*keep, *none).where(F.lit(False))
     compiled = _compiled(rules, selector_type)
     fields = list(compiled)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: dict[str, list] = {f: [] for f in fields}
+            errors: list[str | None] = []
             for text in batch.column(html).to_pylist():
                 page = Page(text or "")
+                errors.append(page.error)
                 for f in fields:
                     found = page.values(compiled[f]) if compiled[f] else []
                     columns[f].append(found or None)
+            said = [pa.array(errors, pa.string())] if parse_error else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(columns[f], pa.list_(pa.string())) for f in fields],
-                names=[*keep, *fields])
+                [batch.column(c) for c in keep] + [pa.array(columns[f], pa.list_(pa.string())) for f in fields] + said,
+                names=out.names)
 
     parsed = pages.select(*keep, html).mapInArrow(parse, out)
     return parsed.withColumns({f: clean_values(F.col(f), clean_whitespace, clean_html) for f in fields})

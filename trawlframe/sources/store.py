@@ -43,14 +43,17 @@ def of_task(rows: DataFrame, task_id, key_type) -> DataFrame:
 
 def append_results(results: DataFrame, path: str, buckets: int = 64) -> None:
     """Appends result rows with the defaults filled in, in folders by task
-    bucket: the number of folders does not grow with the number of tasks."""
+    bucket: the number of folders does not grow with the number of tasks. Files are
+    sorted by task, so that the statistics of their row groups and pages leave out all but those of a task that is looked up."""
     columns = set(results.columns)
     filled = results.withColumns({
         name: F.coalesce(F.col(name), F.lit(default)) if name in columns else F.lit(default)
         for name, default in RESULT_DEFAULTS.items()})
     if "data" not in columns:
         filled = filled.withColumn("data", F.lit("{}"))
-    by_bucket(filled, buckets).write.mode("append").partitionBy("buckets", "bucket").parquet(path)
+    # The upper folder is written into by name: as a constant column it would make the writer sort by folder alone.
+    ordered = by_bucket(filled, buckets).drop("buckets").sortWithinPartitions("bucket", "task_id")
+    ordered.write.mode("append").partitionBy("bucket").parquet(f"{path.rstrip('/')}/buckets={buckets}")
 
 
 def read_results(spark: SparkSession, path: str, task_id=None) -> DataFrame:
@@ -79,7 +82,7 @@ def save_results(results: DataFrame, path: str, order: list[str], export_time: C
 
 
 def load_results(spark: SparkSession, path: str, row_schema: T.StructType | str, key_type: str = "long", task_id=None) -> DataFrame:
-    """Rows of the envelopes; unreadable lines and files are skipped, :func:`unreadable_results` counts the lines."""
+    """Rows of the envelopes; unreadable lines and files are skipped, :func:`unreadable_results` counts the lines, :func:`unreadable_files` names the files."""
     row = T.StructType.fromDDL(row_schema) if isinstance(row_schema, str) else row_schema
     schema = f"task_id {key_type}, part int, result_count long, results array<{row.simpleString()}>, buckets int, bucket int"
     envelopes = (spark.read.schema(schema).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).json(path))
@@ -97,6 +100,14 @@ def unreadable_results(spark: SparkSession, path: str, row_schema: T.StructType
         F.count(F.lit(1)).alias("lines"), F.count_if(F.col("e._bad").isNotNull()).alias("unreadable"))
 
 
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of the files below ``path`` that hold bytes but of which :func:`load_results` can read no line."""
+    read = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(path)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+             .select(F.col("_metadata.file_path").alias("path"), "length").where(F.col("length") > 0))
+    return files.join(read.select(F.col("_metadata.file_path").alias("path")).distinct(), "path", "left_anti")
+
+
 def save_configs(configs: DataFrame, path: str) -> None:
     """Appends ``configs(task_id, created_at, config)``; every version is kept."""
     configs.select("task_id", "created_at", F.col("config").cast("string").alias("config")).write.mode("append").json(path)
