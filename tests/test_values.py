@@ -23,6 +23,11 @@ def test_cleaners(value_of, cleaner, text, want):
     assert value_of(text, clean(F.col("v"), [cleaner])) == want
 
 
+@pytest.mark.parametrize("text", ["ßach Zu", "ǆEP", "ŉA", "ΑΣ", "ΟΔΟΣ ΑΣ", "აბ", "İX", "", "a"])
+def test_capitalize_like_python(value_of, text):
+    assert value_of(text, clean(F.col("v"), ["capitalize"])) == text.capitalize()
+
+
 def test_null_handling(value_of):
     assert value_of(None, clean(F.col("v"), ["trim"])) is None
     assert value_of(None, clean(F.col("v"), ["trim"], compat_null=True)) == "None"

@@ -59,9 +59,10 @@ def remove_numbers(v: Column) -> Column:
 
 
 def capitalize(v: Column) -> Column:
-    # One letter may become two ('ß' -> 'Ss'): only the first stays upper case.
-    first = F.upper(F.left(v, F.lit(1)))
-    return F.concat(F.left(first, F.lit(1)), F.lower(F.concat(F.substr(first, F.lit(2)), F.substr(v, F.lit(2)))))
+    # The first letter in title case, which may be two letters ('ß' -> 'Ss', 'ǆ' -> 'ǅ'); the others keep
+    # their neighbours while they are put in lower case, as a sigma at a word's end has a form of its own.
+    first = F.left(v, F.lit(1))
+    return F.concat(F.initcap(first), F.substr(F.lower(v), F.length(F.lower(first)) + 1))
 
 
 @F.pandas_udf(T.StringType())
