@@ -50,6 +50,21 @@ def test_bpe(docs, none):
     assert pair_index_bpe.decode(pair_index_bpe.encode(none, bpe), bpe).count() == 0
 
 
+def test_bpe_round_trip(docs, none, monkeypatch):
+    """One worker a task, with a few words remembered and slices of a few texts too."""
+    bpe = pair_index_bpe.load(pair_index_bpe.tokenizer_path("word_bpe_49k.json"))
+    columns = ("doc_id", "n_tokens", "ids", "text")
+    both = pair_index_bpe.round_trip(docs, bpe)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert rows(both, *columns) == rows(pair_index_bpe.decode(pair_index_bpe.encode(docs, bpe), bpe), *columns)
+    assert pair_index_bpe.round_trip(none, bpe).count() == 0
+    texts = [t or "" for _, t in DOCS]
+    whole = bpe.encode(texts)
+    monkeypatch.setattr(pair_index_bpe, "REMEMBERED", 3)
+    assert [x for t in texts for x in pair_index_bpe.PairIndexBPE(bpe.spec).encode([t])] == whole
+
+
 def test_huffman_files(spark, docs, none):
     with open(pair_index_bpe.tokenizer_path("byte_bpe_50k.json")) as f:
         spec = f.read()

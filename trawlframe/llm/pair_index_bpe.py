@@ -33,6 +33,8 @@ from trawlframe.plans.registry import query
 SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Words whose ids are remembered by a Python worker; others are encoded again when they return. Bounds memory, not results.
 REMEMBERED = 200_000
+#: Bytes of text, about, whose words are encoded together.
+SLICE = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -186,12 +188,13 @@ class PairIndexBPE:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.words(t) for t in texts]
         known = self._known
-        new = [w for w in set().union(*cut) if w not in known] if cut else []
+        distinct = set().union(*cut)
+        new = [w for w in distinct if w not in known]
         found = dict(zip(new, (x.tobytes() for x in self.encode_words(new)), strict=True))
         if len(known) + len(found) <= REMEMBERED:
             known.update(found)
             return [b"".join(map(known.__getitem__, ws)) for ws in cut]
-        both = {**known, **found}
+        both = {w: known[w] if w in known else found[w] for w in distinct}
         return [b"".join(map(both.__getitem__, ws)) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -204,6 +207,26 @@ def load(path: str) -> PairIndexBPE:
         return PairIndexBPE(f.read())
 
 
+def _encoded(own: PairIndexBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, n_tokens, ids) of batches of (k, t), in runs of rows whose texts take about ``SLICE`` bytes."""
+    for whole in batches:
+        for batch in text_slices(whole, "t", SLICE):
+            ids = own.encode([t or "" for t in batch.column("t").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                ["k", "n_tokens", "ids"])
+
+
+def _decoded(own: PairIndexBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, n_tokens, ids, text) of batches with k and ids."""
+    for whole in batches:
+        for batch in text_slices(whole, "ids", SLICE):
+            rows = [np.frombuffer(x or b"", dtype="<u4") for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), pa.array([len(x) for x in rows], pa.int64()), batch.column("ids"),
+                 pa.array([own.decode(x) for x in rows], pa.string())], ["k", "n_tokens", "ids", "text"])
+
+
 def encode(docs: DataFrame, bpe: PairIndexBPE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids): ids of every whole text, as a binary of little-endian
     unsigned 32-bit integers.
@@ -213,35 +236,31 @@ def encode(docs: DataFrame, bpe: PairIndexBPE, key: str = "doc_id", text: str =
     """
     kind = docs.schema[key].dataType.simpleString()
     shared = ship(docs.sparkSession, spec=bpe.spec)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = built(shared, PairIndexBPE)
-        for whole in batches:
-            for batch in text_slices(whole, "t"):
-                ids = own.encode([t or "" for t in batch.column("t").to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["k", "n_tokens", "ids"])
-
     return (docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-            .mapInArrow(work, f"k {kind}, n_tokens bigint, ids binary").withColumnRenamed("k", key))
+            .mapInArrow(lambda batches: _encoded(built(shared, PairIndexBPE), batches), f"k {kind}, n_tokens bigint, ids binary")
+            .withColumnRenamed("k", key))
 
 
 def decode(encoded: DataFrame, bpe: PairIndexBPE, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, n_tokens, ids, text): ids as :func:`encode` gives them, and the text they decode to. Null ids decode to an empty text."""
     kind = encoded.schema[key].dataType.simpleString()
     shared = ship(encoded.sparkSession, spec=bpe.spec)
+    return (encoded.select(F.col(key).alias("k"), F.col(ids).alias("ids"))
+            .mapInArrow(lambda batches: _decoded(built(shared, PairIndexBPE), batches), f"k {kind}, n_tokens bigint, ids binary, text string")
+            .withColumnRenamed("k", key))
+
+
+def round_trip(docs: DataFrame, bpe: PairIndexBPE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids, text): what :func:`decode` gives of what :func:`encode` gives, in one Python worker
+    a task: two steps in a row would be two workers, each with a vocabulary of its own."""
+    kind = docs.schema[key].dataType.simpleString()
+    shared = ship(docs.sparkSession, spec=bpe.spec)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = built(shared, PairIndexBPE)
-        for whole in batches:
-            for batch in text_slices(whole, "ids", 2 << 20):
-                rows = [np.frombuffer(x or b"", dtype="<u4") for x in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k"), pa.array([len(x) for x in rows], pa.int64()), batch.column("ids"),
-                     pa.array([own.decode(x) for x in rows], pa.string())], ["k", "n_tokens", "ids", "text"])
+        return _decoded(own, _encoded(own, batches))
 
-    return (encoded.select(F.col(key).alias("k"), F.col(ids).alias("ids"))
+    return (docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
             .mapInArrow(work, f"k {kind}, n_tokens bigint, ids binary, text string").withColumnRenamed("k", key))
 
 
@@ -256,6 +275,6 @@ def tokenizer_path(name: str) -> str:
 def op9_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
     bpe = load(tokenizer_path("word_bpe_49k.json"))
-    both = decode(encode(table(spark, sf_dir, "documents"), bpe), bpe)
+    both = round_trip(table(spark, sf_dir, "documents"), bpe)
     return both.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
