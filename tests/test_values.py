@@ -1,11 +1,14 @@
 import random
 import re
+import tracemalloc
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trawlframe.functions import patterns as P
-from trawlframe.functions.cleaners import clean, clean_columns, register_cleaner
+from trawlframe.functions.cleaners import _by_slices, clean, clean_columns, register_cleaner
 from trawlframe.functions.validators import is_valid
 from trawlframe.functions import ids as I
 from trawlframe.functions import outcomes as O
@@ -28,6 +31,20 @@ def test_capitalize_like_python(value_of, text):
     assert value_of(text, clean(F.col("v"), ["capitalize"])) == text.capitalize()
 
 
+@pytest.mark.parametrize("work", [str.title, lambda t: unicodedata.normalize("NFKC", t)])
+def test_text_batches_by_slices(work):
+    """Of a batch of long texts only a slice is in Python strings at a time."""
+    texts = [None, "", "ßa o'neil ǆx", "x" * 300_000, None, *["été ﬁ " * 30_000] * 60, "end", ""]
+    batch = pa.array(texts, pa.string())
+    tracemalloc.start()
+    got = _by_slices(batch, work)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got.to_pylist() == [None if t is None else work(t) for t in texts] and most < 12_000_000
+    assert _by_slices(pa.array([], pa.string()), work).to_pylist() == []
+    assert _by_slices(pa.array([None, None], pa.string()), work).to_pylist() == [None, None]
+
+
 def test_null_handling(value_of):
     assert value_of(None, clean(F.col("v"), ["trim"])) is None
     assert value_of(None, clean(F.col("v"), ["trim"], compat_null=True)) == "None"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +38,23 @@ def remove_special_chars(v: Column) -> Column:
     return F.regexp_replace(v, r"(?U)[^\w\s\x1c-\x1f\-_.@]", "")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(v: pd.Series) -> pd.Series:
-    return v.str.normalize("NFKC")
+# Bytes of text, about, that are Python strings at a time.
+_SLICE = 1 << 20
+
+
+def _by_slices(v: pa.Array, work: Callable[[str], str]) -> pa.Array:
+    """``work`` on each text. A batch has thousands of rows of any length: only a slice of it is made into Python
+    strings, which take up to four times the bytes of the text, and the rest stays in Arrow."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.cumsum(sizes) - sizes
+    cuts = [0, *(np.flatnonzero(np.diff(before // _SLICE)) + 1).tolist(), len(v)]
+    return pa.chunked_array([pa.array([None if t is None else work(t) for t in v.slice(a, b - a).to_pylist()], pa.string())
+                             for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string()).combine_chunks()
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(v: pa.Array) -> pa.Array:
+    return _by_slices(v, lambda t: unicodedata.normalize("NFKC", t))
 
 
 def normalize_unicode(v: Column) -> Column:
@@ -65,9 +81,9 @@ def capitalize(v: Column) -> Column:
     return F.concat(F.initcap(first), F.substr(F.lower(v), F.length(F.lower(first)) + 1))
 
 
-@F.pandas_udf(T.StringType())
-def _titled(v: pd.Series) -> pd.Series:
-    return v.str.title()
+@F.arrow_udf(T.StringType())
+def _titled(v: pa.Array) -> pa.Array:
+    return _by_slices(v, str.title)
 
 
 def title_case(v: Column) -> Column:
