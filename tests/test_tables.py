@@ -211,6 +211,15 @@ def test_unreadable_results_are_counted(spark, tmp_path):
     assert sorted(r["url"] for r in ST.load_results(spark, str(tmp_path / "r"), "url string").collect()) == ["a", "b"]
 
 
+def test_envelopes_are_stored_compressed(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id % 50 AS task_id", "concat('http://h.example.com/part/', id) AS url", "200 AS status_code")
+    ST.save_results(rows, str(tmp_path / "r"), ["url"], F.lit("x"), max_rows=100)
+    files = [p for p in (tmp_path / "r").rglob("part-*") if p.is_file()]
+    assert files and sum(p.stat().st_size for p in files) < 20_000 * 20
+    assert sorted(ST.load_results(spark, str(tmp_path / "r"), "url string, status_code int").collect()) == sorted(rows.collect())
+    assert tuple(ST.unreadable_results(spark, str(tmp_path / "r"), "url string").first()) == (200, 0)
+
+
 def test_export_errors_are_kept_whole(spark, tmp_path):
     def fail(df, path):
         raise ValueError("x" * 2_000)

@@ -77,8 +77,9 @@ def result_envelopes(results: DataFrame, order: list[str], export_time: Column,
 
 
 def save_results(results: DataFrame, path: str, order: list[str], export_time: Column, max_rows: int = 10_000, buckets: int = 64) -> None:
+    """Appends the envelopes as lines of JSON in gzip files; a bucket is several files once it is large, so they are still read in parallel."""
     envelopes = result_envelopes(results, order, export_time, max_rows)
-    by_bucket(envelopes, buckets).write.mode("append").partitionBy("buckets", "bucket").json(path)
+    by_bucket(envelopes, buckets).write.mode("append").partitionBy("buckets", "bucket").option("compression", "gzip").json(path)
 
 
 def load_results(spark: SparkSession, path: str, row_schema: T.StructType | str, key_type: str = "long", task_id=None) -> DataFrame:
